@@ -1,0 +1,54 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.llm import mixing
+
+SCHEMA = "doc_id long, text string, lang string, source string, rank int"
+
+
+def filled(sizes, weights=(1, 2, 3)):
+    keys = sorted((k for k in sizes if k is not None)) + [k for k in sizes if k is None]
+    w, total, capped = {k: weights[i % 3] for i, k in enumerate(keys)}, sum(sizes.values()), set()
+    while True:
+        free = sum(w[k] for k in keys if k not in capped)
+        left = total - sum(3 * sizes[k] for k in capped)
+        t = {k: 3 * sizes[k] if k in capped else left * w[k] / free for k in keys}
+        new = {k for k in keys if k not in capped and t[k] >= 3 * sizes[k]}
+        if not new or len(new) + len(capped) == len(keys):
+            return t
+        capped |= new
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_targets_caps_and_copies(spark):
+    rows = [(i, "w " * (1 + i * 7 % 50), "en", "big" if i % 3 else f"s{i % 21}", i) for i in range(900)] + [(None, "a b", None, None, 0), (7, None, "en", None, 1), (7, None, "en", None, 1), (5, "", "x", "empty", 1)]
+    got = mixing.sample(docs(spark, rows)).collect()
+    sizes = {}
+    for _, text, _, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    want = {("1" if k is None else "0" + k): v for k, v in filled(sizes).items()}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["key"]]) and 0 <= r["copies"] <= 3
+    for key, target in want.items():
+        taken = sum(r["copies"] * r["size"] for r in got if r["key"] == key)
+        assert abs(taken - target) <= 3 * 50 + 1
+    again = mixing.sample(docs(spark, rows).repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mixture_rows_follow_the_sample(spark):
+    rows = [(i % 190, "w " * (1 + i % 9), "en", f"s{i % 5}", i) for i in range(200)] + [(None, "q", "en", None, 3), (None, "q", "en", None, 3)]
+    df = docs(spark, rows)
+    want = mixing.sample(df).groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0").collect()
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.groupBy("doc_id").agg(F.count("*").alias("n")).collect())) == sorted(map(str, want))
+
+
+def test_empty(spark):
+    assert mixing.sample(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
+    assert [r["copies"] for r in mixing.sample(docs(spark, [(1, None, None, None, 1)])).collect()] == [0]
