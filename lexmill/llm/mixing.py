@@ -13,7 +13,6 @@ have target 0 and take none; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, with_ranks
@@ -62,27 +61,27 @@ def offset_of(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"mix:{seed}:"), F.col(key)).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
-def sample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, *, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, key, n (which of the rows alike in these), size, source_size, target, copies."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), source_key(source).alias("key"), size_of(text).alias("size"))
+def sample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, row (the column row, if named), key, size, source_size, target, copies."""
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"), source_key(source).alias("key"), size_of(text).alias("size"))
     narrow = materialize(narrow.withColumn("mix", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
     targets = source_targets(narrow.select("key", "size"), weights)
-    rows, facts = with_ranks(narrow, ["key", "size", "mix", "doc_id"], ["key"])
+    rows, facts = with_ranks(narrow, ["key", "size", "mix", "doc_id", "row"], ["key"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     facts = facts.join(targets, "key").withColumn("rate", rate).withColumn("offset", offset_of("key", seed))
     rank = F.col("__before") + F.col("__inside")
     crossed = F.floor(F.col("offset") + F.col("rate") * rank) - F.floor(F.col("offset") + F.col("rate") * (rank - 1))
     out = rows.join(facts, ["__part", "key"])
-    return out.select("doc_id", "key", "size", "source_size", "target", F.least(crossed, F.lit(MOST)).cast("long").alias("copies"))
+    return out.select("doc_id", "row", "key", "size", "source_size", "target", F.least(crossed, F.lit(MOST)).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, *, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The mixture itself: docs' columns, each document as often as it was drawn. Documents move once, by doc_id."""
-    drawn = sample(docs, weights, seed, text=text, source=source, doc_id=doc_id).withColumnRenamed("doc_id", "__id")
-    like = W.partitionBy("__id", "__key", "__size").orderBy(F.lit(1))
-    drawn = drawn.select("__id", F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).withColumn("__n", F.row_number().over(like)).where("__copies > 0")
-    wide = docs.withColumns({"__id": F.col(doc_id), "__key": source_key(source), "__size": size_of(text)}).withColumn("__n", F.row_number().over(like))
-    d = drawn.select(*[F.col(c).alias(f"{c}_d") for c in drawn.columns])
-    on = [F.col(c).eqNullSafe(F.col(f"{c}_d")) for c in ("__id", "__key", "__size", "__n")]
-    joined = wide.join(d, on, "inner")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies_d").cast("int")))).select(*docs.columns)
+    """The mixture itself: docs' columns, each document as often as it was drawn.
+
+    Documents are numbered in a written copy, and move once, by number, to meet their copies.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    drawn = sample(numbered, weights, seed, text=text, source=source, doc_id=doc_id, row="__row")
+    drawn = drawn.where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").cast("int").alias("__copies"))
+    joined = numbered.join(drawn, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return joined.select(*docs.columns)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, warc
+from . import chat, exact_dedup, mixing, packing, quality_rules, simhash, warc
 from .common import read_table
-from pyspark.sql import functions as F
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +17,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assignments(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components_of(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id", "group_size")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.sample(read_table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op7_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_quality_rules, op4_packing, op7_chat_format, op8_simhash, op10_mixing)}
