@@ -39,14 +39,15 @@ def steps(texts: Iterable[str | None], most: int = STEP_BYTES) -> Iterator[list[
 
 
 class Words:
-    """The words of some texts: start, end (byte places in buf), doc (which text), and per text n."""
+    """The words of some texts: start, end (byte places in buf), doc (which text), and per text n. blank: what parts
+    words, by byte; the line end between texts must."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], blank: np.ndarray = BLANK):
         self.raw = b"\n".join(texts) + b"\n" + bytes(8)
         self.buf = np.frombuffer(self.raw, np.uint8)[: len(self.raw) - 8]
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.edges = np.concatenate([[0], np.cumsum(sizes)])
-        self.blank = BLANK[self.buf]
+        self.blank = blank[self.buf]
         turn = np.flatnonzero(self.blank[1:] != self.blank[:-1]) + 1
         if len(self.buf) and not self.blank[0]:
             turn = np.concatenate([[0], turn])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality_rules, simhash, warc
+from . import chat, exact_dedup, langid, mixing, packing, pii, quality_rules, rule_ensemble, simhash, warc
 from .common import read_table
 
 
@@ -25,6 +25,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents")).drop("lang")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read_table(spark, sf_dir, "conversations"))
 
@@ -34,9 +42,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id", "group_size")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.sample(read_table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_quality_rules, op4_packing, op7_chat_format, op8_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_quality_rules, op4_packing, op5_quality_classifier, op6_language_id, op7_chat_format, op8_simhash, op9_pii, op10_mixing)}

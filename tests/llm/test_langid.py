@@ -1,0 +1,53 @@
+import zlib
+
+import pytest
+
+from lexmill.llm import langid
+from lexmill.llm.queries import op5_quality_classifier, op6_language_id
+
+SCHEMA = "doc_id long, text string, lang string, score int, source string"
+WORDS = {"aa": "kalu mire tosa penu vila doru sani".split(), "bb": "sthrend whight thorngth blought twelfth".split(), "cc": "żółćę ąęśćź łódźką ńśżąć źdźbłę".split()}
+
+
+def rows():
+    out = []
+    for i in range(240):
+        k = list(WORDS)[i % 3]
+        out.append((i, " ".join(WORDS[k][(i + j * j // 2) % len(WORDS[k])] for j in range(1, 12 + i % 40)), k if i % 11 else None, 1, "s"))
+    return out
+
+
+def held(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 3 == 1
+
+
+def test_held_out_languages_and_odd_texts(spark):
+    odd = [(900, None, "aa", 1, "s"), (901, "", None, 1, "s"), (902, "12 !! \n", "bb", 1, "s"), (None, rows()[0][1], "bb", 1, "s"), (903, "x", "cc", 1, "s"), (904, "Kalu MIRE " * 20_000, "bb", 1, "s"), (5, rows()[5][1], "cc", 1, "s"), (5, rows()[5][1], "cc", 1, "s")]
+    data = rows() + odd
+    got = langid.identify(spark.createDataFrame(data, SCHEMA).repartition(5)).collect()
+    assert len(got) == len(data)
+    by = {r.doc_id: r for r in got}
+    for d, *_ in data:
+        assert by[d].held_out == held(d)
+    for d, _, lang, *_ in rows():
+        if held(d):
+            assert by[d].lang_pred == list(WORDS)[d % 3] and by[d].lang == by[d].lang_pred and 0.9 < by[d].score <= 1
+    for d in (900, 901, 902):
+        assert by[d].lang_pred == "und" and by[d].lang is None and by[d].score == 0
+    assert by[904].lang_pred == "aa" and by[903].lang is None and by[903].lang_pred in WORDS
+
+
+def test_nothing_to_learn_and_empty(spark):
+    df = spark.createDataFrame([(1, "kalu", None, 1, "s")], SCHEMA)
+    assert langid.identify(df).first().lang_pred == "und"
+    assert langid.identify(df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_held_out_accuracy_on_the_tables(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    found = op6_language_id(spark, d).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
+    found = op5_quality_classifier(spark, d).where("held_out").join(labels, "doc_id").collect()
+    assert sum(r.quality == r.predicted for r in found) >= 0.95 * len(found)
