@@ -39,11 +39,11 @@ def held_out(doc_id: str) -> Column:
 
 def dictionaries(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
     """By language; SAMPLED snippets of each come to the driver."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id) & (F.length(text) > 0))
-    known = known.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id)).alias("h"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & (F.length("text") > 0))
+    known = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     chosen = known.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= SAMPLED)
-    chosen = chosen.select(F.col("doc_id").alias(doc_id), "h").distinct()
-    rows = docs.join(F.broadcast(chosen), doc_id).where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), "h", F.substring(text, 1, SNIPPET).alias("text")).distinct()
+    rows = docs.join(F.broadcast(chosen.select("lang", "doc_id", "h").distinct()), ["lang", "doc_id"]).select("lang", "h", F.substring("text", 1, SNIPPET).alias("text")).distinct()
     found: dict[str, list] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h, r.text)):
         found.setdefault(r.lang, []).append(letters(r.text))

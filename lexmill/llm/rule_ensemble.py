@@ -125,8 +125,8 @@ def labelled(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     """Statistics and the column label of the sample to learn from."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id"))
     rows = rows.groupBy("doc_id").agg(F.max("quality").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.join(F.broadcast(rows.select(F.col("doc_id").alias("__id"), "label")), F.col(doc_id) == F.col("__id"))
-    return with_statistics(sample, [F.col("label")], text)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return with_statistics(texts.join(F.broadcast(rows), "doc_id"), [F.col("label")])
 
 
 def fit(sample: DataFrame) -> Ensemble:
