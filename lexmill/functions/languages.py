@@ -1,0 +1,75 @@
+"""Languages: their scripts, and detection from script shares and function words."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Characters that show a text to be in a language's script.
+CJK = r"⺀-⿟぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
+SCRIPT = {
+    "en": r"[A-Za-z]",
+    "ja": f"[{CJK}]",
+    "zh": r"[⺀-⿟㐀-䶿一-鿿豈-﫿]",
+    "ko": r"[가-힯]",
+    "my": r"[က-႟]",
+    "th": r"[฀-๿]",
+    "de": r"[A-Za-zÄÖÜäöüß]",
+    "fr": r"[A-Za-zÀ-ÿ]",
+    "es": r"[A-Za-zÁÉÍÑÓÚÜáéíñóúü]",
+}
+NAME = {"en": "English", "ja": "Japanese", "zh": "Chinese", "ko": "Korean", "my": "Burmese", "th": "Thai", "de": "German", "fr": "French", "es": "Spanish"}
+TAG = {"en": "en-US", "ja": "ja-JP", "zh": "zh-CN", "ko": "ko-KR", "my": "my-MM", "th": "th-TH", "de": "de-DE", "fr": "fr-FR", "es": "es-ES"}
+EAST_ASIAN, COMPLEX = ("ja", "zh", "ko"), ("my", "th")
+LATIN = ("en", "de", "fr", "es")
+
+# Detection.
+KANA, HAN, HANGUL, THAI, MYANMAR, LATIN_LETTER = r"[぀-ヿ]", r"[一-鿿]", r"[가-힯]", r"[฀-๿]", r"[က-႟]", r"[A-Za-zÀ-ÿ]"
+SHARE = 0.2
+FUNCTION_WORDS = {
+    "en": "the and of to in is for with on are by this that from be as or at an it which".split(),
+    "de": "der die das und ist mit für von den des ein eine nicht zu im auf dem wird sind auch".split(),
+    "fr": "le la les et des est pour avec une dans du en sur au par sont ce qui pas aux".split(),
+    "es": "el la los las y es para con una en del que por se al son como su más".split(),
+}
+WORD = r"[a-zà-ÿ]+"
+
+
+def table(spark: SparkSession) -> DataFrame:
+    """The nine languages as rows."""
+    rows = [(k, NAME[k], TAG[k], SCRIPT[k], k in EAST_ASIAN, k in COMPLEX) for k in SCRIPT]
+    return spark.createDataFrame(rows, "code string, name string, ooxml_lang string, script string, east_asian boolean, complex_script boolean")
+
+
+def looked_up(df: DataFrame, code: str) -> DataFrame:
+    """df with the language's row joined on; error tells the codes there are where it has none."""
+    known = F.broadcast(table(df.sparkSession).withColumnRenamed("code", code))
+    error = F.concat(F.lit("Unsupported language '"), F.col(code), F.lit(f"'. Supported: {', '.join(SCRIPT)}"))
+    return df.join(known, code, "left").withColumn("error", F.when(F.col("name").isNull(), error))
+
+
+def has_script(text: Column, lang: str) -> Column:
+    return text.rlike(SCRIPT[lang])
+
+
+def detected(text: Column) -> Column:
+    """Struct (language, confidence): kana, then the other scripts in order, by share; else most function words."""
+    kana, han, hangul, thai, myanmar, latin = (F.regexp_count(text, F.lit(p)) for p in (KANA, HAN, HANGUL, THAI, MYANMAR, LATIN_LETTER))
+    total = F.greatest(kana + han + hangul + thai + myanmar + latin, F.lit(1))
+    told = lambda lang, n: F.struct(F.lit(lang).alias("language"), (n / total).cast("double").alias("confidence"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    among = lambda ws: F.size(F.filter(words, lambda w: w.isin(ws)))
+    hits = {k: among(ws) for k, ws in FUNCTION_WORDS.items()}
+    best = F.greatest(*hits.values())
+    every = sum(hits.values(), F.lit(0))
+    latin_told = F.when(every == 0, F.struct(F.lit("en").alias("language"), F.lit(0.5).alias("confidence")))
+    for k, n in hits.items():
+        latin_told = latin_told.when(n == best, F.struct(F.lit(k).alias("language"), (n / every).cast("double").alias("confidence")))
+    out = F.when((kana > 0) & (kana + han >= SHARE * total), told("ja", kana + han))
+    for n, lang in ((hangul, "ko"), (thai, "th"), (myanmar, "my"), (han, "zh")):
+        out = out.when(n >= SHARE * total, told(lang, n))
+    return out.otherwise(latin_told)
+
+
+def default_target(source: Column, preferred: Column) -> Column:
+    return F.when((preferred != "") & (preferred != source), preferred).when(source == "en", "ja").otherwise("en")
