@@ -16,6 +16,7 @@ from .findings import finding, union
 from .glossary import adherence
 from .terms import OTHER, wordings
 from .validate import foreign_scripts
+from ..sources.scratch import materialize
 
 # Fixed values.
 ENGLISH_ONLY = "the and with is are this that for from which will be by to these those into their its our your should can of".split()
@@ -112,6 +113,7 @@ def completeness(pairs: DataFrame, src: str, tgt: str) -> DataFrame:
     limit = F.when(F.col("size") >= LONG, STRICT).otherwise(LOOSE) * F.col("usual")
     short = (F.col("usual") > 0) & (F.col("size") >= RATED) & ((F.col("ratio") < limit) | fewer)
     say = lambda what: F.concat(where_label(), F.lit(": " + what))
+    rows = materialize(rows.drop("rest"), "qc-completeness")
     active = rows.where("not bare")
     return union(
         rows.where("bare").select(*finding("completeness", "not_translated", "error", say("paragraph not translated"))),

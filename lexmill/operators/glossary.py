@@ -39,7 +39,7 @@ def directed(terms: DataFrame, src: str, tgt: str) -> DataFrame:
 
 
 def _order(t: dict) -> tuple:
-    return -len(t["find"]), not t["keywords"], t["priority"], t["term_seq"], t["find"], t["instead"]
+    return -len(t["find"]), len(t["keywords"]) == 0, t["priority"], t["term_seq"], t["find"], t["instead"]
 
 
 def hits(text: str, around: str, terms: list[dict], patterns: dict[str, re.Pattern]) -> list[dict]:

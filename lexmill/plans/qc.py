@@ -11,6 +11,7 @@ from ..operators import checks
 from ..operators.context import page_text
 from ..operators.findings import union
 from ..operators.glossary import kept_terms, with_hints
+from ..sources.scratch import materialize
 
 
 def pairs_of(segments: DataFrame, terms: DataFrame | None, src: str, tgt: str) -> DataFrame:
@@ -26,5 +27,6 @@ def pairs_of(segments: DataFrame, terms: DataFrame | None, src: str, tgt: str) -
 
 
 def check(pairs: DataFrame, src: str, tgt: str) -> DataFrame:
-    """The findings of all checks on pairs."""
+    """The findings of all checks on pairs, which are written once and read by each check."""
+    pairs = materialize(pairs, "qc-pairs")
     return union(checks.completeness(pairs, src, tgt), checks.glossary_terms(pairs, tgt), checks.same_source_differs(pairs, tgt), checks.identifiers(pairs))
