@@ -2,58 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, scratch_path, shared_dir  # noqa: F401
+from ..sources.tables import read_table  # noqa: F401
+
 #: Words are maximal runs of anything but these six blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset (tests), an own temporary one."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="lexmill-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return _own_dirs[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and a lost executor loses none of it."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    schema = df.schema
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def code_points_order(name: str) -> list[Column]:
-    return [F.col(name).asc_nulls_last()]
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:
     """Join rows to facts on their group, where one group may hold a large share of the rows.
 

@@ -136,10 +136,20 @@ def term_hash(terms):
     return pd.Series(hashes_of(terms.tolist()), dtype="int64")
 
 
+HELD = 1 << 20  # hashes that a task counts before it passes them on
+
+
+def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+    h, n = (np.concatenate(x) for x in zip(*held))
+    terms, at = np.unique(h, return_inverse=True)
+    return terms, np.bincount(at, n, len(terms)).astype(np.int64)
+
+
 def _document_counts(bits):
-    """Per some documents, in how many of them each hash stands that the bitmap has."""
+    """Per task, in how many of its documents each hash stands that the bitmap has."""
 
     def count(batches):
+        held, size = [], 0
         for b in batches:
             for texts in steps(b.column(0).to_pylist()):
                 words = Words([t.lower() for t in texts], _NO_LETTER)
@@ -150,7 +160,17 @@ def _document_counts(bits):
                     order = hit[np.lexsort((words.doc[hit], h[hit]))]
                     new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (words.doc[order][1:] != words.doc[order][:-1])])
                     terms, n = np.unique(h[order][new], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"h": terms.view(np.int64), "n": n})
+                    held.append((terms, n))
+                    size += len(terms)
+                    if size > HELD:
+                        held = [_summed(held)]
+                        size = len(held[0][0])
+                    if size > HELD // 2 and len(held) == 1:
+                        yield pa.RecordBatch.from_pydict({"h": held[0][0].view(np.int64), "n": held[0][1]})
+                        held, size = [], 0
+        if held:
+            terms, n = _summed(held)
+            yield pa.RecordBatch.from_pydict({"h": terms.view(np.int64), "n": n})
 
     return count
 
