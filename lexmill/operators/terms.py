@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import let
 from ..functions.text import term_key, uses
 from ..functions.tokens import protected_tokens
+from ..sources.scratch import materialize
 
 # Fixed values.
 STOP = """a an the and or of to in on for with by from at as is are be was were this that these those it its
@@ -25,21 +26,20 @@ OTHER = "(other wording)"
 
 def english_phrases(text: Column) -> Column:
     """Distinct phrases of two to five words, lower-cased, none across punctuation."""
-    grams = lambda ws, n: F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.slice(ws, i, n))
+    words = F.filter(F.split(F.regexp_replace(text, CUTS, " | "), r"(?U)\s+"), lambda w: w != "")
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.rlike(WORD), F.lower(w)).otherwise("|")), " ")
+    runs = F.filter(F.transform(F.split(marked, r"\|"), lambda run: F.trim(run)), lambda run: run.contains(" "))
 
     def of_words(ws):
-        some = lambda n: F.when(F.size(ws) >= n, grams(ws, n)).otherwise(F.array().cast("array<array<string>>"))
-        return F.concat(*[some(n) for n in range(2, 6)])
+        # Phrases start and end with a word that isn't a stop word, so two of their words aren't.
+        def from_(i):
+            ends = F.sequence(i + 1, F.least(i + 4, F.size(ws)))
+            ends = F.filter(ends, lambda j: ~F.get(ws, j - 1).isin(STOP) & F.exists(F.slice(ws, i, j - i + 1), lambda w: F.length(w) >= 4))
+            return F.transform(ends, lambda j: F.array_join(F.slice(ws, i, j - i + 1), " "))
 
-    def of_chunk(chunk):
-        return let(F.filter(F.split(chunk, r"(?U)\s+"), lambda w: w != ""), of_words)
+        return F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: ~F.get(ws, i - 1).isin(STOP)), from_))
 
-    every = F.flatten(F.transform(F.split(text, CUTS), of_chunk))
-    good = F.filter(every, lambda g: F.forall(g, lambda w: w.rlike(WORD)))
-    low = F.transform(good, lambda g: F.transform(g, F.lower))
-    first_last = lambda g: ~g[0].isin(STOP) & ~F.element_at(g, -1).isin(STOP)
-    content = lambda g: (F.size(F.filter(g, lambda w: ~w.isin(STOP))) >= 2) & F.exists(g, lambda w: F.length(w) >= 4)
-    return F.array_distinct(F.transform(F.filter(low, lambda g: first_last(g) & content(g)), lambda g: F.array_join(g, " ")))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda run: let(F.split(run, " "), of_words))))
 
 
 def japanese_phrases(text: Column) -> Column:
@@ -67,21 +67,30 @@ def masked(text: Column, found: Column | None = None) -> Column:
 
 
 def occurrences(segments: DataFrame, phrases: Column) -> DataFrame:
-    """(doc_id, phrase, seg_id): which segments have which phrases, for phrases in two segments of a document or more."""
+    """(doc_id, phrase, seg_id): which segments have which phrases, for phrases in two segments of a document or more.
+
+    These are few beside all phrases and are written, so that what is made of them doesn't mine again.
+    """
     rows = segments.select("doc_id", "seg_id", F.explode(phrases).alias("phrase"))
     often = rows.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return rows.join(often, ["doc_id", "phrase"])
+    return materialize(rows.join(often, ["doc_id", "phrase"]), "phrases")
+
+
+def _seams(phrase: Column) -> Column:
+    """Three characters around each blank; all threes of a phrase without blanks. A longer phrase has those of a shorter."""
+    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(phrase) - 2, F.lit(1))), lambda i: F.substr(phrase, i, F.lit(3)))
+    return F.array_distinct(F.when(phrase.contains(" "), F.regexp_extract_all(phrase, F.lit("(?=(. .))"), F.lit(1))).otherwise(threes))
 
 
 def maximal(found: DataFrame) -> DataFrame:
     """Phrases of occurrences() without those that stand only where a longer one that has them does.
 
     A phrase is held against the longer phrases of its own segments: as many of those hold it as it has segments, or
-    it stays. So no two phrases meet that share no segment.
+    it stays. So no two phrases meet that share no segment, nor two that don't share the shorter one's first seam.
     """
-    a = found.select("doc_id", "seg_id", F.col("phrase").alias("short"), F.col("n"))
-    b = found.select("doc_id", "seg_id", F.col("phrase").alias("long"))
-    inside = a.join(b, ["doc_id", "seg_id"]).where((F.length("long") > F.length("short")) & F.contains("long", "short"))
+    a = found.select("doc_id", "seg_id", F.col("phrase").alias("short"), F.col("n"), F.get(_seams(F.col("phrase")), F.lit(0)).alias("seam"))
+    b = found.select("doc_id", "seg_id", F.col("phrase").alias("long"), F.explode(_seams(F.col("phrase"))).alias("seam"))
+    inside = a.join(b, ["doc_id", "seg_id", "seam"]).where((F.length("long") > F.length("short")) & F.contains("long", "short"))
     lost = inside.groupBy("doc_id", "short", "long", "n").agg(F.count(F.lit(1)).alias("m")).where("m = n")
     lost = lost.select("doc_id", F.col("short").alias("phrase")).distinct()
     return found.join(lost, ["doc_id", "phrase"], "left_anti")

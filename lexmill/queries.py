@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import languages, similarity, tags, text, tokens
-from .operators import checks, compare, context, evaluate, findings, geometry, glossary, memory, report, terms, validate
+from .operators import checks, compare, context, evaluate, findings, geometry, glossary, memory, report, stored, terms, validate
 from .plans import qc, translate
 from .sources.segments import mutated, segments_of, with_identifiers
 from .sources.tables import clean_glossary, first_of_each_blob, read_table
@@ -300,6 +300,18 @@ def glossary_validate(spark, sf_dir):
     return glossary.invalid(spark.createDataFrame(rows, "term_seq int, source_term string, target_term string, source_lang string, target_lang string, do_not_translate boolean, priority string"))
 
 
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) t(id, name)")
+def glossary_ensure(spark, sf_dir):
+    names = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    return stored.ensured(stored.ensured(names, "b"), "c")
+
+
+@query(f"WITH {STORED_SQL} SELECT id, source_term FROM stored WHERE glossary_id = 1 AND source_lang = 'en' AND ((source_term = 'Alarm' AND target_lang = 'de' AND context = '') OR (source_term = 'Chiller' AND target_lang = 'ja' AND context = 'hvac'))")
+def glossary_ids(spark, sf_dir):
+    keys = spark.createDataFrame([(1, "Alarm", "en", "de", ""), (1, "Chiller", "en", "ja", "hvac"), (1, "chiller", "en", "ja", "hvac")], "glossary_id int, source_term string, source_lang string, target_lang string, context string")
+    return stored.ids_of(stored_terms(spark), keys).select("id", "source_term")
+
+
 # Recurring terms
 
 _STOPS = ", ".join(f"'{w}'" for w in terms.STOP)
@@ -333,6 +345,18 @@ def term_top(spark, sf_dir):
     return terms.top_terms(terms.maximal(mined(spark, sf_dir)))
 
 
+_SHEET = r"WITH " + SEG + r", t(source_term, target_term, pat) AS (VALUES ('thing', 'Ding', '(?i)(^|[^A-Za-z0-9])thing(s|es)?([^A-Za-z0-9]|$)'), ('ering', 'Erung', '(?i)(^|[^A-Za-z0-9])ering(s|es)?([^A-Za-z0-9]|$)'), ('BMS', 'BMS', '(^|[^A-Za-z0-9])BMS(s|es)?([^A-Za-z0-9]|$)'))"
+
+
+@query(_SHEET + " SELECT doc_id, source_term, target_term, count(*) AS occurrences FROM plains, t WHERE regexp_matches(plain, pat) GROUP BY ALL HAVING count(*) >= 2")
+def sheet_restored(spark, sf_dir):
+    segments = marked(spark, sf_dir).withColumn("plain", tags.strip_tags(F.col("source")))
+    sheet = [("thing", "Ding", ""), ("ering", "Erung", None), ("BMS", "BMS", "x"), ("see", "", "UNRESOLVED: a / b")]
+    each = spark.createDataFrame(sheet, "source_term string, target_term string, notes string")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id").withColumn("k", F.explode(F.array(*[F.lit(t) for t, _, _ in sheet])))
+    return stored.restored_sheet(docs.join(F.broadcast(each), F.col("k") == F.col("source_term")).drop("k"), segments)
+
+
 _WORDS = r"WITH " + SEG + ", use AS (SELECT doc_id, seg_id, container, CASE WHEN regexp_matches(plain, '(?i)thing') THEN 'thing' ELSE 'ering' END AS phrase, target FROM pairs WHERE target IS NOT NULL AND regexp_matches(plain, '(?i)thing|ering')), cand(phrase, candidate) AS (VALUES ('thing', 'thing'), ('thing', 'the'), ('ering', 'ering'), ('ering', 'ring')), sup AS (SELECT doc_id, phrase, candidate, count(*) AS support FROM use JOIN cand USING (phrase) WHERE contains(lower(target), candidate) GROUP BY ALL), n AS (SELECT doc_id, phrase, count(*) AS n FROM use GROUP BY ALL), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY support DESC, length(candidate) DESC, candidate DESC) AS r FROM sup) WHERE r = 1), vote AS (SELECT doc_id, phrase, CASE WHEN n >= 2 AND support >= 2 AND 2 * support > n THEN candidate END AS winner, coalesce(support, 0) AS support, n FROM n LEFT JOIN best USING (doc_id, phrase))"
 
 
@@ -526,6 +550,31 @@ def findings_csv(spark, sf_dir):
     return sheet.select("severity", F.col("check").alias("category"), F.col("segment").alias("seg_id"), "translation")
 
 
+_ORDERED = _FOUND + ", o AS (SELECT f.seg_id, p.doc_id, p.container, CASE WHEN f.category = 'identifiers' THEN 'number_changed' WHEN f.severity = 'error' THEN 'not_translated' ELSE 'added_text' END AS code, CASE f.severity WHEN 'error' THEN 0 ELSE 1 END AS rank, CASE f.category WHEN 'completeness' THEN 1 ELSE 2 END AS place FROM f JOIN pairs p USING (seg_id))"
+
+
+@query(_ORDERED + " SELECT seg_id, code, (SELECT greatest(count(*) - 15, 0) FROM o) AS more FROM o ORDER BY rank, place, container, doc_id, code, seg_id LIMIT 15")
+def findings_worst(spark, sf_dir):
+    return stored.worst(simple_findings(spark, sf_dir)).select(F.get("segments", F.lit(0)).alias("seg_id"), "code", F.col("more").cast("long").alias("more"))
+
+
+@query(_ORDERED + " SELECT CASE place WHEN 1 THEN 'completeness' ELSE 'identifiers' END AS category, count(*) AS n FROM o GROUP BY ALL")
+def findings_panel(spark, sf_dir):
+    return stored.panel(simple_findings(spark, sf_dir)).where("size(texts) between 1 and 2").select("category", "n")
+
+
+@query(r"WITH " + SEG + r" SELECT seg_id FROM pairs WHERE doc_id % 2 = 0 AND target IS NOT NULL AND regexp_replace(plain, '\s+', '', 'g') <> regexp_replace(target, '\s+', '', 'g')")
+def drawing_left(spark, sf_dir):
+    rows = test_pairs(spark, sf_dir).select("doc_id", "seg_id", F.col("plain").alias("source"), "target")
+    return stored.still_drawn(rows, rows.where("doc_id % 2 = 0").select("doc_id", F.col("source").alias("text"))).select("seg_id")
+
+
+@query("SELECT * FROM (VALUES ('a', 'basic', 97.5, 2.0), ('b', 'basic', 90.0, NULL)) t(model, deck, translated_pct, seconds)")
+def scorecard(spark, sf_dir):
+    runs = [spark.createDataFrame([("a", "basic", 97.5, 2.0)], "model string, deck string, translated_pct double, seconds double"), spark.createDataFrame([("b", "basic", 90.0)], "model string, deck string, translated_pct double")]
+    return stored.scorecard(*runs).select("model", "deck", "translated_pct", "seconds")
+
+
 # Reports
 
 
@@ -577,6 +626,12 @@ def job_history(spark, sf_dir):
     return report.history(jobs(spark, sf_dir)).select("id", "status")
 
 
+@query("SELECT event_id AS id, event_type AS status, 0 AS warnings FROM events UNION ALL SELECT (SELECT max(event_id) FROM events) + n, s, w FROM (VALUES (1, 'done', 2), (2, 'failed', 0)) t(n, s, w)")
+def job_record(spark, sf_dir):
+    done = jobs(spark, sf_dir).select("id", "status", F.lit(0).alias("warnings"))
+    return stored.recorded(done, spark.createDataFrame([(1, "done", ["a", "b"]), (2, "failed", [])], "seq int, status string, issues array<string>"))
+
+
 @query("SELECT event_type AS status, count(*) AS n, round(sum(value), 3) AS tokens, round(sum(value) / nullif(sum((user_id % 7)::DOUBLE), 0), 6) AS rate FROM events GROUP BY ALL")
 def job_summary(spark, sf_dir):
     return report.job_summary(jobs(spark, sf_dir))
