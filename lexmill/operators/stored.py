@@ -18,7 +18,7 @@ from .glossary import KEY
 SCORECARD = """model deck file direction doc_terms_mode translated_pct protected_token_integrity_pct glossary_adherence_pct doc_terms
 doc_term_consistency_pct tag_integrity_pct warnings harmonised repaired ocr_segments seconds tokens_per_second""".split()
 WORST = 15
-PANEL_TEXTS, PANEL_FINDINGS, PANEL_PAGES = 2, 6, 8
+PANEL_TEXTS = 2
 
 
 def names(glossaries: DataFrame) -> DataFrame:

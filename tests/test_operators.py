@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lexmill.operators import checks, compare, context, evaluate, findings, geometry, glossary, memory, report, terms, validate
+from lexmill.operators import checks, compare, context, evaluate, findings, geometry, glossary, memory, report, stored, terms, validate
 from lexmill.plans import qc, translate
 from lexmill.sources import tables
 from lexmill.streaming.checks import validated
@@ -146,6 +146,23 @@ def test_stored_glossary(spark):
         assert "nothing" in str(e)
 
 
+def test_stored_tables(spark):
+    names = spark.createDataFrame([(3, "a")], "id int, name string")
+    assert sorted(tuple(r) for r in stored.ensured(stored.ensured(names, "a"), "b").collect()) == [(3, "a"), (4, "b")]
+    assert [tuple(r) for r in stored.ensured(names.limit(0), "z").collect()] == [(1, "z")]
+    jobs = spark.createDataFrame([(7, "done", 0)], "id int, status string, warnings int")
+    got = stored.recorded(jobs, spark.createDataFrame([(1, "failed", ["x", "y"])], "seq int, status string, issues array<string>"))
+    assert sorted(tuple(r) for r in got.collect()) == [(7, "done", 0), (8, "failed", 2)]
+    assert stored.cleared(jobs)[0] == 1 and stored.cleared(jobs)[1].isEmpty()
+    sheet = spark.createDataFrame([(1, "chiller", "冷凍機", ""), (1, "VAV", "VAV", None), (1, "alarm", "", "UNRESOLVED: a / b")], "doc_id long, source_term string, target_term string, notes string")
+    texts = ["The chillers run", "A Chiller stops, an alarm", "vav box, alarm", "VAV-2 here", "prechiller"]
+    segments = spark.createDataFrame([(1, f"s{i}", t) for i, t in enumerate(texts)], "doc_id long, seg_id string, plain string")
+    assert [(r.source_term, r.occurrences) for r in stored.restored_sheet(sheet, segments).collect()] == [("chiller", 2)]
+    rows = spark.createDataFrame([(1, "a", "Old text", "new"), (1, "b", "Kept", "K ept"), (1, "c", "Gone", "weg")], "doc_id long, seg_id string, source string, target string")
+    drawn = spark.createDataFrame([(1, "Old  text"), (1, "Kept")], "doc_id long, text string")
+    assert [r.seg_id for r in stored.still_drawn(rows, drawn).collect()] == ["a"]
+
+
 def test_geometry(spark):
     box = "page long, id string, seq int, text string, x0 double, y0 double, x1 double, y1 double"
     a = spark.createDataFrame([(1, "a", 0, "", 0.0, 0.0, 100.0, 50.0), (1, "b", 1, "", 0.0, 40.0, 100.0, 90.0), (2, "c", 0, "", 0.0, 0.0, 500.0, 500.0)], box)
