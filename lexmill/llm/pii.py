@@ -7,6 +7,11 @@ the entity itself, is the share of it that the term discloses. With TOGETHER doc
 GENERALISE a candidate's occurrences near the entity become a span of kind term, to be replaced by a general word; from
 REMOVE on, of kind drop, to be removed. Documents without an entity are never touched.
 
+That is the narrow form. With whole=True, which op9 takes, all terms of a document are candidates for all its entities,
+pairs of fewer than TOGETHER documents get a smoothed share (one document more with the term, which has the entity as
+often as any) instead of none, and the terms that disclose enough become spans wherever they stand, also in documents
+without an entity. Terms of under LEAST_TERM bytes are no candidates in either form.
+
 Terms are counted by 64-bit hash. A bitmap of fixed size first drops words that no candidate has; what passes is counted
 exactly, however full it is. Defined results: null text is empty; null doc_ids and repeated rows are documents of their
 own; an empty table gives an empty result; extra columns are kept by sanitise() and ignored by find().
@@ -19,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -177,12 +183,16 @@ def _document_counts(bits):
 
 def document_counts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
     """(h, n): in how many documents the terms with the hashes wanted (column h) stand, perhaps with others."""
-    spark = docs.sparkSession
     bits = np.zeros(BITMAP // 8, np.uint8)
     words = wanted.select(F.col("h").bitwiseAND(F.lit(BITMAP - 1)).alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at & 7 as int)))").alias("bits"))
     for r in words.toLocalIterator():  # BITMAP / 8 rows at most
         bits[r.byte] = r.bits
-    shared = spark.sparkContext.broadcast(bits)
+    return counted_terms(docs, bits, text)
+
+
+def counted_terms(docs: DataFrame, bits: np.ndarray, text: str = "text") -> DataFrame:
+    """(h, n_term): in how many documents the terms stand that the bitmap has."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_document_counts(shared), "h long, n long")
     return counted.groupBy("h").agg(F.sum("n").alias("n_term"))
 
@@ -203,10 +213,131 @@ def disclosing(near: DataFrame, docs: DataFrame, n_docs: int, text: str = "text"
     return materialize(told.select("pair", "size", F.when(F.col("share") >= REMOVE, "drop").otherwise("term").alias("kind")), "pii-disclosing")
 
 
-def find(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", row=None) -> DataFrame:
+def _terms(batches, *columns: int):
+    """Some MB of texts (the last column) at a time: values of the columns, words, code-point starts and ends of the words
+    in their text, base spans per text, and which words are terms outside of these."""
+    for batch in batches:
+        done = 0
+        for texts in steps(batch.column(batch.num_columns - 1).to_pylist()):
+            words = Words([t.lower() for t in texts], _NO_LETTER)
+            at = np.concatenate([[0], np.cumsum((words.buf & 0xC0) != 0x80)])
+            first = at[words.edges[words.doc]]
+            a, b = at[words.start] - first, at[words.end] - first
+            free = words.end - words.start >= LEAST_TERM
+            edges = np.concatenate([[0], np.cumsum(words.n)])
+            said_by = [t.decode("utf-8", "surrogatepass") for t in texts]
+            spans = [base_spans(t) for t in said_by]
+            for i, found in enumerate(spans):
+                own = slice(edges[i], edges[i + 1])
+                for _, x, y in found:
+                    free[own][np.searchsorted(b[own], x, "right") : np.searchsorted(a[own], y, "left")] = False
+            yield [batch.column(c).to_pylist()[done : done + len(texts)] for c in columns], words, a, b, said_by, spans, free, edges
+            done += len(texts)
+
+
+def _entity_terms(batches):
+    """Of each document with entities, the hashes of these and of its terms."""
+    for _, words, _, _, texts, spans, free, edges in _terms(batches):
+        hashes, es, hs = words.hashes().view(np.int64), [], []
+        for i, found in enumerate(spans):
+            if found:
+                own = slice(edges[i], edges[i + 1])
+                values = {entity(k, texts[i][x:y]).encode("utf-8", "surrogatepass") for k, x, y in found}
+                es.append(np.array([xxhash.xxh64_intdigest(v) for v in values], np.uint64).view(np.int64))
+                hs.append(np.unique(hashes[own][free[own]]))
+        if es:
+            yield pa.RecordBatch.from_arrays([pa.array(es, pa.list_(pa.int64())), pa.array(hs, pa.list_(pa.int64()))], ["e", "h"])
+
+
+def disclosing_terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, n_term, kind): the terms that disclose an entity of any document they share with it."""
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    both = materialize(texts.mapInArrow(_entity_terms, "e array<long>, h array<long>"), "pii-entities")
+    pairs = both.select(F.explode("e").alias("e"), "h").select("e", F.explode("h").alias("h")).groupBy("e", "h").agg(F.count(F.lit(1)).alias("n_both"))
+    entities = both.select(F.explode("e").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_entity"))
+    n = max(docs.count(), 1)
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
+    terms = counted_terms(docs, np.full(BITMAP // 8, 255, np.uint8), text)
+    # A share of GENERALISE needs n_both / n_term >= (n_entity / n) ** (1 - GENERALISE), and n_both <= n_entity.
+    terms = terms.where(F.col("n_term") <= 1 + most**GENERALISE * n ** (1 - GENERALISE))
+    pairs = materialize(pairs, "pii-pairs")
+    sizes = materialize(pairs.groupBy("h").agg(F.count(F.lit(1)).alias("size")).join(terms, "h"), "pii-terms")
+    met = join_groups(pairs, sizes, "h", "size", "inner").drop("size")
+    owners = materialize(entities.join(pairs.groupBy("e").agg(F.count(F.lit(1)).alias("size")), "e"), "pii-owners")
+    met = join_groups(met, owners, "e", "size", "inner")
+    prior = F.col("n_entity") / float(n)
+    odds = F.when(F.col("n_both") >= TOGETHER, F.col("n_both") / F.col("n_term")).otherwise((F.col("n_both") + prior) / (F.col("n_term") + 1))
+    met = met.withColumn("share", F.log2(odds / prior) / F.nullif(-F.log2(prior), F.lit(0.0))).where(F.col("share") >= GENERALISE)
+    told = met.groupBy("h").agg(F.first("n_term").alias("n_term"), F.max("share").alias("share"))
+    return materialize(told.select("h", "n_term", F.when(F.col("share") >= REMOVE, "drop").otherwise("term").alias("kind")), "pii-disclosing")
+
+
+SLICE = 20  # bits of a place in a slice of a bitmap
+
+
+def _places(h, size: int) -> list:
+    """The two bits of a hash in a bitmap of so many bits."""
+    last = np.uint64(size - 1)
+    return [h & last, (h >> np.uint64(32)) & last]
+
+
+def bitmap(terms: DataFrame, n: int) -> np.ndarray:
+    """Bytes of a bitmap with two bits for each hash h; 16 bits a term, between 2 ** 20 and 2 ** 28."""
+    size = 1 << min(28, max(SLICE, (16 * n - 1).bit_length()))
+
+    def slice_of(table):
+        bits = np.zeros(1 << SLICE, bool)
+        bits[table.column("place").to_numpy() & ((1 << SLICE) - 1)] = True
+        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
+
+    last = F.lit(size - 1)
+    places = terms.select(F.explode(F.array(F.col("h").bitwiseAND(last), F.shiftrightunsigned("h", 32).bitwiseAND(last))).alias("place"))
+    slices = places.withColumn("slice", F.shiftright("place", SLICE)).groupBy("slice").applyInArrow(slice_of, "slice long, bits binary")
+    out = np.zeros(size // 8, np.uint8)
+    for r in slices.toLocalIterator():
+        out[r.slice << (SLICE - 3) : (r.slice + 1) << (SLICE - 3)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+FOUND = pa.schema([f for f in BASE if f.name != "near"] + [pa.field(c, pa.list_(pa.int64())) for c in "hab"])
+
+
+def _scan_whole(bits):
+    """Base spans of each document, and hash, start and end of the terms that the bitmap has."""
+
+    def scan(batches):
+        size = len(bits.value) * 8
+        for (rows, ids), words, a, b, _, spans, free, edges in _terms(batches, 0, 1):
+            hashes, hit = words.hashes(), free
+            for at in _places(hashes, size):
+                hit = hit & ((bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            hit = np.flatnonzero(hit)
+            offsets = pa.array(np.searchsorted(hit, edges), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[hit].astype(np.int64))) for x in (hashes.view(np.int64), a, b)]
+            counts = [[sum(s[0] == k for s in found) for found in spans] for k in KINDS]
+            lines = [said(found) for found in spans]
+            base = [rows, ids, *counts, [hashlib.sha256(x.encode()).hexdigest() for x in lines], lines]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(base, FOUND.types)), *lists], schema=FOUND)
+
+    return scan
+
+
+def find_whole(rows: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Base rows, and (row, a, b, kind) of all occurrences of terms that disclose an entity."""
+    told = disclosing_terms(docs, text)
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(told, told.count()))
+    ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long' if f.type == pa.int64() else 'array<long>'}" for f in FOUND)
+    base = materialize(rows.mapInArrow(_scan_whole(bits), ddl), "pii-base")
+    hits = base.where(F.size("h") > 0).select("row", F.explode(F.arrays_zip("h", "a", "b")).alias("x")).select("row", "x.h", "x.a", "x.b")
+    return base.drop("h", "a", "b"), join_groups(hits, told, "h", "n_term", "inner").select("row", "a", "b", "kind")
+
+
+def find(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", row=None, whole: bool = False) -> DataFrame:
     """One row per document: row, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     row = F.monotonically_increasing_id() if row is None else row
     rows = docs.select(row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if whole:
+        return _with_spans(*find_whole(rows, docs, text))
     ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in BASE)
     base = materialize(rows.mapInArrow(_scan, ddl), "pii-base")
     each = F.from_json("near", "array<array<string>>")
@@ -215,12 +346,17 @@ def find(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", row=Non
     near = materialize(near.withColumn("pair", F.sha2(F.concat_ws("\x1f", "entity", "term").cast("binary"), 256)), "pii-near")
     told = disclosing(near, docs, base.count(), text)
     hits = join_groups(near.select("row", "pair", "a", "b"), told, "pair", "size", "inner")
+    return _with_spans(base.drop("near"), hits)
+
+
+def _with_spans(base: DataFrame, hits: DataFrame) -> DataFrame:
+    """Base rows with the spans of hits (row, a, b, kind) among their own."""
     added = hits.groupBy("row", "a", "b").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("a", "b", "kind")).alias("added"))
     parts = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("a"), F.split(s, ":")[2].cast("long").alias("b"), F.split(s, ":")[0].alias("kind")))
     order = lambda s: F.struct(s["a"].alias("a"), F.array_position(F.array(*[F.lit(k) for k in [*KINDS, "term", "drop"]]), s["kind"]).alias("o"), s["b"].alias("b"), s["kind"].alias("kind"))
     spans = F.array_sort(F.transform(F.concat(parts, "added"), order))
     line = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
-    out = base.drop("near").join(added, "row", "left").withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(line))
+    out = base.join(added, "row", "left").withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(line))
     return out.select("row", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
 
 
@@ -234,10 +370,10 @@ def _replaced(text: str, spans: str, words: dict[str, str]) -> str:
     return "".join([*out, text[done:]])
 
 
-def sanitise(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", general: str = "[term]") -> DataFrame:
+def sanitise(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", general: str = "[term]", whole: bool = False) -> DataFrame:
     """docs with the found spans of text replaced by their kind, disclosing terms generalised or removed."""
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
-    found = find(numbered, text=text, doc_id=doc_id, row=F.col("__row")).where("spans <> ''").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    found = find(numbered, text=text, doc_id=doc_id, row=F.col("__row"), whole=whole).where("spans <> ''").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     words = {k: f"[{k}]" for k in KINDS} | {"term": general, "drop": ""}
 
     @F.pandas_udf("string")

@@ -43,7 +43,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(read_table(spark, sf_dir, "documents")).drop("row")
+    return pii.find(read_table(spark, sf_dir, "documents"), whole=True).drop("row")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
