@@ -26,7 +26,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each component of near-duplicates."""
+    """One of each component of near-duplicates within op8's 4 bits on four-word shingles.
+
+    That finds 45 % of copies at a five-word Jaccard from 0.8 to below 1, and 12 % at 0.80 to 0.85; README has the table.
+    """
     return simhash.survivors(docs)
 
 

@@ -7,7 +7,7 @@ least G - 4 whole groups, so the cells are the agreements on every choice of G -
 cell. In a cell, pairs are held against the Manhattan bound and then exactly, and only links that connect something are
 returned: what is already connected isn't compared again, so a cell full of near copies costs little more than its
 size. Cells too full for one task are dealt out as pairs of blocks. G follows the number of fingerprints, for cost
-alone. Equal fingerprints are one vertex; components come from contraction rounds over written tables.
+alone. All pairs within RADIUS are connected, but near copies by shingles may lie beyond it: README has the recall. Equal fingerprints are one vertex; components come from contraction rounds over written tables.
 
 Defined results: null text counts as empty; texts without a word have fingerprint zero and link like any other; a null
 doc_id is never a component's id unless all its ids are null; repeated rows are in one component; an empty table gives
