@@ -684,9 +684,10 @@ def column_edge(spark, sf_dir):
     return geometry.column_edges(boxes(spark, sf_dir))
 
 
-def word_spans(spark, sf_dir):
-    """The first words of lines as spans, with wide gaps by rule."""
-    words = lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(F.slice(F.split("source", " "), 1, 6)).alias("seq", "text"))
+def word_spans(spark, sf_dir, whole=False):
+    """The first six words of lines, or all, as spans, with wide gaps by rule."""
+    words = F.split("source", " ")
+    words = lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(words if whole else F.slice(words, 1, 6)).alias("seq", "text"))
     x0 = (F.col("seq") * 50 + F.floor(F.col("seq") / 3) * 40).cast("double")
     return words.select(F.col("doc_id").alias("page"), F.col("pos").alias("line"), "seq", "text", x0.alias("x0"), (x0 + 45).alias("x1"), F.lit(10.0).alias("size"), (F.col("seq") % 2).alias("style"))
 
@@ -704,6 +705,19 @@ def dominant_style(spark, sf_dir):
     return geometry.dominant(word_spans(spark, sf_dir), ["page"], "style").select("page", F.col("dominant").cast("int").alias("dominant"))
 
 
+_ALL_SPANS = r"WITH " + SEG + ", sp AS (SELECT doc_id AS page, pos AS line, i - 1 AS seq, string_split(line, ' ')[i] AS text FROM segs, unnest(generate_series(1, len(string_split(line, ' ')))) t(i))"
+
+
+@query(_ALL_SPANS + " SELECT page, line, CAST(seq // 3 AS BIGINT) AS piece, string_agg(text, '' ORDER BY seq) AS text FROM sp GROUP BY ALL HAVING trim(string_agg(text, '' ORDER BY seq)) <> ''")
+def line_gaps_whole(spark, sf_dir):
+    return geometry.split_at_gaps(word_spans(spark, sf_dir, whole=True)).select("page", "line", "piece", "text")
+
+
+@query(_ALL_SPANS + ", c AS (SELECT page, seq % 2 AS style, sum(length(trim(text))) AS n FROM sp GROUP BY ALL) SELECT page, CAST(max_by(style, (n, style)) AS INT) AS dominant FROM c GROUP BY page")
+def dominant_style_whole(spark, sf_dir):
+    return geometry.dominant(word_spans(spark, sf_dir, whole=True), ["page"], "style").select("page", F.col("dominant").cast("int").alias("dominant"))
+
+
 @query(r"WITH " + SEG + " SELECT doc_id AS page, container AS para, CASE WHEN count(*) < 2 THEN 'left' WHEN doc_id % 3 = 0 THEN 'justify' WHEN max(pos % 3) > min(pos % 3) AND doc_id % 3 = 1 THEN 'right' WHEN doc_id % 3 = 1 THEN 'justify' WHEN max(pos % 3) > min(pos % 3) THEN 'center' ELSE 'justify' END AS align FROM segs GROUP BY doc_id, container")
 def alignment(spark, sf_dir):
     step = ((F.col("pos") % 3) * 10).cast("double")
