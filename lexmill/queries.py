@@ -390,9 +390,9 @@ def same_source_variants(spark, sf_dir):
 # Memory
 
 
-def memory_rows(spark, sf_dir):
+def memory_rows(spark, sf_dir, whole=False):
     labels = read_table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
-    rows = lines(spark, sf_dir).where(F.col("doc_id") % 2 == 0).join(labels, "doc_id", "left")
+    rows = lines(spark, sf_dir).where(F.lit(whole) | (F.col("doc_id") % 2 == 0)).join(labels, "doc_id", "left")
     human = F.when(F.col("good"), "human").otherwise("model")
     return rows.select(F.lit(SRC).alias("source_lang"), F.lit(TGT).alias("target_lang"), F.col("source").alias("source_text"), F.upper(F.replace("source", F.lit("ß"), F.lit("ss"))).alias("target_text"), human.alias("origin"), (F.col("doc_id") * 100_000 + F.col("pos")).alias("created_at"))
 
@@ -815,3 +815,74 @@ def translated_documents(spark, sf_dir):
 def indel_ratio_of_equal_lines(spark, sf_dir):
     rows = lines(spark, sf_dir)
     return rows.where(similarity.ratio("source", "source") < 100).groupBy("seg_id").agg(F.count("*").alias("n"))
+
+
+# Whole forms: every row, also those that the queries of these names leave out for their DuckDB forms; no SQL
+
+
+@query()
+def memory_exact_whole(spark, sf_dir):
+    asked = lines(spark, sf_dir).select("seg_id", F.lit(SRC).alias("source_lang"), F.lit(TGT).alias("target_lang"), F.col("source").alias("source_text"))
+    return memory.exact(asked, memory_rows(spark, sf_dir, whole=True)).select("seg_id", "target_text", "origin")
+
+
+@query()
+def memory_upsert_whole(spark, sf_dir):
+    rows = memory_rows(spark, sf_dir, whole=True)
+    return memory.stored(rows.where("created_at % 2 = 0"), rows).select("source_text", "origin", "target_text", "created_at")
+
+
+@query()
+def memory_similar_whole(spark, sf_dir):
+    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("lookup_id"), F.lit(SRC).alias("source_lang"), F.lit(TGT).alias("target_lang"), F.col("text").alias("source_text"))
+    return memory.similar(asked, memory_rows(spark, sf_dir, whole=True))
+
+
+@query()
+def translated_documents_whole(spark, sf_dir):
+    pairs = qc.pairs_of(marked(spark, sf_dir).withColumn("target", F.lit(None).cast("string")), test_terms(spark), SRC, TGT)
+    engine = translate.dictionary_engine({"the ": "der ", "and ": "und ", "of ": "von "})
+    done = translate.translated(pairs, engine, SRC, TGT, memory_rows(spark, sf_dir, whole=True))
+    return done.select("seg_id", "status", "target", "score")
+
+
+@query()
+def sentence_count_whole(spark, sf_dir):
+    return lines(spark, sf_dir).select("seg_id", text.sentences(F.col("source")).cast("int").alias("sentences"))
+
+
+@query()
+def tidy_latin_whole(spark, sf_dir):
+    return lines(spark, sf_dir).select("seg_id", text.tidy(F.col("source"), F.lower("source"), "en").alias("tidy"))
+
+
+@query()
+def mask_unmask_whole(spark, sf_dir):
+    rows = marked(spark, sf_dir).withColumn("m", tokens.masked(F.col("source")))
+    return rows.select("seg_id", F.col("m.text").alias("masked"), tokens.unmasked(F.col("m.text"), F.col("m.tokens")).alias("unmasked"))
+
+
+@query()
+def leftovers_whole(spark, sf_dir):
+    pairs = qc.pairs_of(test_pairs(spark, sf_dir), None, SRC, TGT).withColumn("left", checks.leftovers(SRC, TGT))
+    return pairs.where("size(left) > 0").select("seg_id", F.size("left").alias("n_left"))
+
+
+@query()
+def retag_whole(spark, sf_dir):
+    line = F.regexp_extract("source", "(?s)^<g1>(.*)</g1> by <g2>BMS</g2>$", 1)
+    output = F.concat(F.upper(F.replace(line, F.lit("ß"), F.lit("ss"))), F.lit(" bei BMS"))
+    rows = marked(spark, sf_dir).where(F.col("pos") % 6 == 4)  # only these have tags
+    return rows.select("seg_id", tags.retag(F.lit("x <g2>BMS</g2>"), output, F.create_map(F.lit("BMS"), F.lit("BMS"))).alias("retagged"))
+
+
+@query()
+def fullwidth_normalised_whole(spark, sf_dir):
+    wide = F.translate("source", text.HALFWIDTH, text.FULLWIDTH)
+    return marked(spark, sf_dir).select("seg_id", text.fullwidth_to_ascii(wide).alias("clean"))
+
+
+@query()
+def drawing_left_whole(spark, sf_dir):
+    rows = test_pairs(spark, sf_dir).select("doc_id", "seg_id", F.col("plain").alias("source"), "target")
+    return stored.still_drawn(rows, rows.select("doc_id", F.col("source").alias("text"))).select("seg_id")
