@@ -11,6 +11,7 @@ from ..operators import checks
 from ..operators.context import page_text
 from ..operators.findings import union
 from ..operators.glossary import kept_terms, with_hints
+from ..operators.terms import voted
 from ..sources.scratch import materialize
 
 
@@ -26,7 +27,16 @@ def pairs_of(segments: DataFrame, terms: DataFrame | None, src: str, tgt: str) -
     return rows.withColumn("kept", nothing_to_translate(F.col("plain"), src, F.col("protected")))
 
 
-def check(pairs: DataFrame, src: str, tgt: str) -> DataFrame:
-    """The findings of all checks on pairs, which are written once and read by each check."""
+def check(pairs: DataFrame, src: str, tgt: str, candidates: DataFrame | None = None, uses: DataFrame | None = None, issues: DataFrame | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """The findings of all checks on pairs, which are written once and read by each check.
+
+    Recurring terms are checked where their candidates (doc_id, phrase, candidate) and uses (doc_id, phrase, seg_id,
+    target) are given, layout where issues of rendering and the segments they are about are, as checks.layout takes them.
+    """
     pairs = materialize(pairs, "qc-pairs")
-    return union(checks.completeness(pairs, src, tgt), checks.glossary_terms(pairs, tgt), checks.same_source_differs(pairs, tgt), checks.identifiers(pairs))
+    found = [checks.completeness(pairs, src, tgt), checks.glossary_terms(pairs, tgt), checks.same_source_differs(pairs, tgt), checks.identifiers(pairs)]
+    if candidates is not None:
+        found.append(checks.term_variants(pairs, candidates, uses, voted(candidates, uses, tgt), tgt))
+    if issues is not None:
+        found.append(checks.layout(issues, segments))
+    return union(*found)

@@ -507,7 +507,8 @@ def token_changed_missing(spark, sf_dir):
 
 
 def all_findings(spark, sf_dir):
-    return qc.check(full_pairs(spark, sf_dir), SRC, TGT)
+    uses, candidates = term_uses(spark, sf_dir)
+    return qc.check(full_pairs(spark, sf_dir), SRC, TGT, candidates, uses)
 
 
 @query()
