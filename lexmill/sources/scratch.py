@@ -1,4 +1,8 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share.
+
+Every session has one folder of its own there, so clear() removes what it wrote in one step; loops that replace their
+tables give the old ones back with release().
+"""
 
 from __future__ import annotations
 
@@ -13,9 +17,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), an own temporary folder."""
+    """spark.checkpoint.dir; where it is unset and all runs on this machine (tests), an own temporary folder."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="lexmill-")
@@ -23,14 +29,40 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lexmill-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and a lost executor loses none of it."""
+def materialize(df: DataFrame, name: str, *partition_by: str, pack: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, and a lost executor loses none of it.
+
+    pack is for narrow rows made in a scan of wide ones: they are put together in few files first, where each of the
+    scan's many tasks would else leave a small one.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     schema = df.schema
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer = (df.hint("rebalance") if pack else df).write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/lexmill-" in path:
+                _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this session has materialized; for when its results are written elsewhere."""
+    _delete(spark, _session_dir(spark))
