@@ -1,14 +1,14 @@
 """Exact deduplication by two-pass Bloom filtering.
 
-Texts are equal when they are so after deleting the six blanks. Pass one folds every text's hash into a counting filter
-whose cells stop at two; pass two looks each hash up again. A hash with a cell below two occurs once, and its row passes
-straight through; only the others, the repeated and a few false alarms, are shuffled and compared by SHA-256. The
-filter has 16 cells of two bits a row, at most FILTER_CELLS; a larger table is worked off in slices of the hash, each
-with a filter of its own, so its memory is bounded and its false alarms are as rare at any size.
+Texts are equal when they are so after deleting the six blanks. Pass one deals the hashes of all texts, eight bytes
+each, to the parts of a counting filter whose cells stop at two; a part is some MB in one task, and there are as many as
+the table needs, so no task holds or sends a filter of the whole. A hash with a cell below two occurs once; the others,
+the repeated and a few false alarms, go into a Bloom filter of bounded size that is broadcast. Pass two looks every row
+up in it: rows that it doesn't have pass straight through, and only the rest are shuffled and compared by SHA-256.
 
 Of equal texts the one with the most code points stays, then the smallest doc_id (null: last), then the first row
 read. Defined results: null text counts as empty; empty texts equal each other; of repeated rows one stays; an empty
-table gives an empty result; extra columns are kept by survivors() and ignored by assignments().
+table gives an empty result; extra columns, whatever their names, are kept by survivors() and ignored by assignments().
 """
 
 from __future__ import annotations
@@ -18,63 +18,88 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, join_groups, materialize, text_or_empty
+from .common import BLANKS, bloom, boxed, in_bloom, join_groups, materialize, quoted, text_or_empty, unboxed
 
 CELLS_A_ROW, PROBES = 16, 3
-FILTER_CELLS = 1 << 28  # 64 MB at two bits
-PIECE = 1 << 17  # cells of a filter that travel together
+PART = 1 << 22  # cells of a part of the counting filter
+BLOCK = 512  # cells among which all probes of a hash fall
+HELD = 1 << 17  # hashes that a task deals at once
 
 
-def normalized(text: str = "text") -> Column:
+def normalized(text: Column) -> Column:
     return F.translate(text_or_empty(text), BLANKS, "")
 
 
-def cells(hashes: np.ndarray, m: int) -> np.ndarray:
-    """PROBES cells of each hash, by rows; m is a power of two."""
-    h = hashes.astype(np.uint64)
-    step = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)) | np.uint64(1)
-    h = h ^ (h >> np.uint64(31))
-    return np.stack([(h + np.uint64(i) * step) & np.uint64(m - 1) for i in range(PROBES)]).astype(np.int64)
+def cells(h: np.ndarray, part: int = PART) -> np.ndarray:
+    """PROBES cells of each unsigned hash in its part, by rows."""
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    block = (h >> np.uint64(40)) % np.uint64(max(part // BLOCK, 1)) * np.uint64(BLOCK)
+    return np.stack([block + ((h >> np.uint64(9 * i)) & np.uint64(BLOCK - 1)) for i in range(PROBES)]).astype(np.int64)
 
 
-def _count(m: int):
-    def count(batches):
-        seen = np.zeros(m, np.uint8)
+def _deal(parts: int):
+    """Hashes by part, each twice at most from one lot."""
+
+    def deal(batches):
+        held, size = [], 0
+
+        def lots():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            h = np.concatenate([h, h[n > 1]])
+            part = (h % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0, [True]]))
+            found = [(part[order[a]], h[order[a:b]].tobytes()) for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["part", "hashes"])
+
         for b in batches:
-            at, n = np.unique(cells(b.column(0).to_numpy(zero_copy_only=False), m), return_counts=True)
-            seen[at] = np.minimum(seen[at] + np.minimum(n, 2), 2)
-        for k in range(0, m, PIECE):
-            part = seen[k : k + PIECE]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "once": [np.packbits(part > 0).tobytes()], "twice": [np.packbits(part > 1).tobytes()]})
+            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            size += b.num_rows
+            if size >= HELD:
+                yield from lots()
+                held, size = [], 0
+        if size:
+            yield from lots()
 
-    return count
+    return deal
 
 
-def _merge(batches):
-    """The pieces of one partition; it has m / PIECE over the number of partitions."""
-    found: dict[int, list[np.ndarray]] = {}
+def _flag(batches):
+    """Rows (part, hashes) come sorted by part: of each, the hashes with no cell below two."""
+    now, seen, known = None, None, []
+
+    def flagged():
+        h = np.unique(np.concatenate(known))
+        h = h[(seen[cells(h)] > 1).all(axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
     for b in batches:
-        for k, *both in zip(*(c.to_pylist() for c in b.columns)):
-            once, twice = (np.frombuffer(x, np.uint8) for x in both)
-            if k in found:
-                o, t = found[k]
-                once, twice = o | once, t | twice | (o & once)
-            found[k] = [once, twice]
-    for k, (_, twice) in found.items():
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "twice": [twice.tobytes()]})
+        for part, lot in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if part != now:
+                if known:
+                    yield from flagged()
+                now, seen, known = part, np.zeros(PART, np.uint8), []
+            h = np.frombuffer(lot, np.uint64)
+            at, n = np.unique(cells(h), return_counts=True)
+            seen[at] = np.minimum(seen[at] + np.minimum(n, 2), 2)
+            known.append(h)
+            if len(known) > 64:
+                known = [np.unique(np.concatenate(known))]
+    if known:
+        yield from flagged()
+
+
+def possibly_repeated(hashes: DataFrame, n: int) -> DataFrame:
+    """(h): of the one column of n hashes, all that are repeated and a few that aren't."""
+    parts = max(1, -(-n * CELLS_A_ROW // PART))
+    dealt = hashes.mapInArrow(_deal(parts), "part long, hashes binary").repartition("part").sortWithinPartitions("part")
+    return materialize(dealt.mapInArrow(_flag, "h long"), "dedup-flagged")
 
 
 def repeat_filter(hashes: DataFrame, n: int):
-    """A broadcast (cells, packed bits of the cells hit twice) for the one column of hashes; n: number of rows."""
-    m = 1 << max(17, (CELLS_A_ROW * max(n, 1) - 1).bit_length())
-    m = min(m, FILTER_CELLS)
-    parts = hashes.mapInArrow(_count(m), "piece long, once binary, twice binary")
-    merged = parts.repartition("piece").mapInArrow(_merge, "piece long, twice binary")
-    bits = np.zeros(m // 8, np.uint8)
-    for piece, twice in merged.toLocalIterator():  # m / 8 bytes at most, whatever the input
-        bits[piece // 8 : piece // 8 + len(twice)] = np.frombuffer(twice, np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast((m, bits))
+    """A broadcast Bloom filter of the hashes that may be repeated."""
+    flagged = possibly_repeated(hashes, n)
+    return hashes.sparkSession.sparkContext.broadcast(bloom(flagged, flagged.count()))
 
 
 def maybe_repeated(filt):
@@ -84,45 +109,19 @@ def maybe_repeated(filt):
     def test(h):
         import pandas as pd
 
-        m, bits = filt.value
-        at = cells(h.to_numpy(), m)
-        return pd.Series(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
+        return pd.Series(in_bloom(h.to_numpy().view(np.uint64), filt.value))
 
     return test
 
 
-def _signatures(docs: DataFrame, text: str, doc_id: str, slices: int) -> DataFrame:
-    sha = F.sha2(normalized(text).cast("binary"), 256)
-    sig = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.length(text_or_empty(text)).cast("long").alias("n_points"), sha.alias("sha"))
-    sig = sig.withColumn("h", F.xxhash64("sha"))
-    if slices == 1:
-        return materialize(sig.withColumn("slice", F.lit(0)), "dedup-hashes")
-    return materialize(sig.withColumn("slice", F.pmod(F.col("h"), F.lit(slices)).cast("int")), "dedup-hashes", "slice")
-
-
-def n_slices(n: int, filter_cells: int = FILTER_CELLS) -> int:
-    return max(1, -(-n * CELLS_A_ROW // filter_cells))
-
-
-def assignments(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", filter_cells: int = FILTER_CELLS) -> DataFrame:
+def assignments(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    n = docs.count()
-    slices = n_slices(n, filter_cells)
-    sig = _signatures(docs, text, doc_id, slices)
-    passed, flagged = [], []
-    for k in range(slices):
-        part = sig.where(F.col("slice") == k)
-        filt = repeat_filter(part.select("h"), n // slices + 1)
-        marked = part.withColumn("maybe", maybe_repeated(filt)(F.col("h")))
-        passed.append(marked.where(~F.col("maybe")))
-        flagged.append(marked.where("maybe"))
-    first, *more = passed
-    alone = first
-    for x in more:
-        alone = alone.unionByName(x)
-    rows, *more = flagged
-    for x in more:
-        rows = rows.unionByName(x)
+    said = quoted(text)
+    sig = docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).cast("long").alias("doc_id"), F.length(text_or_empty(said)).cast("long").alias("n_points"), F.sha2(normalized(said).cast("binary"), 256).alias("sha"))
+    sig = materialize(sig.withColumn("h", F.xxhash64("sha")), "dedup-hashes", pack=True)
+    filt = repeat_filter(sig.select("h"), sig.count())
+    marked = sig.withColumn("maybe", maybe_repeated(filt)(F.col("h")))
+    alone, rows = marked.where(~F.col("maybe")), marked.where("maybe")
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("least"), F.bitwise_not("row").alias("first"))).alias("best")
     groups = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("size"), best).where("size > 1")
     groups = materialize(groups.select("sha", "size", F.bitwise_not("best.least").alias("keep"), F.bitwise_not("best.first").alias("keep_row")), "dedup-groups")
@@ -138,23 +137,16 @@ def assignments(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")))
 
 
-def survivors(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", filter_cells: int = FILTER_CELLS) -> DataFrame:
+def survivors(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without all but one of each group of equal texts; rows that occur once don't move.
 
     Rows of a group are reduced where they are read before one of each task and group is sent on.
     """
-    n = docs.count()
-    slices = n_slices(n, filter_cells)
-    hashes = F.xxhash64(F.sha2(normalized(text).cast("binary"), 256))
-    part = lambda k: F.pmod(F.col("__h"), F.lit(slices)) == k
-    saved = materialize(docs.select(hashes.alias("__h")), "dedup-hashes")
-    wide = docs.withColumns({"__sha": F.sha2(normalized(text).cast("binary"), 256)}).withColumn("__h", F.xxhash64("__sha"))
-    maybe = F.lit(False)
-    for k in range(slices):
-        filt = repeat_filter(saved.where(part(k)) if slices > 1 else saved, n // slices + 1)
-        hit = maybe_repeated(filt)(F.col("__h"))
-        maybe = maybe | (part(k) & hit) if slices > 1 else hit
-    marked = wide.withColumn("__maybe", maybe)
-    order = F.struct(F.length(text_or_empty(text)), F.bitwise_not(F.col(doc_id)), F.xxhash64(*docs.columns))
-    chosen = marked.where("__maybe").groupBy("__sha").agg(F.max_by(F.struct(*docs.columns), order).alias("__row"))
-    return marked.where(~F.col("__maybe")).select(*docs.columns).unionByName(chosen.select("__row.*"))
+    said = quoted(text)
+    sha = F.sha2(normalized(said).cast("binary"), 256)
+    saved = materialize(docs.select(F.xxhash64(sha).alias("h")), "dedup-hashes", pack=True)
+    filt = repeat_filter(saved, saved.count())
+    order = F.struct(F.length(text_or_empty(said)).alias("n"), F.bitwise_not(quoted(doc_id).cast("long")).alias("least"), F.bitwise_not(F.monotonically_increasing_id()).alias("first"))
+    rows = boxed(docs, sha=sha, order=order).withColumn("maybe", maybe_repeated(filt)(F.xxhash64("sha")))
+    chosen = rows.where("maybe").groupBy("sha").agg(F.max_by("doc", "order").alias("doc"))
+    return unboxed(rows.where(~F.col("maybe")).select("doc").unionByName(chosen.select("doc")), docs)

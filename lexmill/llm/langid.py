@@ -1,32 +1,39 @@
 """Language identification by compression.
 
 For each language a zstandard raw-content dictionary is cut from a bounded sample of its documents: at most SAMPLED of
-them by smallest hash, SNIPPET characters of each, DICTIONARY bytes together. Whole texts, lower-cased and reduced to
-letters, are compressed piece by piece under every dictionary; the language of the smallest total wins, ties by name.
-Where the runner-up is within MARGIN bytes or its share of the total, the document is rejected: lang is null.
-
-Defined results: null texts and texts without a letter are UNKNOWN with score 0; without anything to learn from, all
-are; repeated rows get the same result; an empty table gives an empty result; extra columns are ignored.
+them by smallest hash, of each a stretch from a place of its text that the hash says, equal shares of DICTIONARY bytes.
+Whole texts, lower-cased and reduced to letters, are compressed piece by piece under every dictionary; the language of
+the smallest total wins, ties by name. Where the runner-up is within MARGIN bytes or its share of the total, the
+document is rejected: lang is null, while lang_pred still names the nearest.
+
+Letters are Unicode's categories L*; marks, digits and other numbers aren't. Defined results: null texts and texts
+without a letter are UNKNOWN with score 0; without anything to learn from, all are; languages of next to no text have a
+dictionary of blanks; over MOST_LANGUAGES languages are an error, as each needs a compressor in every worker; repeated
+rows get the same result; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 UNKNOWN = "und"
-SAMPLED, SNIPPET, DICTIONARY = 150, 1000, 60_000
+SAMPLED, DICTIONARY = 150, 60_000  # documents and bytes of each language that are learned from at most
+MOST_LANGUAGES = 400
+LEAST_DICTIONARY = 8  # bytes that zstandard asks for
 PIECE, SHORT = 4096, 1024  # bytes; shorter texts are compressed harder
 LEVEL, SHORT_LEVEL = 6, 12
 MARGIN, SHARE = 3, 0.01
 SPREAD = 4.0  # bytes by which a total loses to another for odds of e
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def letters(text: str | None) -> bytes:
@@ -34,20 +41,25 @@ def letters(text: str | None) -> bytes:
 
 
 def held_out(doc_id: str) -> Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(quoted(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def dictionaries(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
-    """By language; SAMPLED snippets of each come to the driver."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & (F.length("text") > 0))
+    """By language; DICTIONARY characters of each come to the driver, of MOST_LANGUAGES languages at most."""
+    docs = docs.select(quoted(doc_id).alias("doc_id"), quoted(lang).alias("lang"), quoted(text).cast("string").alias("text"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    chosen = known.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= SAMPLED)
-    rows = docs.join(F.broadcast(chosen.select("lang", "doc_id", "h").distinct()), ["lang", "doc_id"]).select("lang", "h", F.substring("text", 1, SNIPPET).alias("text")).distinct()
+    if len(known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages to learn")
+    chosen = known.distinct().withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= SAMPLED)
+    chosen = chosen.withColumn("share", F.floor(F.lit(DICTIONARY) / F.count(F.lit(1)).over(W.partitionBy("lang"))).cast("int"))
+    rows = docs.join(F.broadcast(chosen), ["lang", "doc_id"])
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.col("share"), F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select("lang", "h", "share", F.substr("text", place, F.col("share")).alias("text")).distinct()
     found: dict[str, list] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h, r.text)):
-        found.setdefault(r.lang, []).append(letters(r.text))
-    return {k: b"\n".join(v)[:DICTIONARY] for k, v in sorted(found.items()) if len(b"\n".join(v)) >= 8}
+        found.setdefault(r.lang, []).append(letters(r.text)[: r.share])
+    return {k: b"\n".join(v)[:DICTIONARY].ljust(LEAST_DICTIONARY) for k, v in sorted(found.items())}
 
 
 class Classifier:
@@ -97,6 +109,6 @@ def _predict(dicts):
 def identify(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, lang (null where rejected)."""
     dicts = docs.sparkSession.sparkContext.broadcast(dictionaries(docs, text=text, lang=lang, doc_id=doc_id))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), quoted(text).cast("string").alias("text"))
     out = rows.mapInArrow(_predict(dicts), "doc_id long, held_out boolean, lang_pred string, score double, confident boolean")
     return out.select("doc_id", "held_out", "lang_pred", "score", F.when(F.col("confident"), F.col("lang_pred")).alias("lang"))

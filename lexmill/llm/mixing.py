@@ -7,7 +7,8 @@ have like sizes, the words taken stay within about one large document of the tar
 
 DataFrame functions only. Defined results: null text has size 0; a null source is a source of its own, last in order;
 repeated rows are documents of their own; null doc_ids come last among documents of a size; sources without words
-have target 0 and take none; an empty table gives an empty result; extra columns pass through mix() untouched.
+have target 0 and take none; an empty table gives an empty result; extra columns, whatever their names, pass through
+mix() untouched.
 """
 
 from __future__ import annotations
@@ -15,19 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, with_ranks
+from .common import WORD, materialize, numbered, quoted, unboxed, with_ranks
 
 MOST = 3  # copies of a document, and target over size of a source
 
 
-def size_of(text: str) -> Column:
+def size_of(text: Column) -> Column:
     """Number of words; null has none."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_key(source: str) -> Column:
+def source_key(source: Column) -> Column:
     """Never null; sorts by code point, null last."""
-    return F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -61,10 +62,11 @@ def offset_of(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"mix:{seed}:"), F.col(key)).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
-def sample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
-    """One row per document: doc_id, row (the column row, if named), key, size, source_size, target, copies."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"), source_key(source).alias("key"), size_of(text).alias("size"))
-    narrow = materialize(narrow.withColumn("mix", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
+def sample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", row: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, row (which tells documents apart), key, size, source_size, target, copies."""
+    row = F.monotonically_increasing_id() if row is None else row
+    narrow = docs.select(quoted(doc_id).alias("doc_id"), row.alias("row"), source_key(quoted(source)).alias("key"), size_of(quoted(text)).alias("size"))
+    narrow = materialize(narrow.withColumn("mix", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes", pack=True)
     targets = source_targets(narrow.select("key", "size"), weights)
     rows, facts = with_ranks(narrow, ["key", "size", "mix", "doc_id", "row"], ["key"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -75,13 +77,12 @@ def sample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7,
     return out.select("doc_id", "row", "key", "size", "source_size", "target", F.least(crossed, F.lit(MOST)).cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, *, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The mixture itself: docs' columns, each document as often as it was drawn.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", stored: bool = False) -> DataFrame:
+    """The mixture itself: docs' columns, each document as often as it was drawn. stored: see common.numbered().
 
-    Documents are numbered in a written copy, and move once, by number, to meet their copies.
+    Documents move once, by row, to meet their copies.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    drawn = sample(numbered, weights, seed, text=text, source=source, doc_id=doc_id, row="__row")
-    drawn = drawn.where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").cast("int").alias("__copies"))
-    joined = numbered.join(drawn, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return joined.select(*docs.columns)
+    rows = numbered(docs, stored)
+    asked = rows.select("row", *[F.col("doc")[c].alias(k) for k, c in (("doc_id", doc_id), ("text", text), ("source", source))])
+    drawn = sample(asked, weights, seed, row=F.col("row")).where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    return unboxed(rows.join(drawn, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)

@@ -4,18 +4,20 @@ Whether pieces fit depends on lengths alone, and there are at most CAPACITY of t
 and the plan is made on that histogram: classes of bins that hold the same lengths, with how many bins each stands for.
 Best-fit decreasing fills the classes; then local search takes the emptiest bins and moves a document, or exchanges one
 for one, two for one or one for two, with a fuller bin that has room for the difference. Every step adds to the sum of
-squared fills, for as many bins of both classes at once as there are, until bins are empty or no step is left. The plan
+squared fills, for as many bins of both classes at once as there are, until bins are empty or no step is left. Where
+best fit leaves no bin to empty, the steps only gather room in few bins; README has the numbers of bins. The plan
 has a few thousand rows at any size of the corpus; pieces find their places in it by their rank among the pieces of
 their length, so nothing of the corpus itself leaves the executors.
 
 Tokens: the vocabulary file's ids, each document ended by id END. Only documents over CAPACITY are cut; the first piece
 takes the rest, the others are full. Defined results: null and empty texts are a single END; repeated rows and null
-doc_ids are packed like others; an empty table gives an empty result; extra columns are ignored.
+doc_ids are packed like others; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 import re
 import zlib
@@ -26,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_ranks
+from .common import materialize, quoted, with_ranks
 
 CAPACITY = 1024
 END = 2
 BEYOND = re.compile("[^\t\n\r -~\u00a1-\u00ac\u00ae-\u017f]")
 SPECIAL = "<|endoftext|>"
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-TRIED, STEPS = 64, 1000  # emptiest classes looked at, and steps, of the local search
 
 
 class Encoder:
@@ -92,7 +93,7 @@ def _pieces(files: tuple, capacity: int):
 
 
 def pieces_of(docs: DataFrame, files: tuple[str, str | None], capacity: int = CAPACITY, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     return rows.mapInArrow(_pieces(files, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -132,55 +133,101 @@ def _changed(pattern: Pattern, out: tuple[int, ...], into: tuple[int, ...]) -> P
     return tuple(sorted(((a, n) for a, n in c.items() if n), reverse=True))
 
 
-def _subsets(pattern: Pattern, most: int = 2):
-    """Choices of one or two documents."""
-    for i, (a, n) in enumerate(pattern):
-        yield (a,)
-        if most > 1:
-            if n > 1:
-                yield (a, a)
-            for b, _ in pattern[i + 1 :]:
-                yield (a, b)
-
-
-def local_search(bins: Counter, capacity: int, steps: int = STEPS) -> Counter:
-    """Moves and swaps between underfull bins, each adding to the sum of squared fills."""
-    bins = Counter(bins)
-    under = {p for p in bins if 0 < _fill(p) < capacity}
-    stuck: set[Pattern] = set()
-    for _ in range(steps):
-        sources = [p for p in sorted(under, key=_fill)[:TRIED] if p not in stuck]
-        if not sources:
-            break
-        source, fill = sources[0], _fill(sources[0])
-        best = None
-        for target in under:
-            room, same = capacity - _fill(target), target == source
-            if _fill(target) < fill or same and bins[source] < 2 or best and room <= best[0]:
-                continue
-            sums = {0: ()} | {sum(s): s for s in _subsets(target)}
-            for gone in _subsets(source):
-                a = sum(gone)
-                for b in range(max(0, a - room), a):
-                    if b in sums and len(gone) + len(sums[b]) <= 3 and (best is None or a - b > best[0]):
-                        best = a - b, target, gone, sums[b]
-                        break
-        if best is None:
-            stuck.add(source)
-            continue
-        _, target, gone, back = best
-        n = min(bins[source], bins[target]) if target != source else bins[source] // 2
-        for old in (source, target):
-            bins[old] -= n
-            if not bins[old]:
-                del bins[old]
-                under.discard(old)
-        for new in (_changed(source, gone, back), _changed(target, back, gone)):
-            if new:
-                bins[new] += n
-                if _fill(new) < capacity:
+def _subsets(pattern: Pattern) -> dict[int, tuple[int, ...]]:
+    """Choices of one or two documents by their sum; one rather than two."""
+    ones = {a: (a,) for a, _ in pattern}
+    twos = {a + b: (a, b) for i, (a, n) in enumerate(pattern) for b, _ in pattern[i + (n < 2) :]}
+    return twos | ones
+
+
+class _Under:
+    """The underfull classes as rows of arrays: fill, when the class was made, and from each number on the least sum of
+    documents that a class could give back, of one document at most and of two."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.now, self.row, self.patterns, self.free = capacity, 0, {}, [], []
+        self.fill, self.born = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.back = np.zeros((2, 0, capacity + 2), np.int32)
+
+    def add(self, pattern: Pattern) -> None:
+        if pattern in self.row or _fill(pattern) >= self.capacity:
+            return
+        if not self.free:
+            more = max(64, len(self.fill))
+            self.free = list(range(len(self.fill) + more - 1, len(self.fill) - 1, -1))
+            self.fill = np.concatenate([self.fill, np.full(more, -1)])
+            self.born = np.concatenate([self.born, np.zeros(more, np.int64)])
+            self.back = np.concatenate([self.back, np.zeros((2, more, self.capacity + 2), np.int32)], axis=1)
+            self.patterns += [None] * more
+        i = self.free.pop()
+        self.now += 1
+        self.row[pattern], self.patterns[i], self.fill[i], self.born[i] = i, pattern, _fill(pattern), self.now
+        for k, sums in enumerate(([0, *(a for a, _ in pattern)], [0, *_subsets(pattern)])):
+            least = np.full(self.capacity + 2, 2 * self.capacity, np.int32)
+            least[sums] = sums
+            self.back[k, i] = np.minimum.accumulate(least[::-1])[::-1]
+
+    def drop(self, pattern: Pattern) -> None:
+        i = self.row.pop(pattern)
+        self.fill[i], self.patterns[i] = -1, None
+        self.free.append(i)
+
+    def best(self, source: Pattern, many: bool, since: int) -> tuple[int, Pattern, tuple, tuple] | None:
+        """The step that takes most from source: how much, to which class, what goes, what comes back. Only classes made
+        after since are looked at, none emptier than source; source itself if there are many of it."""
+        fill = _fill(source)
+        fits = (self.fill >= max(fill, 0)) & (self.born > since)
+        if not many:
+            fits[self.row[source]] = False
+        rows = np.flatnonzero(fits)
+        if not len(rows):
+            return None
+        room, found = self.capacity - self.fill[rows], None
+        for a, gone in _subsets(source).items():
+            back = self.back[2 - len(gone), rows, np.maximum(a - room, 0)]
+            k = int(np.argmin(back))
+            if back[k] < a and (found is None or a - back[k] > found[0]):
+                found = int(a - back[k]), self.patterns[rows[k]], gone, int(back[k])
+        if found is None:
+            return None
+        much, target, gone, back = found
+        sums = {0: ()} | ({a: (a,) for a, _ in target} if len(gone) == 2 else _subsets(target))
+        return much, target, gone, sums[back]
+
+
+def local_search(bins: Counter, capacity: int) -> Counter:
+    """Moves and swaps between underfull bins, each adding to the sum of squared fills, until there is none.
+
+    The emptiest class gives first. A class that found no step is tried again only against classes made since.
+    """
+    bins, under = Counter(bins), _Under(capacity)
+    for p in bins:
+        under.add(p)
+    tried: dict[Pattern, int] = {}
+    queue = [(_fill(p), p) for p in under.row]
+    heapq.heapify(queue)
+    while queue:
+        _, source = heapq.heappop(queue)
+        while source in under.row:
+            step = under.best(source, bins[source] > 1, tried.get(source, 0))
+            if step is None:
+                tried[source] = under.now
+                break
+            _, target, gone, back = step
+            n = min(bins[source], bins[target]) if target != source else bins[source] // 2
+            for old in (source, target):
+                bins[old] -= n
+                if not bins[old]:
+                    del bins[old]
+                    under.drop(old)
+                    tried.pop(old, None)
+            for new in (_changed(source, gone, back), _changed(target, back, gone)):
+                if new:
+                    bins[new] += n
                     under.add(new)
-        stuck.clear()
+        if not queue:
+            queue = [(_fill(p), p) for p in under.row if tried.get(p, 0) < under.now]
+            heapq.heapify(queue)
     return bins
 
 
@@ -204,7 +251,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    pieces = materialize(pieces, "pack-pieces")
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces", pack=True)
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     table = pieces.sparkSession.sparkContext.broadcast(slots(plan(histogram, capacity)))
 
@@ -218,7 +265,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         k = rank.to_numpy() - first
         return pd.DataFrame({"sequence_id": base + k // each, "offset": offset + k % each * length.to_numpy()})
 
-    rows, facts = with_ranks(pieces, ["length", "doc_id", "piece"], ["length"])
+    rows, facts = with_ranks(pieces, ["length", "doc_id", "piece", "row"], ["length"])
     placed = rows.join(facts, ["__part", "length"]).withColumn("at", place("length", F.col("__before") + F.col("__inside") - 1))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
 

@@ -1,20 +1,16 @@
 """Personal data: patterns, and information-theoretic sanitisation of what gives the found entities away.
 
-Base spans are e-mail, IP, card and phone patterns. Each distinct value found is a protected entity. Terms (runs of
-letters, lower-cased) within NEAR terms of an entity's mentions are candidates; counts over the whole corpus say in how
-many documents a term, an entity and both stand. The pointwise mutual information of the two, over the information of
-the entity itself, is the share of it that the term discloses. With TOGETHER documents or more and a share of at least
-GENERALISE a candidate's occurrences near the entity become a span of kind term, to be replaced by a general word; from
-REMOVE on, of kind drop, to be removed. Documents without an entity are never touched.
-
-That is the narrow form. With whole=True, which op9 takes, all terms of a document are candidates for all its entities,
-pairs of fewer than TOGETHER documents get a smoothed share (one document more with the term, which has the entity as
-often as any) instead of none, and the terms that disclose enough become spans wherever they stand, also in documents
-without an entity. Terms of under LEAST_TERM bytes are no candidates in either form.
-
-Terms are counted by 64-bit hash. A bitmap of fixed size first drops words that no candidate has; what passes is counted
-exactly, however full it is. Defined results: null text is empty; null doc_ids and repeated rows are documents of their
-own; an empty table gives an empty result; extra columns are kept by sanitise() and ignored by find().
+Base spans are e-mail, IP, card and phone patterns. Each distinct value found is a protected entity, and every term (a
+run of letters, lower-cased, of LEAST_TERM bytes or more) of a document is a candidate for all entities of that document.
+Counts over the whole corpus say in how many documents a term, an entity and both stand, each anywhere in its text. The
+pointwise mutual information of the two, over the information of the entity itself, is the share of it that the term
+discloses; pairs of fewer than TOGETHER documents get a smoothed share (one document more with the term, which has the
+entity as often as any). Terms that disclose GENERALISE or more of an entity become spans wherever they stand, also in
+documents without one: of kind term, to be replaced by a general word; from REMOVE on of kind drop, to be removed.
+
+Terms are counted by 64-bit hash. Defined results: null text is empty; null doc_ids and repeated rows are documents of
+their own; an empty table gives an empty result; extra columns, whatever their names, are kept by sanitise() and ignored
+by find().
 """
 
 from __future__ import annotations
@@ -25,17 +21,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from .common import join_groups, materialize
+from .common import bloom, in_bloom, join_groups, materialize, numbered, quoted, unboxed
 from .kernels import Words, steps
 
 KINDS = ["email", "ip", "card", "phone"]
-NEAR, TOGETHER, GENERALISE, REMOVE = 12, 3, 0.8, 0.97
+TOGETHER, GENERALISE, REMOVE = 3, 0.8, 0.97
 LEAST_TERM = 4  # bytes of a term
-BITMAP = 1 << 24  # bits
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,58 +84,6 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else _DIGITS.sub('.' if kind == 'ip' else '', value)}"
 
 
-def term_of(word: str) -> str:
-    """ASCII capitals lowered, as in the counts."""
-    return word.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-
-
-def candidates(text: str, spans) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the terms within NEAR terms of each base span, none of them inside one."""
-    out: dict[tuple, None] = {}
-    for kind, a, b in spans:
-        before = list(_TERM.finditer(text, max(0, a - 40 * NEAR), a))[-NEAR:]
-        after = []
-        for m in _TERM.finditer(text, b):
-            after.append(m)
-            if len(after) == NEAR:
-                break
-        # A run cut by the window's left edge is no whole term.
-        whole = [m for m in before if m.start() > max(0, a - 40 * NEAR) or m.start() == 0]
-        for m in whole + after:
-            if not any(m.start() < y and x < m.end() for _, x, y in spans) and len(m[0].encode("utf-8", "surrogatepass")) >= LEAST_TERM:
-                out[entity(kind, text[a:b]), term_of(m[0]), m.start(), m.end()] = None
-    return list(out)
-
-
-BASE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("near", pa.string())])
-
-
-def _scan(batches):
-    import json
-
-    for b in batches:
-        rows = []
-        for row, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            text = text.as_py() or ""
-            spans = base_spans(text)
-            n = [sum(s[0] == k for s in spans) for k in KINDS]
-            rows.append((row, doc, *n, hashlib.sha256(said(spans).encode()).hexdigest(), said(spans), json.dumps(candidates(text, spans)) if spans else None))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), BASE.types)], schema=BASE)
-
-
-def hashes_of(terms: list[str]) -> np.ndarray:
-    words = Words([t.encode("utf-8", "surrogatepass") for t in terms], _NO_LETTER)
-    return words.hashes().view(np.int64)
-
-
-@F.pandas_udf(LongType())
-def term_hash(terms):
-    import pandas as pd
-
-    return pd.Series(hashes_of(terms.tolist()), dtype="int64")
-
-
 HELD = 1 << 20  # hashes that a task counts before it passes them on
 
 
@@ -151,66 +93,33 @@ def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
     return terms, np.bincount(at, n, len(terms)).astype(np.int64)
 
 
-def _document_counts(bits):
-    """Per task, in how many of its documents each hash stands that the bitmap has."""
-
-    def count(batches):
-        held, size = [], 0
-        for b in batches:
-            for texts in steps(b.column(0).to_pylist()):
-                words = Words([t.lower() for t in texts], _NO_LETTER)
-                h = words.hashes()
-                at = h & np.uint64(BITMAP - 1)
-                hit = np.flatnonzero((bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-                if len(hit):
-                    order = hit[np.lexsort((words.doc[hit], h[hit]))]
-                    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (words.doc[order][1:] != words.doc[order][:-1])])
-                    terms, n = np.unique(h[order][new], return_counts=True)
-                    held.append((terms, n))
-                    size += len(terms)
-                    if size > HELD:
-                        held = [_summed(held)]
-                        size = len(held[0][0])
-                    if size > HELD // 2 and len(held) == 1:
-                        yield pa.RecordBatch.from_pydict({"h": held[0][0].view(np.int64), "n": held[0][1]})
-                        held, size = [], 0
-        if held:
-            terms, n = _summed(held)
-            yield pa.RecordBatch.from_pydict({"h": terms.view(np.int64), "n": n})
-
-    return count
-
-
-def document_counts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(h, n): in how many documents the terms with the hashes wanted (column h) stand, perhaps with others."""
-    bits = np.zeros(BITMAP // 8, np.uint8)
-    words = wanted.select(F.col("h").bitwiseAND(F.lit(BITMAP - 1)).alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at & 7 as int)))").alias("bits"))
-    for r in words.toLocalIterator():  # BITMAP / 8 rows at most
-        bits[r.byte] = r.bits
-    return counted_terms(docs, bits, text)
-
-
-def counted_terms(docs: DataFrame, bits: np.ndarray, text: str = "text") -> DataFrame:
-    """(h, n_term): in how many documents the terms stand that the bitmap has."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_document_counts(shared), "h long, n long")
-    return counted.groupBy("h").agg(F.sum("n").alias("n_term"))
-
-
-def disclosing(near: DataFrame, docs: DataFrame, n_docs: int, text: str = "text") -> DataFrame:
-    """(pair, size, kind): the pairs of entity and term that disclose enough. near: row, entity, term, pair."""
-    once = near.select("row", "entity", "term", "pair").distinct()
-    both = once.groupBy("pair").agg(F.first("entity").alias("entity"), F.first("term").alias("term"), F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= TOGETHER)
-    both = materialize(both.withColumn("h", term_hash("term")), "pii-pairs")
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = document_counts(docs, both.select("h"), text)
-    told = both.join(terms, "h").join(entities, "entity")
-    n = F.lit(float(max(n_docs, 1)))
-    information = F.log2(n / F.col("n_entity"))
-    share = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / F.nullif(information, F.lit(0.0))
-    sizes = near.groupBy("pair").agg(F.count(F.lit(1)).alias("size"))
-    told = told.withColumn("share", share).where(F.col("share") >= GENERALISE).join(sizes, "pair")
-    return materialize(told.select("pair", "size", F.when(F.col("share") >= REMOVE, "drop").otherwise("term").alias("kind")), "pii-disclosing")
+def _document_counts(batches):
+    """Per task, in how many of its documents each term's hash stands."""
+    held, size = [], 0
+    for b in batches:
+        for texts in steps(b.column(0).to_pylist()):
+            words = Words([t.lower() for t in texts], _NO_LETTER)
+            h = words.hashes()
+            if not len(h):
+                continue
+            order = np.lexsort((words.doc, h))
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (words.doc[order][1:] != words.doc[order][:-1])])
+            held.append(np.unique(h[order][new], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [_summed(held)]
+                size = len(held[0][0])
+            if size > HELD // 2 and len(held) == 1:
+                yield pa.RecordBatch.from_pydict({"h": held[0][0].view(np.int64), "n": held[0][1]})
+                held, size = [], 0
+    if held:
+        terms, n = _summed(held)
+        yield pa.RecordBatch.from_pydict({"h": terms.view(np.int64), "n": n})
+
+
+def counted_terms(docs: DataFrame) -> DataFrame:
+    """(h, n_term): in how many documents of the column text each term stands."""
+    return docs.select("text").mapInArrow(_document_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n_term"))
 
 
 def _terms(batches, *columns: int):
@@ -231,7 +140,7 @@ def _terms(batches, *columns: int):
                 own = slice(edges[i], edges[i + 1])
                 for _, x, y in found:
                     free[own][np.searchsorted(b[own], x, "right") : np.searchsorted(a[own], y, "left")] = False
-            yield [batch.column(c).to_pylist()[done : done + len(texts)] for c in columns], words, a, b, said_by, spans, free, edges
+            yield [batch.column(c)[done : done + len(texts)] for c in columns], words, a, b, said_by, spans, free, edges
             done += len(texts)
 
 
@@ -249,15 +158,15 @@ def _entity_terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array(es, pa.list_(pa.int64())), pa.array(hs, pa.list_(pa.int64()))], ["e", "h"])
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, n_term, kind): the terms that disclose an entity of any document they share with it."""
-    texts = docs.select(F.col(text).cast("string").alias("text"))
+def disclosing_terms(docs: DataFrame) -> DataFrame:
+    """(h, n_term, kind): the terms of the column text that disclose an entity of any document they share with it."""
+    texts = docs.select("text")
     both = materialize(texts.mapInArrow(_entity_terms, "e array<long>, h array<long>"), "pii-entities")
     pairs = both.select(F.explode("e").alias("e"), "h").select("e", F.explode("h").alias("h")).groupBy("e", "h").agg(F.count(F.lit(1)).alias("n_both"))
     entities = both.select(F.explode("e").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_entity"))
     n = max(docs.count(), 1)
     most = entities.agg(F.max("n_entity")).first()[0] or 0
-    terms = counted_terms(docs, np.full(BITMAP // 8, 255, np.uint8), text)
+    terms = counted_terms(docs)
     # A share of GENERALISE needs n_both / n_term >= (n_entity / n) ** (1 - GENERALISE), and n_both <= n_entity.
     terms = terms.where(F.col("n_term") <= 1 + most**GENERALISE * n ** (1 - GENERALISE))
     pairs = materialize(pairs, "pii-pairs")
@@ -272,81 +181,37 @@ def disclosing_terms(docs: DataFrame, text: str = "text") -> DataFrame:
     return materialize(told.select("h", "n_term", F.when(F.col("share") >= REMOVE, "drop").otherwise("term").alias("kind")), "pii-disclosing")
 
 
-SLICE = 20  # bits of a place in a slice of a bitmap
-
-
-def _places(h, size: int) -> list:
-    """The two bits of a hash in a bitmap of so many bits."""
-    last = np.uint64(size - 1)
-    return [h & last, (h >> np.uint64(32)) & last]
-
-
-def bitmap(terms: DataFrame, n: int) -> np.ndarray:
-    """Bytes of a bitmap with two bits for each hash h; 16 bits a term, between 2 ** 20 and 2 ** 28."""
-    size = 1 << min(28, max(SLICE, (16 * n - 1).bit_length()))
-
-    def slice_of(table):
-        bits = np.zeros(1 << SLICE, bool)
-        bits[table.column("place").to_numpy() & ((1 << SLICE) - 1)] = True
-        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
+FOUND = {"doc_id": "long", **{f"n_{k}": "long" for k in KINDS}, "base_sha256": "string", "base": "string", **{c: "array<long>" for c in "hab"}}
+_ARROW = {"long": pa.int64(), "string": pa.string()}
 
-    last = F.lit(size - 1)
-    places = terms.select(F.explode(F.array(F.col("h").bitwiseAND(last), F.shiftrightunsigned("h", 32).bitwiseAND(last))).alias("place"))
-    slices = places.withColumn("slice", F.shiftright("place", SLICE)).groupBy("slice").applyInArrow(slice_of, "slice long, bits binary")
-    out = np.zeros(size // 8, np.uint8)
-    for r in slices.toLocalIterator():
-        out[r.slice << (SLICE - 3) : (r.slice + 1) << (SLICE - 3)] = np.frombuffer(r.bits, np.uint8)
-    return out
 
-
-FOUND = pa.schema([f for f in BASE if f.name != "near"] + [pa.field(c, pa.list_(pa.int64())) for c in "hab"])
-
-
-def _scan_whole(bits):
-    """Base spans of each document, and hash, start and end of the terms that the bitmap has."""
+def _scan(bits):
+    """Base spans of each document, and hash, start and end of the terms that the Bloom filter has."""
 
     def scan(batches):
-        size = len(bits.value) * 8
         for (rows, ids), words, a, b, _, spans, free, edges in _terms(batches, 0, 1):
-            hashes, hit = words.hashes(), free
-            for at in _places(hashes, size):
-                hit = hit & ((bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            hit = np.flatnonzero(hit)
+            hashes = words.hashes()
+            hit = np.flatnonzero(free & in_bloom(hashes, bits.value))
             offsets = pa.array(np.searchsorted(hit, edges), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x[hit].astype(np.int64))) for x in (hashes.view(np.int64), a, b)]
             counts = [[sum(s[0] == k for s in found) for found in spans] for k in KINDS]
             lines = [said(found) for found in spans]
-            base = [rows, ids, *counts, [hashlib.sha256(x.encode()).hexdigest() for x in lines], lines]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(base, FOUND.types)), *lists], schema=FOUND)
+            base = [ids.to_pylist(), *counts, [hashlib.sha256(x.encode()).hexdigest() for x in lines], lines]
+            yield pa.RecordBatch.from_arrays([rows, *(pa.array(c, _ARROW[t]) for c, t in zip(base, FOUND.values())), *lists], ["row", *FOUND])
 
     return scan
 
 
-def find_whole(rows: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """Base rows, and (row, a, b, kind) of all occurrences of terms that disclose an entity."""
-    told = disclosing_terms(docs, text)
-    bits = rows.sparkSession.sparkContext.broadcast(bitmap(told, told.count()))
-    ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long' if f.type == pa.int64() else 'array<long>'}" for f in FOUND)
-    base = materialize(rows.mapInArrow(_scan_whole(bits), ddl), "pii-base")
-    hits = base.where(F.size("h") > 0).select("row", F.explode(F.arrays_zip("h", "a", "b")).alias("x")).select("row", "x.h", "x.a", "x.b")
-    return base.drop("h", "a", "b"), join_groups(hits, told, "h", "n_term", "inner").select("row", "a", "b", "kind")
-
-
-def find(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", row=None, whole: bool = False) -> DataFrame:
+def find(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", row: Column | None = None) -> DataFrame:
     """One row per document: row, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     row = F.monotonically_increasing_id() if row is None else row
-    rows = docs.select(row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if whole:
-        return _with_spans(*find_whole(rows, docs, text))
-    ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in BASE)
-    base = materialize(rows.mapInArrow(_scan, ddl), "pii-base")
-    each = F.from_json("near", "array<array<string>>")
-    near = base.where("near is not null").select("row", F.explode(each).alias("x"))
-    near = near.select("row", F.col("x")[0].alias("entity"), F.col("x")[1].alias("term"), F.col("x")[2].cast("long").alias("a"), F.col("x")[3].cast("long").alias("b"))
-    near = materialize(near.withColumn("pair", F.sha2(F.concat_ws("\x1f", "entity", "term").cast("binary"), 256)), "pii-near")
-    told = disclosing(near, docs, base.count(), text)
-    hits = join_groups(near.select("row", "pair", "a", "b"), told, "pair", "size", "inner")
-    return _with_spans(base.drop("near"), hits)
+    rows = docs.select(row.alias("row"), quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
+    told = disclosing_terms(rows)
+    bits = rows.sparkSession.sparkContext.broadcast(bloom(told, told.count()))
+    ddl = ", ".join([f"row {rows.schema['row'].dataType.simpleString()}", *(f"{k} {v}" for k, v in FOUND.items())])
+    base = materialize(rows.mapInArrow(_scan(bits), ddl), "pii-base")
+    hits = base.where(F.size("h") > 0).select("row", F.explode(F.arrays_zip("h", "a", "b")).alias("x")).select("row", "x.h", "x.a", "x.b")
+    return _with_spans(base.drop("h", "a", "b"), join_groups(hits, told, "h", "n_term", "inner").select("row", "a", "b", "kind"))
 
 
 def _with_spans(base: DataFrame, hits: DataFrame) -> DataFrame:
@@ -370,18 +235,21 @@ def _replaced(text: str, spans: str, words: dict[str, str]) -> str:
     return "".join([*out, text[done:]])
 
 
-def sanitise(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", general: str = "[term]", whole: bool = False) -> DataFrame:
-    """docs with the found spans of text replaced by their kind, disclosing terms generalised or removed."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
-    found = find(numbered, text=text, doc_id=doc_id, row=F.col("__row"), whole=whole).where("spans <> ''").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+def sanitise(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", general: str = "[term]", stored: bool = False) -> DataFrame:
+    """docs with the found spans of text replaced by their kind, disclosing terms generalised or removed. stored: see
+    common.numbered()."""
+    rows = numbered(docs, stored)
+    asked = rows.select("row", F.col("doc")[doc_id].alias("doc_id"), F.col("doc")[text].alias("text"))
+    found = find(asked, row=F.col("row")).where("spans <> ''").select("row", "spans")
     words = {k: f"[{k}]" for k in KINDS} | {"term": general, "drop": ""}
 
     @F.pandas_udf("string")
     def replaced(texts, spans):
         import pandas as pd
 
-        return pd.Series([_replaced(t, s, words) if s else t for t, s in zip(texts, spans)])
+        return pd.Series([_replaced(t, s, words) for t, s in zip(texts, spans)], dtype="object")
 
-    joined = numbered.join(found, "__row", "left")
-    whole, cut = joined.where("__spans is null"), joined.where("__spans is not null")
-    return whole.select(*docs.columns).unionByName(cut.withColumn(text, replaced(F.col(text), F.col("__spans"))).select(*docs.columns))
+    joined = rows.join(found, "row", "left")
+    cut = joined.where("spans is not null").withColumn("text", replaced(F.col("doc")[text].cast("string"), F.col("spans")))
+    clean = cut.select(*[(F.col("text").cast(docs.schema[c].dataType) if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
+    return unboxed(joined.where("spans is null"), docs).unionByName(clean)

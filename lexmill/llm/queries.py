@@ -30,7 +30,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(read_table(spark, sf_dir, "documents")).drop("lang")
+    return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(read_table(spark, sf_dir, "documents"), whole=True).drop("row")
+    return pii.find(read_table(spark, sf_dir, "documents")).drop("row")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,20 @@
 
 A fingerprint's 64 bits are 32 segments of two; the vector of their bit counts is the embedding, and its Manhattan
 distance never exceeds the Hamming distance. Counts are held in unary, two bits each, so that distance is the number of
-differing bits of two longs. The grid: segments fall into G groups, and vectors within Manhattan distance 4 agree on at
-least G - 4 whole groups, so the cells are the agreements on every choice of G - 4 groups; any pair in range shares a
-cell. In a cell, pairs are held against the Manhattan bound and then exactly, and only links that connect something are
-returned: what is already connected isn't compared again, so a cell full of near copies costs little more than its
-size. Cells too full for one task are dealt out as pairs of blocks. G follows the number of fingerprints, for cost
-alone. All pairs within RADIUS are connected, but near copies by shingles may lie beyond it: README has the recall. Equal fingerprints are one vertex; components come from contraction rounds over written tables.
+differing bits of two longs.
+
+The grid: counts run from 0 to 2, so a range of 4 covers every single axis and a cell of adjoining values would hold all;
+what a Manhattan range of 4 does restrict is on how many axes two vectors differ, which is 4 at most. So axes fall into G
+groups, vectors in range agree on at least G - 4 whole groups, and the grid's cells are the agreements on every choice of
+G - 4 groups; any pair in range shares a cell. In a cell, pairs are held against the Manhattan bound and then exactly,
+and only links that connect something are returned: what is already connected isn't compared again, so a cell full of
+near copies costs little more than its size. Cells too full for one task are dealt out as pairs of blocks. G follows the
+number of fingerprints, for cost alone. All pairs within RADIUS are connected, but near copies by shingles may lie beyond
+it: README has the recall. Equal fingerprints are one vertex; components come from contraction rounds over written tables.
 
 Defined results: null text counts as empty; texts without a word have fingerprint zero and link like any other; a null
 doc_id is never a component's id unless all its ids are null; repeated rows are in one component; an empty table gives
-an empty result; extra columns are kept by survivors() and ignored by components_of().
+an empty result; extra columns, whatever their names, are kept by survivors() and ignored by components_of().
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize
+from .common import join_groups, materialize, numbered, quoted, release, unboxed
 
 RADIUS = 4
 SHINGLE = 4
@@ -184,6 +188,7 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = materialize(edges, "links")
     roots = None
     while not edges.isEmpty():
+        before = [edges] if roots is None else [edges, roots]
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
         least = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
         took = both.groupBy("v").agg(F.min(least("w")).alias("m")).select("v", F.least("m", least("v"))["x"].alias("to"))
@@ -195,28 +200,33 @@ def connected(edges: DataFrame) -> DataFrame:
         else:
             step = took.select(F.col("v").alias("root"), "to")
             roots = materialize(roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root")), "link-roots")
+            before.append(took)
+        release(*before)
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root")) if roots is None else roots
 
 
 def components_of(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", row: Column | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: row, doc_id, fingerprint, component_id, group_size, first (row that stays)."""
     row = F.monotonically_increasing_id() if row is None else row
-    rows = docs.select(row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = materialize(rows.mapInArrow(_fingerprints, "row long, doc_id long, fp long"), "simhash-fingerprints")
+    rows = docs.select(row.alias("row"), quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    marked = materialize(rows.mapInArrow(_fingerprints, f"row {kind}, doc_id long, fp long"), "simhash-fingerprints")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     kinds = materialize(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("first")), "simhash-kinds")
     roots = connected(links(kinds.select("fp"), kinds.count(), block))
     kinds = kinds.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = kinds.groupBy("root").agg(F.min("first").alias("best"), F.sum("size").alias("group_size"))
-    told = materialize(kinds.join(groups, "root").select("fp", "size", "group_size", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("first")), "simhash-told")
+    kinds = materialize(kinds, "simhash-roots")
+    groups = materialize(kinds.groupBy("root").agg(F.min("first").alias("best"), F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("n_kinds")), "simhash-groups")
+    told = join_groups(kinds, groups, "root", "n_kinds", "inner")
+    told = materialize(told.select("fp", "size", "group_size", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("first")), "simhash-told")
     out = join_groups(marked, told, "fp", "size", "inner")
     return out.select("row", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size", "first")
 
 
-def survivors(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each component."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    found = components_of(numbered, text=text, doc_id=doc_id, row=F.col("__row"))
-    gone = materialize(found.where("group_size > 1 and row <> first").select(F.col("row").alias("__row")), "simhash-gone")
+def survivors(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", stored: bool = False) -> DataFrame:
+    """docs with one document, that of the smallest doc_id, of each component. stored: see common.numbered()."""
+    rows = numbered(docs, stored)
+    found = components_of(rows.select("row", F.col("doc")[doc_id].alias("doc_id"), F.col("doc")[text].alias("text")), row=F.col("row"))
+    gone = materialize(found.where("group_size > 1 and row <> first").select("row"), "simhash-gone")
     gone = F.broadcast(gone) if gone.count() <= FEW else gone
-    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
+    return unboxed(rows.join(gone, "row", "left_anti"), docs)

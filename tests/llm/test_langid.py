@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+import zstandard
 
 from lexmill.llm import langid
 from lexmill.llm.queries import op5_quality_classifier, op6_language_id
@@ -37,6 +38,41 @@ def test_held_out_languages_and_odd_texts(spark):
     assert by[904].lang_pred == "aa" and by[903].lang is None and by[903].lang_pred in WORDS
 
 
+def test_only_letters_count(spark):
+    texts = ["½", "² ①", "Ⅷ ⅷ", "\u0301\u0e31", "٣४", "_ 1", "ª", "ß1"]
+    data = rows() + [(950 + i, t, None, 1, "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(data, SCHEMA)).where("doc_id >= 950").collect()}
+    for i, t in enumerate(texts):
+        assert (got[950 + i].lang_pred == "und") == (not any(c.isalpha() for c in t)), t
+
+
+def test_sizes_by_plain_compression(spark):
+    data = rows() + [(990, "", "dd", 1, "s"), (991, "x", "ee", 1, "s"), (993, "x", "ee", 1, "s"), (994, "x", "ee", 1, "s")]
+    dicts = langid.dictionaries(spark.createDataFrame(data, SCHEMA))
+    assert set(dicts) == {*WORDS, "ee"} and all(8 <= len(d) <= langid.DICTIONARY for d in dicts.values())
+    taught = {k: " ".join(t for d, t, lang, *_ in data if lang == k and not held(d)) for k in dicts}
+    for k, d in dicts.items():
+        assert set(d.decode().split()) <= set(taught[k].lower().split())
+    classify = langid.Classifier(dicts)
+    for d, t, *_ in rows()[:60]:
+        level = 12 if len(t.encode()) < 1024 else 6
+        plain = {}
+        for k, content in dicts.items():
+            how = zstandard.ZstdCompressionParameters.from_level(level, source_size=4096, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+            plain[k] = len(z.compress(t.lower().encode()))
+        name, score, sure = classify(t)
+        assert name == min(plain, key=lambda k: (plain[k], k)) and 0 < score <= 1
+        first, second = sorted(plain.values())[:2]
+        assert sure == (second - first >= max(3, 0.01 * first))
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.dictionaries(spark.createDataFrame(rows(), SCHEMA))
+
+
 def test_nothing_to_learn_and_empty(spark):
     df = spark.createDataFrame([(1, "kalu", None, 1, "s")], SCHEMA)
     assert langid.identify(df).first().lang_pred == "und"

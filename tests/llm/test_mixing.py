@@ -25,7 +25,7 @@ def docs(spark, rows):
 
 def test_targets_caps_and_copies(spark):
     rows = [(i, "w " * (1 + i * 7 % 50), "en", "big" if i % 3 else f"s{i % 21}", i) for i in range(900)] + [(None, "a b", None, None, 0), (7, None, "en", None, 1), (7, None, "en", None, 1), (5, "", "x", "empty", 1)]
-    got = mixing.sample(docs(spark, rows)).collect()
+    got = mixing.sample(docs(spark, rows)).drop("row").collect()
     sizes = {}
     for _, text, _, source, _ in rows:
         sizes[source] = sizes.get(source, 0) + len((text or "").split())
@@ -36,7 +36,7 @@ def test_targets_caps_and_copies(spark):
     for key, target in want.items():
         taken = sum(r["copies"] * r["size"] for r in got if r["key"] == key)
         assert abs(taken - target) <= 3 * 50 + 1
-    again = mixing.sample(docs(spark, rows).repartition(7)).collect()
+    again = mixing.sample(docs(spark, rows).repartition(7)).drop("row").collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 

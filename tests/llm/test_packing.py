@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 
@@ -59,6 +60,39 @@ def test_plan_is_best_fit_or_better_and_complete():
             assert held == h
 
 
+def steps_left(bins, capacity):
+    """Whether any pair of underfull bins has a step that adds to the sum of squared fills, by trying all."""
+    every = [list(Counter(dict(p)).elements()) for p, n in bins.items() for _ in range(min(n, 2))]
+    every = [b for b in every if sum(b) < capacity]
+    choices = lambda b, most: [c for k in range(most + 1) for c in combinations(b, k)]
+    for i, s in enumerate(every):
+        for j, t in enumerate(every):
+            if i != j and sum(t) >= sum(s):
+                for a in choices(s, 2)[1:]:
+                    for b in choices(t, 3 - len(a)):
+                        much = sum(a) - sum(b)
+                        if len(b) <= 2 and much > 0 and sum(t) + much <= capacity:
+                            return True
+    return False
+
+
+def test_local_search_ends_where_no_step_is_left():
+    r = random.Random(5)
+    for capacity, n in ((20, 30), (100, 60), (1024, 80)):
+        for _ in range(5):
+            h = Counter(r.randint(capacity // 5, capacity * 3 // 5) for _ in range(n))
+            bins = packing.local_search(packing.best_fit(h, capacity), capacity)
+            assert not steps_left(bins, capacity)
+
+
+def test_local_search_has_no_cap_on_steps_or_classes():
+    r = random.Random(6)
+    h = Counter(r.randint(300, 600) for _ in range(3000))
+    first = packing.best_fit(h, 1024)
+    found = packing.local_search(first, 1024)
+    assert sum(found.values()) < sum(first.values())
+
+
 def test_local_search_empties_bins_that_best_fit_leaves():
     start = Counter({((6, 1),): 1, ((5, 1), (3, 1)): 1, ((4, 1), (3, 1)): 1, ((5, 1), (4, 1)): 1})
     assert sum(packing.local_search(start, 10).values()) == 3
