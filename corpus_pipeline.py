@@ -30,12 +30,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     That finds 45 % of copies at a five-word Jaccard from 0.8 to below 1, and 12 % at 0.80 to 0.85; README has the table.
     """
-    return simhash.survivors(docs)
+    return simhash.survivors(docs, stored=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture draws them."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, stored=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
