@@ -210,7 +210,7 @@ def components_of(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     row = F.monotonically_increasing_id() if row is None else row
     rows = docs.select(row.alias("row"), quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    marked = materialize(rows.mapInArrow(_fingerprints, f"row {kind}, doc_id long, fp long"), "simhash-fingerprints")
+    marked = materialize(rows.mapInArrow(_fingerprints, f"row {kind}, doc_id long, fp long"), "simhash-fingerprints", pack=True)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     kinds = materialize(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("first")), "simhash-kinds")
     roots = connected(links(kinds.select("fp"), kinds.count(), block))
