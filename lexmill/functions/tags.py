@@ -66,7 +66,7 @@ def retag(source: Column, output: Column, known: Column) -> Column:
     def step(at, s):
         name = F.trim(s["text"])
         target = F.coalesce(F.nullif(F.try_element_at(known, name), F.lit("")), F.nullif(F.try_element_at(known, F.lower(name)), F.lit("")))
-        place = F.locate_in(at, target) if hasattr(F, "locate_in") else F.instr(at, target)
+        place = F.instr(at, target)
         found = target.isNotNull() & strip_tags(at).contains(target) & (place > 0)
         put = F.concat(F.substr(at, F.lit(1), place - 1), F.lit("<g"), s["tid"].cast("string"), F.lit(">"), target, F.lit("</g"), s["tid"].cast("string"), F.lit(">"), F.substr(at, place + F.length(target)))
         return F.when(found, put).when(target.isNotNull() & strip_tags(at).contains(target), at)

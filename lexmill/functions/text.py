@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .expressions import let
 from .languages import LATIN
-from .similarity import in_cp932, nfkc
+from .similarity import nfkc
 from .tags import strip_tags
 from .tokens import escaped, parenthesised
 
@@ -127,20 +127,20 @@ def clean_candidate(raw: Column, source: Column, target: str) -> Column:
     return F.when(bad | wrong, "").otherwise(out)
 
 
-# Simplified and old forms that text recognition returns for Japanese, and what they stand for.
-SIMPLIFIED = "值设计电气冻统时间备调节动态报监视测运转输压负载热换风门阀网络线图库码类级页项题单发开关闭东车层场厂产业务检验试编辑启确认说长宽离远进过还这个们为从对应显传湿环费预维护养装"
-JAPANESE = "値設計電気凍統時間備調節動態報監視測運転輸圧負載熱換風門閥網絡線図庫碼類級頁項題単発開関閉東車層場廠産業務検験試編輯啓確認説長寛離遠進過還這個們為従対応顕伝湿環費予維護養装"
-OLD = "溫氣體當圖數處變轉經實價單發會學樣擴檢濕壓廣應點鐵總驗護"
-MODERN = "温気体当図数処変転経実価単発会学様拡検湿圧広応点鉄総験護"
-LOOKALIKE, KATAKANA = "工口力二一夕卜八", "エロカニータトハ"
-
-_PAIRS = {a: b for a, b in zip(SIMPLIFIED, JAPANESE) if a != b and in_cp932(b) and not in_cp932(a)} | {a: b for a, b in zip(OLD, MODERN) if a != b and in_cp932(b)}
+# Forms that text recognition returns for Japanese, each before what it stands for.
+FORMS = {a: b for a, b in """
+值値 设設 计計 电電 冻凍 统統 时時 间間 备備 调調 节節 动動 态態 报報 监監 视視 测測 运運 转転 输輸 压圧 负負 载載 热熱 换換 风風 门門 阀閥 络絡 线線
+图図 库庫 码碼 类類 级級 页頁 项項 题題 单単 发発 开開 关関 闭閉 东東 车車 层層 场場 产産 业業 务務 检検 验験 试試 编編 辑輯 启啓 确確 认認 说説 长長
+宽寛 离離 远遠 进進 过過 还還 这這 们們 为為 对対 应応 显顕 传伝 环環 费費 预予 维維 护護 养養 溫温 氣気 體体 當当 圖図 數数 處処 變変 轉転 經経 實実
+價価 單単 發発 會会 學学 樣様 擴拡 檢検 濕湿 壓圧 廣広 應応 點点 鐵鉄 總総 驗験
+""".split()}
+LOOKALIKE = {"工": "エ", "口": "ロ", "力": "カ", "二": "ニ", "一": "ー", "夕": "タ", "卜": "ト", "八": "ハ"}
 
 
 def fix_japanese(text: Column) -> Column:
     """Recognition errors in Japanese: foreign forms, 机 for 機 after a kanji, kanji for katakana in a katakana word."""
-    out = F.regexp_replace(F.translate(text, "".join(_PAIRS), "".join(_PAIRS.values())), r"(?<=[一-鿿])机", "機")
-    for kanji, kana in zip(LOOKALIKE, KATAKANA):
+    out = F.regexp_replace(F.translate(text, "".join(FORMS), "".join(FORMS.values())), r"(?<=[一-鿿])机", "機")
+    for kanji, kana in LOOKALIKE.items():
         out = F.regexp_replace(out, rf"(?<![一-鿿]){kanji}(?=[ァ-ヺ])", kana)
     return out
 
@@ -155,6 +155,11 @@ def list_mark(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, LIST_MARK, 0), F.lit(""))
 
 
+def unlisted(text: Column) -> Column:
+    """What follows the list mark."""
+    return F.regexp_replace(text, LIST_MARK, "")
+
+
 def notation(text: Column) -> Column:
     """For comparing recognised text: no white space, compatibility forms, one dash and one bullet."""
     plain = F.regexp_replace(F.translate(text, "­ ", "- "), r"(?U)\s+", "")

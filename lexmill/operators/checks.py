@@ -134,9 +134,11 @@ def glossary_terms(pairs: DataFrame, tgt: str) -> DataFrame:
 def same_source_differs(pairs: DataFrame, tgt: str) -> DataFrame:
     rows = pairs.where(~F.col("kept") & (stripped(F.col("target")) != "") & F.col("plain").rlike(r"(?U)[^\W\d_]"))
     rows = rows.withColumns({"key": text.repeat_key(F.col("plain"), True), "variant": text.repeat_key(F.col("target"), tgt in LATIN)})
-    groups = rows.groupBy("doc_id", "key").agg(F.count_distinct("variant").alias("n"), F.array_sort(F.collect_list("seg_id")).alias("segments"), F.array_sort(F.collect_set("container")).alias("pages"), F.min_by("plain", "pos").alias("source"))
+    each = rows.groupBy("doc_id", "key", "variant").agg(F.min("pos").alias("pos"), F.min_by(F.struct("plain", "target"), "pos").alias("first"), F.collect_list("seg_id").alias("ids"), F.collect_set("container").alias("pages"))
+    groups = each.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("segments"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.min_by("first.plain", "pos").alias("source"), F.array_sort(F.collect_list(F.struct("pos", "first", "ids"))).alias("each"))
+    shown = F.map_from_entries(F.transform("each", lambda v: F.struct(v["first"]["target"], F.array_sort(v["ids"]))))
     said = F.concat(F.lit("the same text is translated "), F.col("n").cast("string"), F.lit(" different ways"))
-    return groups.where("n >= 2").select(*finding("terminology", "same_source_differs", "warning", said, F.struct("source"), F.col("segments"), F.col("pages")))
+    return groups.where("n >= 2").select(*finding("terminology", "same_source_differs", "warning", said, F.struct("source", shown.alias("variants")), F.col("segments"), F.col("pages")))
 
 
 def term_variants(pairs: DataFrame, candidates: DataFrame, used_in: DataFrame, majority: DataFrame, tgt: str) -> DataFrame:
@@ -145,6 +147,8 @@ def term_variants(pairs: DataFrame, candidates: DataFrame, used_in: DataFrame, m
     told = wordings(candidates, used_in.select("doc_id", "phrase", "seg_id").join(texts, "seg_id"), majority, tgt)
     told = told.join(texts.select("seg_id", "container"), "seg_id")
     off = ~F.col("wording").eqNullSafe(F.col("winner"))
+    variants = told.groupBy("doc_id", "phrase", "wording").agg(F.array_sort(F.collect_list("seg_id")).alias("ids"))
+    variants = variants.groupBy("doc_id", "phrase").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("wording", "ids")))).alias("variants"))
     groups = told.groupBy("doc_id", "phrase").agg(
         F.max("winner").alias("winner"),
         F.count(F.lit(1)).alias("n"),
@@ -156,11 +160,11 @@ def term_variants(pairs: DataFrame, candidates: DataFrame, used_in: DataFrame, m
         F.array_sort(F.collect_set(F.when(off, F.col("container")))).alias("pages"),
     )
     settled = F.col("winner").isNotNull()
-    shown = groups.where((F.col("n") >= 2) & ((settled & (F.col("n_off") > 0)) | (~settled & (F.col("n_known") >= 2))))
+    shown = groups.join(variants, ["doc_id", "phrase"]).where((F.col("n") >= 2) & ((settled & (F.col("n_off") > 0)) | (~settled & (F.col("n_known") >= 2))))
     with_majority = F.concat(F.lit("recurring term worded differently in "), F.col("n_off").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" paragraphs"))
     without = F.concat(F.lit("recurring term translated "), F.col("n_wordings").cast("string"), F.lit(" different ways"))
     severity = F.when(settled & (F.col("n_known_off") == 0), "info").otherwise("warning")
-    detail = F.struct(F.col("phrase").alias("term"), F.coalesce("winner", F.lit("")).alias("majority"))
+    detail = F.struct(F.col("phrase").alias("term"), F.coalesce("winner", F.lit("")).alias("majority"), "variants")
     return shown.select(*finding("terminology", "term_variants", severity, F.when(settled, with_majority).otherwise(without), detail, F.col("segments"), F.col("pages")))
 
 
@@ -184,27 +188,43 @@ def identifiers(pairs: DataFrame) -> DataFrame:
     added = F.filter(tokens.protected_tokens(F.col("target")), lambda o: tokens.is_opaque(o) & ~source.contains(o) & ~related(o))
     rest = lambda c: tokens.without(F.col(c), F.col("protected"))
     numbers = active.withColumns({"a": rest("plain"), "b": rest("target")})
-    missing = F.concat(F.array_sort(F.array_except(tokens.significant_numbers(F.col("a")), tokens.significant_numbers(F.col("b")))), tokens.lost_units(F.col("a"), F.col("b")))
+    numbers = numbers.withColumns({"na": tokens.significant_numbers(F.col("a")), "nb": tokens.significant_numbers(F.col("b"))})
+    missing = F.concat(F.array_sort(F.array_except("na", "nb")), tokens.lost_units(F.col("a"), F.col("b")))
     return union(
         lost.where(changed).select(*finding("identifiers", "token_changed", "error", say("identifier changed"), F.struct(F.col("token").alias("from"), F.col("near").alias("to")))),
         lost.where(~changed).select(*finding("identifiers", "token_missing", F.when(F.col("opaque"), "error").otherwise("warning"), say("identifier missing"), F.struct(F.col("token").alias("missing")))),
         active.withColumn("added", added).where("size(added) > 0").select(*finding("identifiers", "token_added", "warning", say("identifier not in the original"), F.struct("added"))),
-        numbers.withColumn("missing", missing).where("size(missing) > 0").select(*finding("identifiers", "number_changed", "warning", say("number or unit missing or changed"), F.struct("missing"))),
+        numbers.withColumn("missing", missing).where("size(missing) > 0").select(*finding("identifiers", "number_changed", "warning", say("number or unit missing or changed"), F.struct("missing", F.array_sort(F.array_except("nb", "na")).alias("new")))),
     )
 
 
+def notes(rows: DataFrame) -> DataFrame:
+    """Notes of a reader (doc_id, note) on what it couldn't take as text: findings of no segment."""
+    picture = F.contains("note", F.lit("picture"))
+    page = F.regexp_extract("note", r"^(?:slide|page) (\d+)", 1)
+    code, severity = F.when(picture, "picture_text").otherwise("not_translatable"), F.when(picture, "warning").otherwise("info")
+    none = F.array().cast("array<string>")
+    return rows.select(*finding("completeness", code, severity, F.col("note"), segments=none, pages=F.when(page != "", F.array(page.cast("int"))).otherwise(F.array().cast("array<int>"))))
+
+
+#: Severities of rendering issues, whatever the renderer says.
+LAYOUT = {"overflow": "warning", "font_reduced": "info", "extra_lines": "info", "box_grows": "info", "overflow_inherited": "info"}
+
+
 def layout(issues: DataFrame, segments: DataFrame) -> DataFrame:
-    """Issues of rendering (doc_id, code, severity, ref, message) on segments, by id or else by shape; and segments
-    whose formatting was simplified."""
-    by_id = segments.select(F.col("seg_id").alias("ref"), F.col("seg_id").alias("by_id"), F.col("container").alias("page_a"))
-    by_shape = segments.groupBy(F.col("shape_key").alias("ref")).agg(F.array_sort(F.collect_list("seg_id")).alias("by_shape"), F.min("container").alias("page_b"))
+    """Issues of rendering (doc_id, code, severity, ref, message) on segments, by id or else by shape; and, for each
+    document, the translated segments whose formatting was simplified."""
+    by_id = segments.select(F.col("seg_id").alias("ref"), F.col("seg_id").alias("by_id"))
+    by_shape = segments.groupBy(F.col("shape_key").alias("ref")).agg(F.array_sort(F.collect_list("seg_id")).alias("by_shape"))
     met = issues.join(by_id, "ref", "left").join(by_shape, "ref", "left")
     found = F.coalesce(F.when(F.col("by_id").isNotNull(), F.array("by_id")), F.col("by_shape"), F.array().cast("array<string>"))
-    page = F.coalesce("page_a", "page_b")
-    pages = F.when(page.isNull(), F.array().cast("array<int>")).otherwise(F.array(page.cast("int")))
-    shown = met.select(*finding("layout", F.col("code"), F.col("severity"), F.col("message"), segments=found, pages=pages))
-    simple = segments.where("formatting_simplified").select(*finding("layout", "formatting_simplified", "info", F.concat(where_label(), F.lit(": mixed formatting simplified"))))
-    return shown.unionByName(simple)
+    page = F.regexp_extract("message", r"(?:slide|page) (\d+)", 1)
+    pages = F.when(page == "", F.array().cast("array<int>")).otherwise(F.array(page.cast("int")))
+    severity = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LAYOUT.items() for x in kv]), F.col("code")), F.col("severity"))
+    shown = met.select(*finding("layout", F.col("code"), severity, F.col("message"), segments=found, pages=pages))
+    simple = segments.where("formatting_simplified and target is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("seg_id")).alias("segments"), F.array_sort(F.collect_set(F.col("container").cast("int"))).alias("pages"))
+    said = F.concat(F.col("n").cast("string"), F.lit(" paragraph(s) use one style instead of mixed formatting"))
+    return shown.unionByName(simple.select(*finding("layout", "formatting_simplified", "info", said, segments=F.col("segments"), pages=F.col("pages"))))
 
 
 def unwritten(expected: DataFrame, reread: DataFrame, threshold: float = 92.0) -> DataFrame:

@@ -43,3 +43,10 @@ def overflowing(before: DataFrame, after: DataFrame, slack: float = 1.05) -> Dat
 def last_by_text(segments: DataFrame) -> DataFrame:
     """(shape_key, text, translation): a shape's texts with the translation of the last segment that has each."""
     return segments.groupBy("shape_key", F.trim("plain").alias("text")).agg(F.max_by("target", "pos").alias("translation"))
+
+
+def usable_models(models: DataFrame, main: str, src: str, tgt: str) -> DataFrame:
+    """models (model, installed, languages) with why one can't repair another's work; null where it can."""
+    lacks = F.size(F.array_except(F.array(F.lit(src), F.lit(tgt)), F.col("languages"))) > 0
+    why = F.when(F.col("model") == main, "repair model is the same as the main model").when(~F.col("installed"), F.concat("model", F.lit(" is not installed")))
+    return models.withColumn("reason", why.when(lacks, F.concat("model", F.lit(" is not used for this language pair"))))

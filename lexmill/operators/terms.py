@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import let
-from ..functions.text import term_key, uses
-from ..functions.tokens import protected_tokens
+from ..functions.text import clean_candidate, term_key, uses
+from ..functions.tokens import escaped, protected_tokens
 from ..sources.scratch import materialize
 
 # Fixed values.
@@ -24,22 +24,26 @@ MOST = 40
 OTHER = "(other wording)"
 
 
-def english_phrases(text: Column) -> Column:
-    """Distinct phrases of two to five words, lower-cased, none across punctuation."""
-    words = F.filter(F.split(F.regexp_replace(text, CUTS, " | "), r"(?U)\s+"), lambda w: w != "")
-    marked = F.array_join(F.transform(words, lambda w: F.when(w.rlike(WORD), F.lower(w)).otherwise("|")), " ")
-    runs = F.filter(F.transform(F.split(marked, r"\|"), lambda run: F.trim(run)), lambda run: run.contains(" "))
+def mined_english(segments: DataFrame, text: str = "source") -> DataFrame:
+    """occurrences() of the phrases of two to five words, lower-cased, none across punctuation, that start and end with
+    a word that isn't a stop word and have one of four letters.
 
-    def of_words(ws):
-        # Phrases start and end with a word that isn't a stop word, so two of their words aren't.
-        def from_(i):
-            ends = F.sequence(i + 1, F.least(i + 4, F.size(ws)))
-            ends = F.filter(ends, lambda j: ~F.get(ws, j - 1).isin(STOP) & F.exists(F.slice(ws, i, j - i + 1), lambda w: F.length(w) >= 4))
-            return F.transform(ends, lambda j: F.array_join(F.slice(ws, i, j - i + 1), " "))
-
-        return F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: ~F.get(ws, i - 1).isin(STOP)), from_))
-
-    return F.array_distinct(F.flatten(F.transform(runs, lambda run: let(F.split(run, " "), of_words))))
+    Words are rows, and phrases a word with those after it in its segment's run, so all runs in generated code.
+    """
+    words = F.filter(F.split(F.regexp_replace(F.col(text), CUTS, " | "), r"(?U)\s+"), lambda w: w != "")
+    rows = segments.select("doc_id", "seg_id", F.posexplode(words).alias("at", "raw"))
+    rows = rows.withColumn("w", F.when(F.col("raw").rlike(WORD), F.lower("raw"))).drop("raw")
+    order = W.partitionBy("doc_id", "seg_id").orderBy("at")
+    rows = rows.withColumns({f"w{k}": F.lead("w", k).over(order) for k in range(1, 5)})
+    stop = lambda c: F.col(c).isin(STOP)
+    rows = rows.where(F.col("w").isNotNull() & ~stop("w") & F.col("w1").isNotNull())
+    whole, long_, phrase, found = F.lit(True), F.length("w") >= 4, F.col("w"), []
+    for k in range(1, 5):
+        c = f"w{k}"
+        whole, long_, phrase = whole & F.col(c).isNotNull(), long_ | (F.length(c) >= 4), F.concat(phrase, F.lit(" "), F.col(c))
+        found.append(F.when(whole & ~stop(c) & long_, phrase))
+    each = rows.select("doc_id", "seg_id", F.explode(F.array_compact(F.array(*found))).alias("phrase")).distinct()
+    return _recurring(each)
 
 
 def japanese_phrases(text: Column) -> Column:
@@ -71,9 +75,13 @@ def occurrences(segments: DataFrame, phrases: Column) -> DataFrame:
 
     These are few beside all phrases and are written, so that what is made of them doesn't mine again.
     """
-    rows = segments.select("doc_id", "seg_id", F.explode(phrases).alias("phrase"))
-    often = rows.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return materialize(rows.join(often, ["doc_id", "phrase"]), "phrases")
+    return _recurring(segments.select("doc_id", "seg_id", F.explode(phrases).alias("phrase")))
+
+
+def _recurring(rows: DataFrame) -> DataFrame:
+    """Of distinct rows those of phrases in two segments of a document, with n, how many."""
+    n = F.count(F.lit(1)).over(W.partitionBy("doc_id", "phrase"))
+    return materialize(rows.withColumn("n", n).where("n >= 2"), "phrases")
 
 
 def _seams(phrase: Column) -> Column:
@@ -141,8 +149,54 @@ def distinct_candidates(rows: DataFrame, tgt: str) -> DataFrame:
 
 
 def review_rows(terms: DataFrame) -> DataFrame:
-    """Terms (phrase, target, candidates, occurrences, note) as glossary rows; those without candidates are skipped."""
-    resolved = F.concat(F.col("occurrences").cast("string"), F.lit(" paragraphs; review before importing"))
-    open_ = F.concat(F.lit("UNRESOLVED: "), F.array_join("candidates", " / "))
+    """Terms (doc_id, phrase, target, candidates, occurrences) as glossary rows: unresolved ones with their first candidate
+    and advice; those without candidates are left out."""
+    n = F.col("occurrences").cast("string")
+    settled = F.concat(n, F.lit(" paragraphs; review before importing"))
+    open_ = F.concat(F.lit("UNRESOLVED ("), n, F.lit(" paragraphs, translated inconsistently); candidates: "), F.array_join("candidates", " / "), F.lit(" — correct the target before importing"))
     has = F.coalesce(F.col("target"), F.lit("")) != ""
-    return terms.where(has | (F.size("candidates") > 0)).select(F.col("phrase").alias("source_term"), F.coalesce("target", F.lit("")).alias("target_term"), F.lit("document").alias("category"), F.when(has, resolved).otherwise(open_).alias("notes"))
+    rows = terms.where(has | (F.size("candidates") > 0))
+    return rows.select("doc_id", F.col("phrase").alias("source_term"), F.when(has, F.col("target")).otherwise(F.get("candidates", F.lit(0))).alias("target_term"), F.lit("document").alias("category"), F.when(has, settled).otherwise(open_).alias("notes"))
+
+
+def sheet(found: DataFrame, segments: DataFrame, engine, tgt: str, contexts: int = 1, most: int = MOST) -> DataFrame:
+    """A document's terms with candidate translations: doc_id, phrase, occurrences, candidates, target (the first).
+
+    found is of occurrences(). engine is a function from a DataFrame (seg_id, text, context) to (seg_id, output); each
+    term goes to it once in each of up to contexts of its texts.
+    """
+    held = materialize(top_terms(maximal(found), most), "terms-held")
+    shown = examples(found.join(held.select("doc_id", "phrase"), ["doc_id", "phrase"], "left_semi"), segments, n=contexts)
+    asked = materialize(shown.select("doc_id", "phrase", F.col("place").alias("seq"), F.col("t").alias("context"), F.concat_ws("\x1f", F.col("doc_id").cast("string"), "phrase", F.col("place").cast("string")).alias("seg_id")), "terms-asked")
+    told = asked.join(engine(asked.select("seg_id", F.col("phrase").alias("text"), "context")), "seg_id")
+    each = distinct_candidates(told.select("doc_id", "phrase", "seq", clean_candidate(F.col("output"), F.col("phrase"), tgt).alias("candidate")), tgt)
+    listed = each.groupBy("doc_id", "phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "candidate"))), lambda c: c["candidate"]).alias("candidates"))
+    out = held.drop("place").join(listed, ["doc_id", "phrase"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    return out.withColumn("target", F.coalesce(F.get("candidates", F.lit(0)), F.lit("")))
+
+
+def resolved(sheet: DataFrame) -> DataFrame:
+    """The terms that have a translation."""
+    return sheet.where("target <> ''")
+
+
+def spelled(term: Column) -> Column:
+    """The pattern a term is found by: ASCII ones between non-alphanumerics, in the plural too, in any case unless they
+    look like a name."""
+    exact = ((F.upper(term) == term) & term.rlike("[A-Z]")) | term.rlike("[0-9]")
+    bounded = F.concat(F.when(exact, "").otherwise("(?i)"), F.lit("(?<![A-Za-z0-9])"), escaped(term), F.lit("(?:s|es)?(?![A-Za-z0-9])"))
+    return F.when(term.rlike(r"[^\x00-\x7f]"), escaped(term)).otherwise(bounded)
+
+
+def with_document_hints(rows: DataFrame, sheet: DataFrame, text: str = "plain") -> DataFrame:
+    """rows (doc_id, seg_id, hints, …) with the document's own terms added to hints: those of the text that no hint
+    covers and that stand in no longer one."""
+    known = resolved(sheet).select("doc_id", "phrase", F.col("target").alias("to"))
+    covered = F.lower(F.array_join(F.transform("hints", lambda h: h["source"]), " "))
+    met = rows.select("doc_id", "seg_id", F.col(text).alias("t"), covered.alias("covered")).join(known, "doc_id")
+    met = met.where(~F.contains("covered", F.lower("phrase")) & F.regexp_like("t", spelled(F.col("phrase"))))
+    own = met.groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("phrase")).alias("n"), "phrase", "to"))).alias("own"))
+    maximal_ = F.filter("own", lambda a: ~F.exists("own", lambda b: (b["n"] < a["n"]) & F.contains(F.lower(b["phrase"]), F.lower(a["phrase"]))))
+    added = F.transform(maximal_, lambda a: F.struct(a["phrase"].alias("source"), a["to"].alias("target"), F.lit(False).alias("keep")))
+    out = rows.join(own, "seg_id", "left")
+    return out.withColumn("hints", F.when(F.col("own").isNull(), F.col("hints")).otherwise(F.concat("hints", added))).select(*rows.columns)

@@ -84,6 +84,18 @@ def score(found: Column) -> Column:
     return F.aggregate(found, F.lit(0), lambda n, p: n + F.when(p["code"].isin(RETRYABLE), 10).otherwise(1))
 
 
+FATAL, SIMPLER = 100, 5  # fixed values: what a useless or a simplified translation scores besides
+
+
+def fatal(found: Column) -> Column:
+    return F.exists(found, lambda p: p["code"].isin("empty", "untranslated"))
+
+
+def outcome_score(found: Column, simplified: Column) -> Column:
+    """The score of an accepted translation."""
+    return score(found) + F.when(fatal(found), FATAL).otherwise(0) + F.when(simplified, SIMPLER).otherwise(0)
+
+
 def retryable(found: Column) -> Column:
     return F.exists(found, lambda p: p["code"].isin(RETRYABLE))
 

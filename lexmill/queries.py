@@ -327,7 +327,7 @@ _MAXIMAL = _MINED + ", lost AS (SELECT DISTINCT doc_id, phrase FROM (SELECT a.do
 
 
 def mined(spark, sf_dir):
-    return terms.occurrences(lines(spark, sf_dir), terms.english_phrases(F.col("source")))
+    return terms.mined_english(lines(spark, sf_dir))
 
 
 @query(_MINED + " SELECT doc_id, phrase, count(*) AS n FROM occ GROUP BY ALL")

@@ -55,3 +55,18 @@ def mutated(segments: DataFrame) -> DataFrame:
     for i, (rule, column) in enumerate(rules):
         name, target = (F.when(k == i, rule), F.when(k == i, column)) if i == 0 else (name.when(k == i, rule), target.when(k == i, column))
     return out.withColumns({"mutation": name, "target": target})
+
+
+def encoded_runs(runs: DataFrame) -> DataFrame:
+    """(para, source): formatted runs (para, seq, style, text) as text with tags. The style of most characters has none;
+    the others are numbered as they first appear; runs of blanks go without, and neighbours of a style share a tag."""
+    first = runs.groupBy("para", "style").agg(F.min("seq").alias("first"), F.sum(F.length(F.trim("text"))).alias("n"))
+    main = first.groupBy("para").agg(F.max_by("style", F.struct("n", -F.col("first"))).alias("main"))
+    others = first.join(main, "para").where(~F.col("style").eqNullSafe(F.col("main")))
+    numbered = others.withColumn("tid", F.row_number().over(W.partitionBy("para").orderBy("first"))).select(F.col("para").alias("of"), F.col("style").alias("styled"), "tid")
+    met = runs.join(numbered, (F.col("para") == F.col("of")) & F.col("style").eqNullSafe(F.col("styled")), "left").select("para", "seq", "text", "tid")
+    tid = F.col("tid").cast("string")
+    told = F.when(F.col("tid").isNull() | (F.trim("text") == ""), F.col("text")).otherwise(F.concat(F.lit("<g"), tid, F.lit(">"), F.col("text"), F.lit("</g"), tid, F.lit(">")))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", told.alias("t"))))
+    joined = met.groupBy("para").agg(F.array_join(F.transform(ordered, lambda r: r["t"]), "").alias("source"))
+    return joined.withColumn("source", F.regexp_replace("source", r"</g(\d+)><g\1>", ""))

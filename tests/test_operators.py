@@ -61,17 +61,19 @@ def problem_codes(spark, source, output, src, tgt, tokens=(), required=None):
 
 
 def test_validation(spark):
-    assert problem_codes(spark, "Change the <g1>setpoint</g1> on 192.168.1.10", "<g1>セットポイント</g1>を変更", "en", "ja", ["192.168.1.10"], [("setpoint", "設定値")])[0] == "token_missing"
-    assert "term_missing" in problem_codes(spark, "Change the setpoint", "セットポイントを変更", "en", "ja", [], [("setpoint", "設定値")])
-    assert problem_codes(spark, "Alarm", "Alarm", "en", "ja") == ["untranslated"]
-    assert problem_codes(spark, "警報", "Alarm 監視", "ja", "en")[-1] == "untranslated"
-    assert "foreign_script" in problem_codes(spark, "The controllers communicate", "コントローラー들は通信します", "en", "ja")
-    assert problem_codes(spark, "<g1>Alarm</g1> and status", "<g1>警報</g1>と<g1>状態</g1>", "en", "ja") == ["tags"]
-    assert problem_codes(spark, "a", "  ", "en", "ja") == ["empty"]
-    assert "added_text" in problem_codes(spark, "Alarm", "警報\n監視", "en", "ja")
-    assert "parentheses_lost" in problem_codes(spark, "Volume (VAV)", "風量 VAV", "en", "ja", ["VAV"])
+    assert problem_codes(spark, "Open <g1>valve</g1> at 172.20.4.9", "<g1>Klappe</g1> öffnen", "en", "de", ["172.20.4.9"], [("valve", "Ventil")]) == ["token_missing", "number_mismatch", "term_missing"]
+    assert problem_codes(spark, "Pump", "Pump ", "en", "de") == ["untranslated"]
+    assert problem_codes(spark, "給水", "Pump 弁", "ja", "en")[-1] == "untranslated"
+    assert "foreign_script" in problem_codes(spark, "The pumps run", "насосы 給水", "en", "ja")
+    assert problem_codes(spark, "<g2>Pump</g2> and tank", "<g2>Pumpe</g2> und <g2>Tank</g2>", "en", "de") == ["tags"]
+    assert problem_codes(spark, "b", "\n ", "en", "de") == ["empty"]
+    assert "added_text" in problem_codes(spark, "Pump", "Pumpe\nTank", "en", "de")
+    assert "parentheses_lost" in problem_codes(spark, "Pump (FWP)", "Pumpe FWP", "en", "de", ["FWP"])
     attempts = spark.createDataFrame([("s", 1, 10), ("s", 2, 1), ("s", 3, 1)], "seg_id string, attempt int, score int")
     assert validate.best_attempts(attempts).first().attempt == 2
+    one = lambda *codes: F.array(*[F.struct(F.lit(c).alias("code"), F.lit(1).alias("count")) for c in codes])
+    row = spark.range(1).select(validate.outcome_score(one("untranslated", "length_suspicious"), F.lit(False)).alias("a"), validate.outcome_score(one("tags"), F.lit(True)).alias("b")).first()
+    assert (row.a, row.b) == (111, 15)
 
 
 def codes(df):
@@ -79,18 +81,18 @@ def codes(df):
 
 
 def test_checks_find_what_was_done_and_nothing_else(spark):
-    clean = pairs(spark, [("The system monitors energy.", "システムはエネルギーを監視します。"), ("Set 24 °C on AHU-12.", "AHU-12で24 °Cに設定します。"), ("BMS", "BMS")])
+    clean = pairs(spark, [("The pump moves water.", "ポンプが水を送ります。"), ("Hold 31 °C in QX-9004.", "QX-9004を31 °Cに保ちます。"), ("UDP", "UDP")])
     assert codes(qc.check(clean, "en", "ja")) == []
-    bad = pairs(spark, [("Copied text here", "Copied text here"), ("Edge devices send data to the cloud daily", "エッジ devices は毎日 cloud に送る"), ("Occupancy sensor of the room is active.", "部屋の在室センサーは"), ("Missing", None)])
+    bad = pairs(spark, [("The same text again", "The same text again"), ("Small valves open before large pumps start", "小さい valves は large ポンプの前に開く"), ("The tank of the plant is full.", "工場のタンクは、"), ("Gone", None)])
     found = checks.completeness(bad, "en", "ja")
     assert codes(found) == [("not_translated", "s0"), ("not_translated", "s3"), ("partly_translated", "s1"), ("possible_omission", "s2")]
     left = [json.loads(r.detail)["left"] for r in found.where("code = 'partly_translated'").collect()]
-    assert left == [["devices", "cloud"]]
-    ids = pairs(spark, [("Use 192.168.1.100 now", "今 192.168.1.10 を使用"), ("From 24 °C to 26 °C", "24 °Cから26 °Fまで"), ("It uses 1,250 kW", "1,520 kWを使用"), ("See the page", "https://x.example.com/a のページ")])
+    assert left == [["valves", "large"]]
+    ids = pairs(spark, [("Ask 172.20.4.90 first", "まず 172.20.4.9 に聞く"), ("Between 8 kPa and 9 kPa", "8 kPaと9 barの間"), ("It lifts 2,750 kg", "2,570 kgを上げる"), ("Look it up", "https://wiki.example.org/a で調べる")])
     found = checks.identifiers(ids)
     assert codes(found) == [("number_changed", "s1"), ("number_changed", "s2"), ("token_added", "s3"), ("token_changed", "s0")]
-    assert json.loads(found.where("code = 'token_changed'").first().detail) == {"from": "192.168.1.100", "to": "192.168.1.10"}
-    assert codes(checks.identifiers(pairs(spark, [("It makes 1,250 MWh/year", "每年1,250兆瓦时")], tgt="zh"))) == []
+    assert json.loads(found.where("code = 'token_changed'").first().detail) == {"from": "172.20.4.90", "to": "172.20.4.9"}
+    assert json.loads(found.where("code = 'number_changed' and segments[0] = 's2'").first().detail) == {"missing": ["2750"], "new": ["2570"]}
 
 
 def test_terminology(spark):
@@ -100,6 +102,7 @@ def test_terminology(spark):
     assert [(r.message, r.segments) for r in used] == [("approved glossary term not used in 1 of 2 paragraph(s)", ["s0"])]
     differs = checks.same_source_differs(ps, "ja").collect()
     assert [r.segments for r in differs] == [["s2", "s3"]]
+    assert json.loads(differs[0].detail) == {"source": "Alarm list", "variants": {"警報一覧": ["s2"], "アラーム一覧": ["s3"]}}
     candidates = spark.createDataFrame([(1, "trend log", "トレンドログ"), (1, "trend log", "傾向ログ")], "doc_id long, phrase string, candidate string")
     logs = pairs(spark, [("trend log a", "トレンドログA"), ("trend log b", "トレンドログB"), ("trend log c", "傾向ログC")])
     uses = logs.select("doc_id", F.lit("trend log").alias("phrase"), "seg_id", "target")
@@ -107,18 +110,19 @@ def test_terminology(spark):
     assert [(r.winner, r.support, r.n) for r in vote.collect()] == [("トレンドログ", 2, 3)]
     told = checks.term_variants(logs, candidates, uses, vote, "ja").collect()
     assert [(r.severity, r.segments) for r in told] == [("warning", ["s2"])]
+    assert json.loads(told[0].detail)["variants"] == {"トレンドログ": ["s0", "s1"], "傾向ログ": ["s2"]}
     even = uses.where("seg_id <> 's1'")
     assert terms.voted(candidates, even, "ja").first().winner is None
 
 
 def test_mining(spark):
-    rows = ["The chilled water plant runs at night.", "Our chilled water plant is efficient.", "A chilled water plant needs care.", "Nothing else here"]
+    rows = ["Every feed water pump starts slowly.", "One feed water pump may stop; a feed water line leaks.", "Oil the feed water pump, please", "Other words"]
     df = spark.createDataFrame([(1, f"s{i}", t) for i, t in enumerate(rows)], "doc_id long, seg_id string, source string")
-    found = terms.occurrences(df, terms.english_phrases(F.col("source")))
-    kept = {r.phrase for r in terms.top_terms(terms.maximal(found)).collect()}
-    assert kept == {"chilled water plant"}
-    ja = spark.createDataFrame([(1, f"s{i}", t) for i, t in enumerate(["冷水プラントの運転を最適化", "冷水プラント効率", "夜間の冷水プラント運転"])], "doc_id long, seg_id string, source string")
-    assert "冷水プラント" in {r.phrase for r in terms.occurrences(ja, terms.japanese_phrases(F.col("source"))).collect()}
+    found = terms.mined_english(df)
+    assert {(r.phrase, r.n) for r in found.select("phrase", "n").distinct().collect()} == {("feed water", 3), ("feed water pump", 3), ("water pump", 3)}
+    assert {(r.phrase, r.occurrences) for r in terms.top_terms(terms.maximal(found)).collect()} == {("feed water pump", 3)}
+    ja = spark.createDataFrame([(1, f"s{i}", t) for i, t in enumerate(["給水ポンプを始動", "給水ポンプ用の弁", "夜の給水ポンプ"])], "doc_id long, seg_id string, source string")
+    assert "給水ポンプ" in {r.phrase for r in terms.occurrences(ja, terms.japanese_phrases(F.col("source"))).collect()}
 
 
 def test_memory(spark):
@@ -169,10 +173,11 @@ def test_geometry(spark):
     b = spark.createDataFrame([(1, "x", 0, "two", 0.0, 25.0, 100.0, 50.0), (1, "y", 1, "one", 0.0, 0.0, 100.0, 20.0), (1, "z", 2, "three", 0.0, 60.0, 100.0, 80.0), (2, "w", 0, "far", 450.0, 450.0, 480.0, 480.0)], box)
     assert {r.seg_id: r.translation for r in geometry.paired(a, b).collect()} == {"a": "one\ntwo", "b": "three", "c": "far"}
     assert geometry.outside_tables(b, a.where("page = 2")).count() == 3
-    lines = spark.createDataFrame([(1, "Building", 0.0, 0.0, 50.0, 10.0, 0.9), (1, "(BMS)", 53.0, 1.0, 80.0, 11.0, 0.8), (1, "far", 200.0, 0.0, 250.0, 10.0, 0.9), (1, "next", 0.0, 12.0, 50.0, 22.0, 0.9), (1, "• item", 0.0, 24.0, 50.0, 34.0, 0.9)], geometry.LINE)
-    assert sorted(r.text for r in geometry.merged_fragments(lines).collect()) == ["Building (BMS)", "far", "next", "• item"]
+    lines = spark.createDataFrame([(1, "Feed", 0.0, 0.0, 40.0, 10.0, 0.9), (1, "(FWP)", 43.0, 1.0, 70.0, 11.0, 0.8), (1, "other cell", 200.0, 0.0, 250.0, 10.0, 0.9), (1, "pumps", 0.0, 12.0, 50.0, 22.0, 0.9), (1, "• tank", 0.0, 24.0, 50.0, 34.0, 0.9)], geometry.LINE)
+    merged = {r.text: (r.x0, r.y0, r.x1, r.y1, r.score) for r in geometry.merged_fragments(lines).collect()}
+    assert set(merged) == {"Feed (FWP)", "other cell", "pumps", "• tank"} and merged["Feed (FWP)"] == (0.0, 0.0, 70.0, 11.0, 0.8)
     para = {r.text: r.para for r in geometry.paragraphs(lines).collect()}
-    assert para["Building"] == para["next"] != para["• item"]
+    assert para["Feed"] == para["pumps"] != para["• tank"]
     page = spark.createDataFrame([(1, "a", 70.0, 100.0, 200.0, 112.0)], "page long, id string, x0 double, y0 double, x1 double, y1 double")
     walls = spark.createDataFrame([(1, "r", 400.0, 90.0, 500.0, 120.0), (1, "u", 70.0, 300.0, 200.0, 320.0)], page.schema)
     free = geometry.free_space(page, walls, 595.0, 842.0).first()
