@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType
@@ -27,6 +28,41 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+class Block:
+    """Texts side by side, a column of characters after the other, for comparing another text with all of them at once."""
+
+    def __init__(self, texts: list[str]):
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        most = int(self.sizes.max(initial=1)) or 1
+        characters = np.frombuffer("".join(t.ljust(most, "\U0010ffff") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.alphabet, codes = np.unique(characters, return_inverse=True)
+        self.columns = np.ascontiguousarray(codes.reshape(len(texts), most).T)
+
+    def common_lengths(self, a: str) -> np.ndarray:
+        """common_length() of a and each text: the same bit vectors, 64 bits of a at a time, for all texts together."""
+        own = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+        words = max(1, -(-len(own) // 64))
+        table = np.zeros((words, len(self.alphabet)), np.uint64)
+        place = np.searchsorted(self.alphabet, own)
+        known = np.flatnonzero((place < len(self.alphabet)) & (self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == own) & (own != 0x10FFFF))
+        np.bitwise_or.at(table, (known // 64, place[known]), np.uint64(1) << (known % 64).astype(np.uint64))
+        left = np.full((words, len(self.sizes)), np.uint64(2**64 - 1))
+        for column in self.columns:
+            carry = np.zeros(len(self.sizes), np.uint64)
+            for w in range(words):
+                hit, row = table[w][column], left[w]
+                some = row & hit
+                total = row + some
+                over = total < row
+                total += carry
+                over |= total < carry
+                carry = over.astype(np.uint64)
+                left[w] = total | (row ^ some)
+        full = np.full(words, np.uint64(2**64 - 1))
+        full[-1] = np.uint64((1 << (len(own) - 64 * (words - 1))) - 1)
+        return np.bitwise_count(~left & full[:, None]).sum(axis=0, dtype=np.int64)
+
+
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter with a window of its length in the longer, cut at the ends too."""
     short, long = sorted((a, b), key=len)

@@ -63,7 +63,9 @@ def trimmed(token: Column) -> Column:
 
 
 def opaque_tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(OPAQUE), F.lit(0)), trimmed)
+    """All kinds have one of these marks inside, which most prose hasn't."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(OPAQUE), F.lit(0)), trimmed)
+    return F.when(text.rlike(r"(?U)[@:\-]|\.\w"), found).otherwise(F.array().cast("array<string>"))
 
 
 def is_opaque(token: Column) -> Column:
@@ -78,7 +80,8 @@ def acronyms(text: Column) -> Column:
 def protected_tokens(text: Column, kept_terms: Column | None = None) -> Column:
     """Identifiers, then acronyms that no earlier token contains, then kept terms; distinct."""
     add = lambda found, t: F.when(F.exists(found, lambda f: f.contains(t)), found).otherwise(F.concat(found, F.array(t)))
-    found = F.aggregate(acronyms(text), opaque_tokens(text), add)
+    held = F.struct(acronyms(text).alias("short"), opaque_tokens(text).alias("long"))
+    found = let(held, lambda h: F.when(F.size(h["short"]) == 0, h["long"]).otherwise(F.aggregate(h["short"], h["long"], add)))
     return F.array_distinct(found if kept_terms is None else F.concat(found, kept_terms))
 
 
