@@ -6,11 +6,12 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.languages import SCRIPT
 from ..functions.text import uses
+from ..sources.scratch import materialize
+from .ranks import numbered
 
 HINT = "array<struct<source:string,target:string,keep:boolean>>"
 PRIORITY = {"high": 0, "normal": 1, "low": 2}
@@ -79,7 +80,7 @@ def _with_hints_by_word(rows: DataFrame, held: DataFrame, text: str, both: Colum
     scripts), each row gets its own few candidates, and those are matched as in a small one."""
     opening = lambda c: F.lower(F.coalesce(F.nullif(F.regexp_extract(c, r"^[^A-Za-z0-9]*([A-Za-z0-9]{1,3})", 1), F.lit("")), F.substring(c, 1, 1)))
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.lower(F.substr(text, i, F.lit(3))))
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
+    keyed = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "hints-rows")
     probes = keyed.select("__row", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(s, F.substring(s, 1, 2), F.substring(s, 1, 1)))))).alias("__key"), F.lower(text).alias("__text"))
     near = probes.join(held.withColumn("__key", opening("find")), "__key").where(F.contains("__text", F.lower("find")))
     few = near.groupBy("__row").agg(F.collect_set(F.struct("find", "instead", "keep", "keywords", "priority", "term_seq")).alias("__terms"))
@@ -155,9 +156,9 @@ def upserted(stored: DataFrame, new: DataFrame, key: list[str] = KEY, order: str
     last = new.groupBy(*key).agg(F.max_by(F.struct(*values), order).alias("v"), F.min(order).alias("__first"))
     joined = stored.select(*key, "id", F.struct(*values).alias("old")).join(last, key, "full")
     kept = joined.where("id is not null").select("id", *key, F.coalesce("v", "old").alias("v"))
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = joined.where("id is null").withColumn("n", F.row_number().over(W.orderBy("__first")))
-    fresh = fresh.join(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("id"), *key, "v")
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = numbered(joined.where("id is null").select(*key, "v", "__first"), ["__first"], "id", top + 1)
+    fresh = fresh.select(F.col("id").cast(stored.schema["id"].dataType).alias("id"), *key, "v")
     return kept.unionByName(fresh).select("id", *key, "v.*").select(*stored.columns)
 
 

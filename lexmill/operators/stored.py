@@ -13,6 +13,7 @@ from ..functions.text import squash
 from ..functions.tokens import escaped
 from .findings import CATEGORIES, described, ordered
 from .glossary import KEY
+from .ranks import numbered
 
 #: The columns of a scorecard, in order.
 SCORECARD = """model deck file direction doc_terms_mode translated_pct protected_token_integrity_pct glossary_adherence_pct doc_terms
@@ -38,11 +39,10 @@ def ids_of(terms: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def recorded(jobs: DataFrame, reports: DataFrame, order: str = "seq") -> DataFrame:
-    """jobs with a row for each report; warnings is how many issues it has. Reports come a few at a time."""
-    top = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    new = reports.withColumns({"warnings": F.size("issues"), "__n": F.row_number().over(W.orderBy(order))})
-    new = new.join(F.broadcast(top)).withColumn("id", (F.col("__top") + F.col("__n")).cast(jobs.schema["id"].dataType))
-    return jobs.unionByName(new.select(*jobs.columns))
+    """jobs with a row for each report; warnings is how many issues it has."""
+    top = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(reports.withColumn("warnings", F.size("issues")), [order], "id", top + 1)
+    return jobs.unionByName(new.withColumn("id", F.col("id").cast(jobs.schema["id"].dataType)).select(*jobs.columns))
 
 
 def cleared(table: DataFrame) -> tuple[int, DataFrame]:

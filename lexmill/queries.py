@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import languages, similarity, tags, text, tokens
 from .operators import checks, compare, context, evaluate, findings, geometry, glossary, memory, report, stored, terms, validate
 from .plans import qc, translate
-from .sources.segments import mutated, segments_of, with_identifiers
+from .sources.scratch import materialize
+from .sources.segments import encoded_runs, mutated, segments_of, with_identifiers
 from .sources.tables import clean_glossary, first_of_each_blob, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,9 +101,9 @@ def tags_well_formed(spark, sf_dir):
     return marked(spark, sf_dir).select("seg_id", tags.is_well_formed(broken).alias("well_formed"))
 
 
-@query(r"WITH " + SEG + r" SELECT seg_id, 1 AS place, 1 AS tid, line AS text FROM marked WHERE pos % 6 = 4 UNION ALL SELECT seg_id, 2, 0, ' by ' FROM marked WHERE pos % 6 = 4 UNION ALL SELECT seg_id, 3, 2, 'BMS' FROM marked WHERE pos % 6 = 4")
+@query(r"WITH " + SEG + r" SELECT seg_id, 1 AS place, 1 AS tid, line AS text FROM marked WHERE pos % 6 = 4 UNION ALL SELECT seg_id, 2, 0, ' by ' FROM marked WHERE pos % 6 = 4 UNION ALL SELECT seg_id, 3, 2, 'BMS' FROM marked WHERE pos % 6 = 4 UNION ALL SELECT seg_id, 1, 0, source FROM marked WHERE pos % 6 <> 4")
 def split_spans(spark, sf_dir):
-    rows = marked(spark, sf_dir).where(F.col("pos") % 6 == 4).select("seg_id", F.posexplode(tags.spans(F.col("source"))).alias("place", "s"))
+    rows = marked(spark, sf_dir).select("seg_id", F.posexplode(tags.spans(F.col("source"))).alias("place", "s"))
     return rows.select("seg_id", (F.col("place") + 1).alias("place"), F.coalesce("s.tid", F.lit(0)).alias("tid"), "s.text")
 
 
@@ -114,9 +115,9 @@ def retag(spark, sf_dir):
     return rows.select("seg_id", tags.retag(F.lit("x <g2>BMS</g2>"), output, F.create_map(F.lit("BMS"), F.lit("BMS"))).alias("retagged"))
 
 
-@query(r"WITH " + SEG + r" SELECT seg_id, regexp_replace(regexp_replace(source, '<g(\d+)>', '[\1]', 'g'), '</g(\d+)>', '[/\1]', 'g') AS shown, source AS back FROM marked WHERE pos % 6 = 4")
+@query(r"WITH " + SEG + r" SELECT seg_id, regexp_replace(regexp_replace(source, '<g(\d+)>', '[\1]', 'g'), '</g(\d+)>', '[/\1]', 'g') AS shown, source AS back FROM marked")
 def tag_display(spark, sf_dir):
-    rows = marked(spark, sf_dir).where(F.col("pos") % 6 == 4).withColumn("shown", tags.to_display(F.col("source")))
+    rows = marked(spark, sf_dir).withColumn("shown", tags.to_display(F.col("source")))
     return rows.select("seg_id", "shown", tags.from_display(F.col("shown"), F.array(F.lit(1), F.lit(2))).alias("back"))
 
 
@@ -184,16 +185,10 @@ def number_diff(spark, sf_dir):
     return rows.select("seg_id", "mutation", F.array_join(lost, ",").alias("lost")).where("lost <> ''")
 
 
-@query(r"WITH " + SEG + r" SELECT seg_id, CASE WHEN pos % 6 = 1 THEN '°C' ELSE 'kWh' END AS lost FROM plains WHERE pos % 6 IN (1, 3)")
+@query(r"WITH " + SEG + r" SELECT seg_id, CASE pos % 6 WHEN 1 THEN '°C' WHEN 3 THEN 'kWh' ELSE '' END AS lost FROM plains")
 def units_lost(spark, sf_dir):
-    rows = marked(spark, sf_dir).where((F.col("pos") % 6).isin(1, 3))
-    gone = F.regexp_replace(F.replace("source", F.lit("24 °C"), F.lit("24 °F")), "1,250 kWh", "1,250 MWh")
-    return rows.select("seg_id", F.array_join(tokens.lost_units(F.regexp_extract("source", "(Set|See) .*$", 0), F.regexp_extract(gone, "(Set|See) .*$", 0)), ",").alias("lost"))
-
-
-@query(r"WITH " + SEG + r" SELECT seg_id, NOT regexp_matches(line, '[A-Za-z]') AS kept FROM segs")
-def kept_filter(spark, sf_dir):
-    return lines(spark, sf_dir).select("seg_id", tokens.nothing_to_translate(F.col("source"), SRC, F.array().cast("array<string>")).alias("kept"))
+    gone = F.replace(F.replace("source", F.lit("24 °C"), F.lit("24 °F")), F.lit("1,250 kWh"), F.lit("1,250 MWh"))
+    return marked(spark, sf_dir).select("seg_id", F.array_join(tokens.lost_units(F.col("source"), gone), ",").alias("lost"))
 
 
 @query(r"WITH " + SEG + r" SELECT seg_id, kind = 'title' OR (NOT regexp_matches(rtrim(line), '[.!?]$') AND length(line) < 90) AS heading FROM segs")
@@ -209,11 +204,10 @@ def mask_unmask(spark, sf_dir):
     return rows.select("seg_id", F.col("m.text").alias("masked"), tokens.unmasked(F.col("m.text"), F.col("m.tokens")).alias("unmasked"))
 
 
-@query(r"WITH " + SEG + r" SELECT seg_id, plain AS clean FROM plains WHERE pos % 6 = 1")
+@query(r"WITH " + SEG + r" SELECT seg_id, source AS clean FROM marked")
 def fullwidth_normalised(spark, sf_dir):
-    rows = marked(spark, sf_dir).where(F.col("pos") % 6 == 1)
     wide = F.translate("source", text.HALFWIDTH, text.FULLWIDTH)
-    return rows.select("seg_id", text.fullwidth_to_ascii(wide).alias("clean"))
+    return marked(spark, sf_dir).select("seg_id", text.fullwidth_to_ascii(wide).alias("clean"))
 
 
 @query(r"WITH " + SEG + r" SELECT seg_id, 'A (BMS) of ' || doc_id AS restored FROM segs")
@@ -222,15 +216,14 @@ def parentheses_restored(spark, sf_dir):
     return lines(spark, sf_dir).select("seg_id", text.restore_parentheses(F.lit("An (BMS)"), F.concat(F.lit("A BMS of "), doc), F.array(F.lit("BMS")), "en").alias("restored"))
 
 
-@query(r"WITH " + SEG + r" SELECT seg_id, CASE WHEN regexp_matches(lower(line), '^[a-z]') THEN upper(lower(line)[1]) || lower(line)[2:] ELSE lower(line) END AS tidy FROM segs WHERE NOT regexp_matches(lower(line), '^[a-z]+[0-9]') AND NOT contains(line, '  ')")
+@query(r"WITH " + SEG + r" SELECT seg_id, CASE WHEN regexp_matches(lower(line), '^[a-z]') THEN upper(lower(line)[1]) || lower(line)[2:] ELSE lower(line) END AS tidy FROM segs")
 def tidy_latin(spark, sf_dir):
-    rows = lines(spark, sf_dir).where(~F.lower("source").rlike("^[a-z]+[0-9]") & ~F.contains("source", F.lit("  ")))
-    return rows.select("seg_id", text.tidy(F.col("source"), F.lower("source"), "en").alias("tidy"))
+    return lines(spark, sf_dir).select("seg_id", text.tidy(F.col("source"), F.lower("source"), "en").alias("tidy"))
 
 
-@query(r"WITH " + SEG + r", t AS (SELECT seg_id, trim(line) AS t FROM segs), c AS (SELECT seg_id, t, len(regexp_extract_all(t, '[.!?](\s|$)')) AS n FROM t) SELECT seg_id, CAST(CASE WHEN t = '' THEN 0 WHEN regexp_matches(t, '[.!?]$') THEN n ELSE n + 1 END AS INT) AS sentences FROM c WHERE NOT regexp_matches(t, '[.!?]\s[.!?]')")
+@query(r"WITH " + SEG + r", t AS (SELECT seg_id, trim(line) AS t FROM segs), c AS (SELECT seg_id, t, len(regexp_extract_all(t, '[.!?](\s|$)')) AS n FROM t) SELECT seg_id, CAST(CASE WHEN t = '' THEN 0 WHEN regexp_matches(t, '[.!?]$') THEN n ELSE n + 1 END AS INT) AS sentences FROM c")
 def sentence_count(spark, sf_dir):
-    return lines(spark, sf_dir).where(~F.col("source").rlike(r"[.!?]\s[.!?]")).select("seg_id", text.sentences(F.col("source")).cast("int").alias("sentences"))
+    return lines(spark, sf_dir).select("seg_id", text.sentences(F.col("source")).cast("int").alias("sentences"))
 
 
 # Glossary
@@ -258,58 +251,71 @@ def glossary_consistency(spark, sf_dir):
     return glossary.inconsistent(glossary.adherence(pairs, TGT))
 
 
-STORED = "id int, glossary_id int, source_term string, source_lang string, target_lang string, context string, target_term string, category string"
-STORED_ROWS = [(1, 1, "Alarm", "en", "de", "", "Alarm", "safety"), (2, 1, "chiller", "en", "de", "", "Kaltwassersatz", "hvac"), (3, 1, "Chiller", "en", "ja", "hvac", "冷凍機", "hvac"), (4, 2, "pump", "en", "de", "", "Pumpe", "hvac")]
-STORED_SQL = "stored(id, glossary_id, source_term, source_lang, target_lang, context, target_term, category) AS (VALUES " + ", ".join(str(r) for r in STORED_ROWS) + ")"
+STORED_SQL = "stored AS (SELECT CAST(p_partkey AS INT) AS id, CAST(p_partkey % 3 + 1 AS INT) AS glossary_id, p_name || ' ' || p_partkey AS source_term, 'en' AS source_lang, CASE WHEN p_size % 2 = 0 THEN 'de' ELSE 'ja' END AS target_lang, CASE WHEN p_size % 5 = 0 THEN p_type ELSE '' END AS context, upper(p_name) AS target_term, p_brand AS category FROM part), top AS (SELECT max(id) AS top FROM stored)"
 
 
-def stored_terms(spark):
-    return spark.createDataFrame(STORED_ROWS, STORED)
+def stored_terms(spark, sf_dir):
+    """A glossary's stored terms, one for each part."""
+    part = read_table(spark, sf_dir, "part")
+    return part.select(
+        F.col("p_partkey").cast("int").alias("id"), (F.col("p_partkey") % 3 + 1).cast("int").alias("glossary_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("source_term"), F.lit("en").alias("source_lang"),
+        F.when(F.col("p_size") % 2 == 0, "de").otherwise("ja").alias("target_lang"), F.when(F.col("p_size") % 5 == 0, F.col("p_type")).otherwise("").alias("context"), F.upper("p_name").alias("target_term"), F.col("p_brand").alias("category"),
+    )
 
 
-@query(f"WITH {STORED_SQL} SELECT id, source_term, target_term FROM stored WHERE source_term ILIKE '%chill%' OR target_term ILIKE '%chill%' OR category ILIKE '%chill%'")
+@query(f"WITH {STORED_SQL} SELECT id, source_term, target_term FROM stored WHERE source_term ILIKE '%12%' OR target_term ILIKE '%12%' OR category ILIKE '%12%'")
 def glossary_search(spark, sf_dir):
-    return glossary.searched(stored_terms(spark), "chill").select("id", "source_term", "target_term")
+    return glossary.searched(stored_terms(spark, sf_dir), "12").select("id", "source_term", "target_term")
 
 
-@query(f"WITH {STORED_SQL} SELECT * REPLACE (CASE WHEN id = 2 THEN 'Kältemaschine' ELSE target_term END AS target_term) FROM stored UNION ALL SELECT 5, 1, 'valve', 'en', 'de', '', 'Ventil', 'hvac'")
+@query(f"WITH {STORED_SQL} SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN 'second ' || id WHEN id % 2 = 0 THEN 'first ' || id ELSE target_term END AS target_term) FROM stored UNION ALL SELECT CAST(top + row_number() OVER (ORDER BY id) AS INT), 9, source_term, source_lang, target_lang, context, 'new', category FROM stored, top WHERE id % 6 = 0")
 def glossary_upsert(spark, sf_dir):
-    new = spark.createDataFrame([(1, "chiller", "en", "de", "", "Kühler", "hvac", 1), (1, "chiller", "en", "de", "", "Kältemaschine", "hvac", 2), (1, "valve", "en", "de", "", "Ventil", "hvac", 3)], STORED.replace("id int, ", "", 1) + ", seq int")
-    return glossary.upserted(stored_terms(spark), new)
+    held = stored_terms(spark, sf_dir)
+    again = lambda rows, what, n: rows.withColumns({"target_term": F.concat(F.lit(what), F.col("id").cast("string")), "seq": F.col("id") * 3 + n})
+    new = again(held.where("id % 2 = 0"), "first ", 0).unionByName(again(held.where("id % 4 = 0"), "second ", 1))
+    fresh = held.where("id % 6 = 0").withColumns({"glossary_id": F.lit(9), "target_term": F.lit("new"), "seq": F.col("id") * 3 + 2})
+    return glossary.upserted(held, new.unionByName(fresh).drop("id"))
 
 
-@query(f"WITH {STORED_SQL} SELECT * FROM stored WHERE id NOT IN (1, 4)")
+@query(f"WITH {STORED_SQL} SELECT * FROM stored WHERE id % 7 <> 0")
 def glossary_delete(spark, sf_dir):
-    return glossary.deleted(stored_terms(spark), spark.createDataFrame([(1,), (4,)], "id int"))
+    held = stored_terms(spark, sf_dir)
+    return glossary.deleted(held, held.where("id % 7 = 0").select("id"))
 
 
 @query(f"WITH {STORED_SQL} SELECT * REPLACE (CASE WHEN id = 3 THEN 'チラー' ELSE target_term END AS target_term) FROM stored")
 def glossary_update(spark, sf_dir):
-    return glossary.updated(stored_terms(spark), 3, target_term="チラー")
+    return glossary.updated(stored_terms(spark, sf_dir), 3, target_term="チラー")
 
 
 @query(f"WITH {STORED_SQL} SELECT * FROM stored WHERE glossary_id <> 2")
 def glossary_drop(spark, sf_dir):
-    names = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
-    return glossary.without_glossary(names, stored_terms(spark), "b")[1].select(*stored_terms(spark).columns)
+    held = stored_terms(spark, sf_dir)
+    names = held.select(F.col("glossary_id").alias("id"), F.concat(F.lit("g"), F.col("glossary_id").cast("string")).alias("name")).distinct()
+    return glossary.without_glossary(names, held, "g2")[1].select(*held.columns)
 
 
-@query("SELECT * FROM (VALUES (1, 'Row 3: unsupported language xx'), (2, 'Row 4: target_term is empty (or mark the row do_not_translate)'), (3, 'Row 5: priority must be low, normal or high')) t(term_seq, error)")
+@query(f"WITH {STORED_SQL}, v AS (SELECT id AS term_seq, CASE WHEN id % 11 = 0 THEN 'xx' ELSE source_lang END AS source_lang, CASE WHEN id % 13 = 0 THEN 'yy' ELSE target_lang END AS target_lang, CASE WHEN id % 5 = 0 THEN '' ELSE target_term END AS target_term, id % 10 = 0 AS keep, CASE WHEN id % 17 = 0 THEN 'urgent' ELSE 'low' END AS priority FROM stored) SELECT * FROM (SELECT term_seq, 'Row ' || (term_seq + 2) || ': ' || CASE WHEN source_lang = 'xx' THEN 'unsupported language xx' WHEN target_lang = 'yy' THEN 'unsupported language yy' WHEN NOT keep AND target_term = '' THEN 'target_term is empty (or mark the row do_not_translate)' WHEN priority = 'urgent' THEN 'priority must be low, normal or high' END AS error FROM v) WHERE error IS NOT NULL")
 def glossary_validate(spark, sf_dir):
-    rows = [(0, "a", "b", "en", "de", False, "low"), (1, "a", "b", "xx", "de", False, "low"), (2, "a", "", "en", "de", False, "low"), (3, "a", "b", "en", "de", False, "urgent"), (4, "a", "", "en", "de", True, "high")]
-    return glossary.invalid(spark.createDataFrame(rows, "term_seq int, source_term string, target_term string, source_lang string, target_lang string, do_not_translate boolean, priority string"))
+    n = F.col("id")
+    rows = stored_terms(spark, sf_dir).select(
+        n.alias("term_seq"), "source_term", F.when(n % 11 == 0, "xx").otherwise(F.col("source_lang")).alias("source_lang"), F.when(n % 13 == 0, "yy").otherwise(F.col("target_lang")).alias("target_lang"),
+        F.when(n % 5 == 0, "").otherwise(F.col("target_term")).alias("target_term"), (n % 10 == 0).alias("do_not_translate"), F.when(n % 17 == 0, "urgent").otherwise("low").alias("priority"),
+    )
+    return glossary.invalid(rows)
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) t(id, name)")
+@query("SELECT CAST(n_nationkey AS INT) AS id, n_name AS name FROM nation UNION ALL SELECT max(CAST(n_nationkey AS INT)) + 1, 'own terms' FROM nation")
 def glossary_ensure(spark, sf_dir):
-    names = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
-    return stored.ensured(stored.ensured(names, "b"), "c")
+    names = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"))
+    return stored.ensured(stored.ensured(names, names.agg(F.min("name")).first()[0]), "own terms")
 
 
-@query(f"WITH {STORED_SQL} SELECT id, source_term FROM stored WHERE glossary_id = 1 AND source_lang = 'en' AND ((source_term = 'Alarm' AND target_lang = 'de' AND context = '') OR (source_term = 'Chiller' AND target_lang = 'ja' AND context = 'hvac'))")
+@query(f"WITH {STORED_SQL} SELECT id, source_term FROM stored WHERE id % 5 IN (0, 1)")
 def glossary_ids(spark, sf_dir):
-    keys = spark.createDataFrame([(1, "Alarm", "en", "de", ""), (1, "Chiller", "en", "ja", "hvac"), (1, "chiller", "en", "ja", "hvac")], "glossary_id int, source_term string, source_lang string, target_lang string, context string")
-    return stored.ids_of(stored_terms(spark), keys).select("id", "source_term")
+    held = stored_terms(spark, sf_dir)
+    other = held.withColumn("source_term", F.when(F.col("id") % 5 < 2, F.col("source_term")).otherwise(F.upper("source_term")))
+    return stored.ids_of(held, other.where("id % 5 in (0, 1)").unionByName(other.where("id % 5 = 2 and upper(source_term) <> lower(source_term)"))).select("id", "source_term")
 
 
 # Recurring terms
@@ -390,19 +396,19 @@ def same_source_variants(spark, sf_dir):
 # Memory
 
 
-def memory_rows(spark, sf_dir, whole=False):
+def memory_rows(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
-    rows = lines(spark, sf_dir).where(F.lit(whole) | (F.col("doc_id") % 2 == 0)).join(labels, "doc_id", "left")
+    rows = lines(spark, sf_dir).join(labels, "doc_id", "left")
     human = F.when(F.col("good"), "human").otherwise("model")
     return rows.select(F.lit(SRC).alias("source_lang"), F.lit(TGT).alias("target_lang"), F.col("source").alias("source_text"), F.upper(F.replace("source", F.lit("ß"), F.lit("ss"))).alias("target_text"), human.alias("origin"), (F.col("doc_id") * 100_000 + F.col("pos")).alias("created_at"))
 
 
-_MEMORY = r"WITH " + SEG + ", mem AS (SELECT line AS source_text, upper(replace(line, 'ß', 'ss')) AS target_text, CASE WHEN quality = 1 THEN 'human' ELSE 'model' END AS origin, doc_id * 100000 + pos AS created_at FROM segs LEFT JOIN labels USING (doc_id) WHERE doc_id % 2 = 0)"
+_MEMORY = r"WITH " + SEG + ", mem AS (SELECT line AS source_text, upper(replace(line, 'ß', 'ss')) AS target_text, CASE WHEN quality = 1 THEN 'human' ELSE 'model' END AS origin, doc_id * 100000 + pos AS created_at FROM segs LEFT JOIN labels USING (doc_id))"
 
 
-@query(_MEMORY + ", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_text ORDER BY origin = 'human' DESC, created_at DESC) AS r FROM mem) WHERE r = 1) SELECT seg_id, target_text, origin FROM segs s LEFT JOIN best b ON s.line = b.source_text WHERE doc_id % 2 = 1")
+@query(_MEMORY + ", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_text ORDER BY origin = 'human' DESC, created_at DESC) AS r FROM mem) WHERE r = 1) SELECT seg_id, target_text, origin FROM segs s LEFT JOIN best b ON s.line = b.source_text")
 def memory_exact(spark, sf_dir):
-    asked = lines(spark, sf_dir).where(F.col("doc_id") % 2 == 1).select("seg_id", F.lit(SRC).alias("source_lang"), F.lit(TGT).alias("target_lang"), F.col("source").alias("source_text"))
+    asked = lines(spark, sf_dir).select("seg_id", F.lit(SRC).alias("source_lang"), F.lit(TGT).alias("target_lang"), F.col("source").alias("source_text"))
     return memory.exact(asked, memory_rows(spark, sf_dir)).select("seg_id", "target_text", "origin")
 
 
@@ -516,58 +522,87 @@ def qc_findings(spark, sf_dir):
     return findings.ordered(all_findings(spark, sf_dir).withColumn("text", findings.described()))
 
 
-_FOUND = _LOST + r", f AS (SELECT seg_id, 'identifiers' AS category, 'warning' AS severity FROM l WHERE len(lost) > 0 UNION ALL SELECT seg_id, 'completeness', 'error' FROM pairs WHERE target IS NULL UNION ALL SELECT seg_id, 'completeness', 'warning' FROM pairs WHERE mutation = 'line_added')"
+_DANGLES = r"regexp_matches(trim({0}), '(?i)(^|[^A-Za-z0-9_À-ɏ])(und|oder|der|die|das|des|mit|für|zu|von|im|in|auf)$')"
+_KEY = rf"{CASEFOLD.format('regexp_replace(' + NORM + ', ' + chr(39) + '[\\s.:;,!?]+$' + chr(39) + ', ' + chr(39) * 2 + ')')}"
+_FOUND = (
+    _HINTED.rstrip()
+    + r", acr AS (SELECT *, list_filter(regexp_extract_all(plain, '[A-Za-z0-9]+'), lambda w: regexp_matches(w, '^[A-Z][A-Za-z0-9]*[A-Z0-9]$') AND len(regexp_extract_all(w, '[A-Z]')) >= 2) AS ws FROM pairs)"
+    ", own AS (SELECT * EXCLUDE (ws), list_transform(list_sort(list_transform(list_filter(ws, lambda a, i: len(list_filter(ws[1:i - 1], lambda b: contains(b, a))) = 0), lambda w: {'n': -length(w), 'w': w})), lambda x: x.w) AS ws FROM acr)"
+    ", worded AS (SELECT * EXCLUDE (ws) FROM own WHERE regexp_matches(list_reduce(list_prepend(plain, ws), lambda x, w: replace(x, w, '')), '[A-Za-z]'))"
+    + rf", act AS (SELECT *, target IS NULL OR trim(target) = '' OR {CASEFOLD.format(NORM.format('target'))} = {CASEFOLD.format(NORM.format('plain'))} AS bare, "
+    rf"length(coalesce(target, '')) - length(replace(coalesce(target, ''), chr(10), '')) > length(source) - length(replace(source, chr(10), '')) AS more_lines, "
+    rf"({_DANGLES.format('target')} AND NOT {_DANGLES.format('plain')}) OR (regexp_matches(trim(plain), '[.!?]$') AND NOT regexp_matches(trim(target), '[.!?][)\x22\x27\s]*$')) AS cut FROM worded), "
+    rf"same AS (SELECT doc_id, {_KEY.format('plain')} AS key, {_KEY.format('target')} AS variant, seg_id, container FROM worded WHERE trim(coalesce(target, '')) <> '' AND regexp_matches(plain, '[A-Za-zÀ-ÿ]')), "
+    "f AS (SELECT doc_id, 'completeness' AS category, 'not_translated' AS code, 'error' AS severity, 'Not translated' AS said, [seg_id] AS segments, [container] AS pages FROM act WHERE bare "
+    "UNION ALL SELECT doc_id, 'completeness', 'added_text', 'warning', 'Has extra lines: the model may have added text', [seg_id], [container] FROM act WHERE NOT bare AND more_lines "
+    "UNION ALL SELECT doc_id, 'completeness', 'possible_omission', 'warning', 'Shorter than expected: part of the text may be missing', [seg_id], [container] FROM act WHERE NOT bare AND cut "
+    "UNION ALL SELECT doc_id, 'terminology', 'glossary_term', 'warning', 'Glossary: “' || lower(term) || '” should be “' || approved || '”', list_sort(list_distinct(list(seg_id) FILTER (NOT used))), list_sort(list_distinct(list(container) FILTER (NOT used))) FROM h GROUP BY doc_id, term, approved HAVING bool_or(NOT used) "
+    "UNION ALL SELECT doc_id, 'terminology', 'same_source_differs', 'warning', 'The same text is translated differently elsewhere', list_sort(list(seg_id)), list_sort(list_distinct(list(container))) FROM same GROUP BY doc_id, key HAVING count(DISTINCT variant) >= 2), "
+    "e AS (SELECT unnest(segments) AS seg_id, f.* EXCLUDE (segments) FROM f)"
+)
+
+
+@query(_FOUND + " SELECT seg_id, seg_id NOT IN (SELECT seg_id FROM worded) AS kept FROM pairs")
+def kept_filter(spark, sf_dir):
+    plain = tags.strip_tags(F.col("source"))
+    return marked(spark, sf_dir).select("seg_id", tokens.nothing_to_translate(plain, SRC, tokens.protected_tokens(plain)).alias("kept"))
 
 
-def simple_findings(spark, sf_dir):
-    pairs = test_pairs(spark, sf_dir)
-    lost = F.array_except(tokens.significant_numbers(F.col("plain")), tokens.significant_numbers(F.col("target")))
-    say = checks.where_label()
-    return findings.union(
-        pairs.where("target is not null").withColumn("missing", lost).where("size(missing) > 0").select(*findings.finding("identifiers", "number_changed", "warning", say, F.struct("missing"))),
-        pairs.where("target is null").select(*findings.finding("completeness", "not_translated", "error", say)),
-        pairs.where("mutation = 'line_added'").select(*findings.finding("completeness", "added_text", "warning", say)),
-    )
+def told_findings(spark, sf_dir):
+    """What the checks find; but for the shares of letters and words left over, whose patterns SQL doesn't have, all that
+    completeness and terminology find."""
+    pairs = materialize(full_pairs(spark, sf_dir), "told-pairs")
+    found = checks.completeness(pairs, SRC, TGT)
+    cut = F.coalesce(F.get_json_object("detail", "$.cut_off") == "true", F.lit(False))
+    found = found.where(F.col("code").isin("not_translated", "added_text") | ((F.col("code") == "possible_omission") & cut))
+    return findings.union(found, checks.glossary_terms(pairs, TGT), checks.same_source_differs(pairs, TGT))
 
 
 @query(_FOUND + ", c(category, label) AS (VALUES ('terminology', 'Terminology consistency'), ('completeness', 'Missing or partial translation'), ('identifiers', 'Identifiers and numbers'), ('layout', 'Layout and fonts')) SELECT category, label, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS info FROM c LEFT JOIN f USING (category) GROUP BY ALL")
 def qc_summary(spark, sf_dir):
-    return findings.summary(simple_findings(spark, sf_dir))
+    return findings.summary(told_findings(spark, sf_dir))
+
+
+@query(_FOUND + " SELECT doc_id, category, code, severity, said, array_to_string(segments, ',') AS segments, array_to_string(pages, ',') AS pages FROM f")
+def findings_told(spark, sf_dir):
+    found = told_findings(spark, sf_dir).withColumn("said", findings.described())
+    return found.select("doc_id", "category", "code", "severity", "said", F.array_join("segments", ",").alias("segments"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
-@query(_FOUND + " SELECT seg_id, count(*) AS n FROM f GROUP BY ALL")
+@query(_FOUND + " SELECT seg_id, count(*) AS n FROM e GROUP BY ALL")
 def qc_by_segment(spark, sf_dir):
-    return findings.by_segment(simple_findings(spark, sf_dir)).groupBy("seg_id").agg(F.count("*").alias("n"))
+    return findings.by_segment(told_findings(spark, sf_dir)).groupBy("seg_id").agg(F.count("*").alias("n"))
 
 
-@query(_FOUND + " SELECT DISTINCT seg_id FROM f WHERE severity <> 'info'")
+@query(_FOUND + " SELECT DISTINCT seg_id FROM e WHERE severity <> 'info'")
 def flagged_segments(spark, sf_dir):
-    return findings.flagged(simple_findings(spark, sf_dir))
+    return findings.flagged(told_findings(spark, sf_dir))
 
 
-@query(_FOUND + " SELECT severity, category, seg_id, coalesce(target, '') AS translation FROM f JOIN pairs USING (seg_id)")
+@query(_FOUND + " SELECT severity, category, said AS finding, container AS page, seg_id, plain AS source, coalesce(target, '') AS translation FROM e JOIN pairs USING (seg_id)")
 def findings_csv(spark, sf_dir):
-    sheet = findings.sheet(simple_findings(spark, sf_dir), test_pairs(spark, sf_dir))
-    return sheet.select("severity", F.col("check").alias("category"), F.col("segment").alias("seg_id"), "translation")
+    sheet = findings.sheet(told_findings(spark, sf_dir), test_pairs(spark, sf_dir))
+    return sheet.select("severity", F.col("check").alias("category"), "finding", "page", F.col("segment").alias("seg_id"), "source", "translation")
 
 
-_ORDERED = _FOUND + ", o AS (SELECT f.seg_id, p.doc_id, p.container, CASE WHEN f.category = 'identifiers' THEN 'number_changed' WHEN f.severity = 'error' THEN 'not_translated' ELSE 'added_text' END AS code, CASE f.severity WHEN 'error' THEN 0 ELSE 1 END AS rank, CASE f.category WHEN 'completeness' THEN 1 ELSE 2 END AS place FROM f JOIN pairs p USING (seg_id))"
+_ORDERED = _FOUND + ", o AS (SELECT *, CASE severity WHEN 'error' THEN 0 ELSE 1 END AS rank, CASE category WHEN 'terminology' THEN 0 ELSE 1 END AS place, coalesce(pages[1], 0) AS page FROM f)"
 
 
-@query(_ORDERED + " SELECT seg_id, code, (SELECT greatest(count(*) - 15, 0) FROM o) AS more FROM o ORDER BY rank, place, container, doc_id, code, seg_id LIMIT 15")
+@query(_ORDERED + " SELECT array_to_string(segments, ',') AS segments, code, said, (SELECT greatest(count(*) - 15, 0) FROM o) AS more FROM o ORDER BY rank, place, page, doc_id, code, array_to_string(segments, ',') LIMIT 15")
 def findings_worst(spark, sf_dir):
-    return stored.worst(simple_findings(spark, sf_dir)).select(F.get("segments", F.lit(0)).alias("seg_id"), "code", F.col("more").cast("long").alias("more"))
+    found = stored.worst(told_findings(spark, sf_dir))
+    return found.select(F.array_join("segments", ",").alias("segments"), "code", findings.described().alias("said"), F.col("more").cast("long").alias("more"))
 
 
-@query(_ORDERED + " SELECT CASE place WHEN 1 THEN 'completeness' ELSE 'identifiers' END AS category, count(*) AS n FROM o GROUP BY ALL")
+@query(_ORDERED + ", told AS (SELECT category, said, min(page) AS page, count(*) AS n FROM o GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY page, said) AS r FROM told) SELECT category, CAST(sum(n) AS BIGINT) AS n, string_agg(said, '|' ORDER BY r) FILTER (r <= 2) AS texts FROM r GROUP BY category")
 def findings_panel(spark, sf_dir):
-    return stored.panel(simple_findings(spark, sf_dir)).where("size(texts) between 1 and 2").select("category", "n")
+    return stored.panel(told_findings(spark, sf_dir)).select("category", "n", F.array_join("texts", "|").alias("texts"))
 
 
-@query(r"WITH " + SEG + r" SELECT seg_id FROM pairs WHERE doc_id % 2 = 0 AND target IS NOT NULL AND regexp_replace(plain, '\s+', '', 'g') <> regexp_replace(target, '\s+', '', 'g')")
+@query(r"WITH " + SEG + r" SELECT seg_id FROM pairs WHERE target IS NOT NULL AND regexp_replace(plain, '\s+', '', 'g') <> regexp_replace(target, '\s+', '', 'g')")
 def drawing_left(spark, sf_dir):
     rows = test_pairs(spark, sf_dir).select("doc_id", "seg_id", F.col("plain").alias("source"), "target")
-    return stored.still_drawn(rows, rows.where("doc_id % 2 = 0").select("doc_id", F.col("source").alias("text"))).select("seg_id")
+    return stored.still_drawn(rows, rows.select("doc_id", F.col("source").alias("text"))).select("seg_id")
 
 
 @query("SELECT * FROM (VALUES ('a', 'basic', 97.5, 2.0), ('b', 'basic', 90.0, NULL)) t(model, deck, translated_pct, seconds)")
@@ -596,11 +631,9 @@ def status_counts(spark, sf_dir):
     return report.status_counts(outcomes(spark, sf_dir))
 
 
-@query(_FOUND + " SELECT p.seg_id AS segment, p.container AS page, coalesce(p.target, '') AS translation, (SELECT count(*) FROM f WHERE f.seg_id = p.seg_id) AS n_checks FROM pairs p")
+@query(_FOUND + ", s AS (SELECT seg_id, string_agg(severity || ': ' || said, '; ' ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, code, severity || ': ' || said) AS checks FROM e GROUP BY seg_id) SELECT p.seg_id AS segment, p.container AS page, coalesce(p.target, '') AS translation, coalesce(s.checks, '') AS checks FROM pairs p LEFT JOIN s USING (seg_id)")
 def review_rows(spark, sf_dir):
-    rows = report.review_sheet(outcomes(spark, sf_dir), simple_findings(spark, sf_dir))
-    parts = F.when(F.col("checks") == "", 0).otherwise(F.size(F.regexp_extract_all("checks", F.lit("(error|warning|info): "), F.lit(0))))
-    return rows.select("segment", "page", "translation", parts.cast("long").alias("n_checks"))
+    return report.review_sheet(outcomes(spark, sf_dir), told_findings(spark, sf_dir)).select("segment", "page", "translation", "checks")
 
 
 @query(r"WITH " + SEG + " SELECT seg_id, CASE WHEN doc_id % 5 = 0 THEN 'edited' WHEN target IS NULL THEN 'failed' WHEN mutation = 'copied' THEN 'kept' ELSE 'translated' END AS status, CASE WHEN doc_id % 5 = 0 THEN 'edit ' || seg_id ELSE target END AS target FROM pairs")
@@ -685,40 +718,26 @@ def column_edge(spark, sf_dir):
     return geometry.column_edges(boxes(spark, sf_dir))
 
 
-def word_spans(spark, sf_dir, whole=False):
-    """The first six words of lines, or all, as spans, with wide gaps by rule."""
-    words = F.split("source", " ")
-    words = lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(words if whole else F.slice(words, 1, 6)).alias("seq", "text"))
+def word_spans(spark, sf_dir):
+    """The words of lines as spans, with wide gaps by rule."""
+    words = lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(F.split("source", " ")).alias("seq", "text"))
     x0 = (F.col("seq") * 50 + F.floor(F.col("seq") / 3) * 40).cast("double")
     return words.select(F.col("doc_id").alias("page"), F.col("pos").alias("line"), "seq", "text", x0.alias("x0"), (x0 + 45).alias("x1"), F.lit(10.0).alias("size"), (F.col("seq") % 2).alias("style"))
 
 
-_SPAN = r"WITH " + SEG + ", sp AS (SELECT doc_id AS page, pos AS line, i - 1 AS seq, string_split(line, ' ')[i] AS text FROM segs, unnest(generate_series(1, least(6, len(string_split(line, ' '))))) t(i))"
+_SPANS = r"WITH " + SEG + ", sp AS (SELECT doc_id AS page, pos AS line, i - 1 AS seq, string_split(line, ' ')[i] AS text FROM segs, unnest(generate_series(1, len(string_split(line, ' ')))) t(i))"
 
 
-@query(_SPAN + " SELECT page, line, CAST(seq // 3 AS BIGINT) AS piece, string_agg(text, '' ORDER BY seq) AS text FROM sp GROUP BY ALL HAVING trim(string_agg(text, '' ORDER BY seq)) <> ''")
+@query(_SPANS + " SELECT page, line, CAST(seq // 3 AS BIGINT) AS piece, string_agg(text, '' ORDER BY seq) AS text FROM sp GROUP BY ALL HAVING trim(string_agg(text, '' ORDER BY seq)) <> ''")
 def line_gaps(spark, sf_dir):
     return geometry.split_at_gaps(word_spans(spark, sf_dir)).select("page", "line", "piece", "text")
 
 
-@query(_SPAN + ", c AS (SELECT page, seq % 2 AS style, sum(length(trim(text))) AS n FROM sp GROUP BY ALL) SELECT page, CAST(max_by(style, (n, style)) AS INT) AS dominant FROM c GROUP BY page")
+@query(_SPANS + ", c AS (SELECT page, seq % 2 AS style, sum(length(trim(text))) AS n FROM sp GROUP BY ALL) SELECT page, CAST(max_by(style, (n, style)) AS INT) AS dominant FROM c GROUP BY page")
 def dominant_style(spark, sf_dir):
     return geometry.dominant(word_spans(spark, sf_dir), ["page"], "style").select("page", F.col("dominant").cast("int").alias("dominant"))
 
 
-_ALL_SPANS = r"WITH " + SEG + ", sp AS (SELECT doc_id AS page, pos AS line, i - 1 AS seq, string_split(line, ' ')[i] AS text FROM segs, unnest(generate_series(1, len(string_split(line, ' ')))) t(i))"
-
-
-@query(_ALL_SPANS + " SELECT page, line, CAST(seq // 3 AS BIGINT) AS piece, string_agg(text, '' ORDER BY seq) AS text FROM sp GROUP BY ALL HAVING trim(string_agg(text, '' ORDER BY seq)) <> ''")
-def line_gaps_whole(spark, sf_dir):
-    return geometry.split_at_gaps(word_spans(spark, sf_dir, whole=True)).select("page", "line", "piece", "text")
-
-
-@query(_ALL_SPANS + ", c AS (SELECT page, seq % 2 AS style, sum(length(trim(text))) AS n FROM sp GROUP BY ALL) SELECT page, CAST(max_by(style, (n, style)) AS INT) AS dominant FROM c GROUP BY page")
-def dominant_style_whole(spark, sf_dir):
-    return geometry.dominant(word_spans(spark, sf_dir, whole=True), ["page"], "style").select("page", F.col("dominant").cast("int").alias("dominant"))
-
-
 @query(r"WITH " + SEG + " SELECT doc_id AS page, container AS para, CASE WHEN count(*) < 2 THEN 'left' WHEN doc_id % 3 = 0 THEN 'justify' WHEN max(pos % 3) > min(pos % 3) AND doc_id % 3 = 1 THEN 'right' WHEN doc_id % 3 = 1 THEN 'justify' WHEN max(pos % 3) > min(pos % 3) THEN 'center' ELSE 'justify' END AS align FROM segs GROUP BY doc_id, container")
 def alignment(spark, sf_dir):
     step = ((F.col("pos") % 3) * 10).cast("double")
@@ -727,31 +746,93 @@ def alignment(spark, sf_dir):
     return geometry.alignment(rows)
 
 
-def recognised(spark, sf_dir):
-    rows = boxes(spark, sf_dir)
+def halves(spark, sf_dir):
+    """Recognised fragments: the halves of each line, of a page of ten lines each."""
+    row = F.col("pos") % 10
+    rows = lines(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("container")).alias("page"), F.col("source").alias("text"), ((F.col("doc_id") % 5) * 20).cast("double").alias("x0"), (row * 30).cast("double").alias("y0"))
     half = F.floor(F.length("text") / 2).cast("int")
-    left = rows.select("page", F.substr("text", F.lit(1), half).alias("text"), "x0", "y0", (F.col("x0") + 48).alias("x1"), (F.col("y0") + 20).alias("y1"), F.lit(0.9).alias("score"))
-    right = rows.select("page", F.substr("text", half + 1).alias("text"), (F.col("x0") + 52).alias("x0"), "y0", "x1", (F.col("y0") + 20).alias("y1"), F.lit(0.8).alias("score"))
-    return left.unionByName(right)
+    piece = lambda text, a, b, score: rows.select("page", text.alias("text"), (F.col("x0") + a).alias("x0"), "y0", (F.col("x0") + b).alias("x1"), (F.col("y0") + 20).alias("y1"), F.lit(score).alias("score"))
+    return piece(F.substr("text", F.lit(1), half), 0.0, 48.0, 0.9).unionByName(piece(F.substr("text", half + 1), 52.0, 100.0, 0.8))
 
 
-@query()
+@query(r"WITH " + SEG + " SELECT doc_id * 1000 + container AS page, line[:length(line) // 2] || ' ' || line[length(line) // 2 + 1:] AS text, ((doc_id % 5) * 20)::DOUBLE AS x0, ((pos % 10) * 30)::DOUBLE AS y0, ((doc_id % 5) * 20 + 100)::DOUBLE AS x1, ((pos % 10) * 30 + 20)::DOUBLE AS y1, 0.8::DOUBLE AS score FROM segs")
 def ocr_merge(spark, sf_dir):
-    return geometry.merged_fragments(recognised(spark, sf_dir))
+    return geometry.merged_fragments(halves(spark, sf_dir)).select("page", "text", "x0", "y0", "x1", "y1", "score")
 
 
-@query()
+def columned(spark, sf_dir):
+    """Lines in two columns of a page, three close under each other and then a space, in sizes and colours by rule."""
+    row, side = F.floor(F.col("pos") % 10 / 2), F.col("pos") % 2
+    x0, y0 = (side * 300).cast("double"), (row * 24 + F.floor(row / 3) * 20).cast("double")
+    rows = lines(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("container")).alias("page"), F.col("pos").alias("line"), F.col("source").alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + 200).alias("x1"), (y0 + 20).alias("y1"))
+    return rows.withColumns({"score": F.lit(0.9), "size": F.when(F.col("line") % 9 == 0, 14.0).otherwise(10.0), "colour": F.when(F.col("line") % 14 < 2, 255).otherwise(0)})
+
+
+_BULLETED = r"regexp_matches(line, '^\s*([•●▪◦○■□・*]|[-–]\s|\(?\d{1,2}[.)]([^0-9]|$))')"
+_COLUMNED = r"WITH " + SEG + rf", l AS (SELECT doc_id * 1000 + container AS page, pos, line, {_BULLETED} AS bullet, pos % 2 AS side, (pos % 10) // 2 AS row, CASE WHEN pos % 9 = 0 THEN 14 ELSE 10 END AS size, CASE WHEN pos % 14 < 2 THEN 255 ELSE 0 END AS colour FROM segs), p AS (SELECT *, lag(pos) OVER w AS before, lag(size) OVER w AS size_before, lag(colour) OVER w AS colour_before FROM l WINDOW w AS (PARTITION BY page, side ORDER BY pos)), s AS (SELECT *, bullet OR before IS NULL OR before <> pos - 2 OR row = 3 AS opens FROM p)"
+_PARA = " SELECT page, pos AS line, CAST(sum(({0})::INT) OVER (PARTITION BY page ORDER BY pos) - 1 AS INT) AS para, {0} AS opens FROM s"
+
+
+@query(_COLUMNED + ", n AS (" + _PARA.format("opens") + ") SELECT page, count(*) AS n_lines, max(para) + 1 AS n_paras FROM n GROUP BY page")
 def paragraph_group(spark, sf_dir):
-    return geometry.paragraphs(recognised(spark, sf_dir))
+    found = geometry.paragraphs(columned(spark, sf_dir))
+    return found.groupBy("page").agg(F.count("*").alias("n_lines"), (F.max("para") + 1).alias("n_paras"))
+
+
+@query(_COLUMNED + ", n AS (" + _PARA.format("(opens OR size <> size_before OR colour <> colour_before)") + ") SELECT page, line, para FROM n WHERE opens")
+def pdf_paragraph_starts(spark, sf_dir):
+    found = geometry.pdf_paragraphs(columned(spark, sf_dir))
+    return found.groupBy("page", "para").agg(F.min("line").alias("line"))
+
+
+@query(r"WITH " + SEG + r", a AS (SELECT seg_id, line, string_split(line, ' ') AS ws FROM segs), r AS (SELECT seg_id, i AS seq, CASE WHEN i % 3 = 0 THEN 'b' ELSE 'a' END AS style, ws[i] || CASE WHEN i < len(ws) THEN ' ' ELSE '' END AS t FROM a, unnest(generate_series(1, len(ws))) u(i)), n AS (SELECT seg_id, coalesce(sum(length(trim(t))) FILTER (style = 'a'), 0) AS na, coalesce(sum(length(trim(t))) FILTER (style = 'b'), -1) AS nb FROM r GROUP BY ALL) SELECT seg_id, regexp_replace(string_agg(CASE WHEN trim(t) <> '' AND ((style = 'b' AND na >= nb) OR (style = 'a' AND na < nb)) THEN '<g1>' || t || '</g1>' ELSE t END, '' ORDER BY seq), '</g1><g1>', '', 'g') AS source FROM r JOIN n USING (seg_id) GROUP BY seg_id")
+def runs_encoded(spark, sf_dir):
+    words = lines(spark, sf_dir).select("seg_id", F.posexplode(F.split("source", " ", -1)).alias("at", "w"), F.size(F.split("source", " ", -1)).alias("n"))
+    runs = words.select(F.col("seg_id").alias("para"), "at", (F.col("at") + 1).alias("seq"), F.when((F.col("at") + 1) % 3 == 0, "b").otherwise("a").alias("style"), F.concat("w", F.when(F.col("at") + 1 < F.col("n"), " ").otherwise("")).alias("text"))
+    return encoded_runs(runs.drop("at")).select(F.col("para").alias("seg_id"), "source")
+
+
+@query(r"WITH " + SEG + ", " + _DETECT.removeprefix("WITH ").rstrip() + " SELECT s.doc_id, found AS language, CASE WHEN found = 'en' THEN 'ja' ELSE 'en' END AS target, count(*) AS n_segments, count(DISTINCT container) AS n_pages FROM segs s JOIN r USING (doc_id) GROUP BY ALL")
+def documents_inspected(spark, sf_dir):
+    return qc.inspected(lines(spark, sf_dir)).select("doc_id", "language", "target", "n_segments", "n_pages")
+
+
+@query(r"WITH " + SEG + ", n AS (SELECT doc_id, seg_id, container, CASE pos % 3 WHEN 0 THEN 'slide ' || container || ': text in a picture' WHEN 1 THEN 'page ' || container || ': a chart' ELSE 'no place' END AS note, pos % 3 AS k FROM segs) SELECT doc_id, CASE WHEN k = 0 THEN 'picture_text' ELSE 'not_translatable' END AS code, CASE WHEN k = 0 THEN 'warning' ELSE 'info' END AS severity, note AS message, CASE WHEN k < 2 THEN container ELSE 0 END AS page FROM n")
+def completeness_notes(spark, sf_dir):
+    kind, page = F.col("pos") % 3, F.col("container").cast("string")
+    note = F.when(kind == 0, F.concat(F.lit("slide "), page, F.lit(": text in a picture"))).when(kind == 1, F.concat(F.lit("page "), page, F.lit(": a chart"))).otherwise("no place")
+    return checks.notes(lines(spark, sf_dir).select("doc_id", note.alias("note"))).select("doc_id", "code", "severity", "message", F.coalesce(F.get("pages", F.lit(0)), F.lit(0)).alias("page"))
+
+
+@query(r"WITH " + SEG + ", i AS (SELECT doc_id, seg_id, container, pos, CASE pos % 4 WHEN 0 THEN 'overflow' WHEN 1 THEN 'font_reduced' ELSE 'missing_glyphs' END AS code, pos % 4 = 3 AS shape FROM segs), sh AS (SELECT doc_id, container, list_sort(list(seg_id)) AS segs FROM segs GROUP BY ALL) SELECT i.doc_id, code, CASE code WHEN 'overflow' THEN 'warning' WHEN 'font_reduced' THEN 'info' ELSE 'error' END AS severity, CASE WHEN shape THEN array_to_string(sh.segs, ',') ELSE i.seg_id END AS segments, i.container AS page FROM i JOIN sh USING (doc_id, container) UNION ALL SELECT doc_id, 'formatting_simplified', 'info', string_agg(seg_id, ',' ORDER BY seg_id), min(container) FROM pairs WHERE pos % 6 = 4 AND target IS NOT NULL GROUP BY doc_id")
+def layout_findings(spark, sf_dir):
+    k, page = F.col("pos") % 4, F.col("container").cast("string")
+    shape = F.concat_ws("/", F.col("doc_id").cast("string"), F.lit("c"), page)
+    code = F.when(k == 0, "overflow").when(k == 1, "font_reduced").otherwise("missing_glyphs")
+    issues = lines(spark, sf_dir).select("doc_id", code.alias("code"), F.lit("error").alias("severity"), F.when(k == 3, shape).otherwise(F.col("seg_id")).alias("ref"), F.concat(F.lit("on slide "), page).alias("message"))
+    segments = test_pairs(spark, sf_dir).withColumns({"shape_key": shape, "formatting_simplified": F.col("pos") % 6 == 4})
+    found = checks.layout(issues, segments)
+    return found.select("doc_id", "code", "severity", F.array_join("segments", ",").alias("segments"), F.get("pages", F.lit(0)).alias("page"))
+
+
+@query(r"WITH " + SEG + ", t AS (SELECT doc_id, pos, line AS phrase, CASE WHEN pos % 3 = 0 THEN upper(replace(line, 'ß', 'ss')) ELSE '' END AS target, CASE WHEN pos % 3 < 2 THEN [lower(line), 'x'] ELSE [] END AS candidates FROM segs) SELECT doc_id, phrase AS source_term, CASE WHEN target <> '' THEN target ELSE candidates[1] END AS target_term, CASE WHEN target <> '' THEN pos || ' paragraphs; review before importing' ELSE 'UNRESOLVED (' || pos || ' paragraphs, translated inconsistently); candidates: ' || array_to_string(candidates, ' / ') || ' — correct the target before importing' END AS notes FROM t WHERE target <> '' OR len(candidates) > 0")
+def term_review(spark, sf_dir):
+    k = F.col("pos") % 3
+    none = F.array().cast("array<string>")
+    rows = lines(spark, sf_dir).select("doc_id", F.col("source").alias("phrase"), F.when(k == 0, F.upper(F.replace("source", F.lit("ß"), F.lit("ss")))).otherwise("").alias("target"), F.when(k < 2, F.array(F.lower("source"), F.lit("x"))).otherwise(none).alias("candidates"), F.col("pos").alias("occurrences"))
+    return terms.review_rows(rows).drop("category")
 
 
 # Evaluation
 
 
-@query(_FOUND + ", s AS (SELECT seg_id, mutation FROM pairs), w AS (SELECT mutation, s.seg_id, max(CASE WHEN (mutation = 'digits_changed' AND category = 'identifiers') OR (mutation = 'missing' AND severity = 'error') OR (mutation = 'line_added' AND category = 'completeness') THEN 1 END) AS d, max(CASE WHEN f.seg_id IS NOT NULL THEN 1 END) AS a FROM s LEFT JOIN f USING (seg_id) GROUP BY ALL) SELECT mutation, count(*) AS injected, count(d) AS detected, count(a) AS flagged FROM w GROUP BY ROLLUP (mutation)")
+INTENDED = [("copied", "not_translated"), ("upper", "not_translated"), ("missing", "not_translated"), ("line_added", "added_text"), ("last_word_dropped", "possible_omission"), ("next_line", "same_source_differs"), ("tokens_dropped", "glossary_term"), ("digits_changed", "same_source_differs")]
+
+
+@query(_FOUND + ", i(mutation, code) AS (VALUES " + ", ".join(str(x) for x in INTENDED) + "), w AS (SELECT p.mutation, p.seg_id, bool_or(coalesce(e.code = i.code, FALSE)) AS d, bool_or(e.code IS NOT NULL) AS a FROM pairs p JOIN i USING (mutation) LEFT JOIN e USING (seg_id) GROUP BY ALL) SELECT mutation, count(*) AS injected, count(*) FILTER (d) AS detected, count(*) FILTER (a) AS flagged FROM w GROUP BY ROLLUP (mutation)")
 def seeded_tally(spark, sf_dir):
-    intended = spark.createDataFrame([("digits_changed", "number_changed"), ("missing", "not_translated"), ("line_added", "added_text")], "mutation string, code string")
-    return evaluate.seeded_tally(test_pairs(spark, sf_dir).select("seg_id", "mutation"), findings.by_segment(simple_findings(spark, sf_dir)), intended)
+    intended = spark.createDataFrame(INTENDED, "mutation string, code string")
+    return evaluate.seeded_tally(test_pairs(spark, sf_dir).select("seg_id", "mutation"), findings.by_segment(told_findings(spark, sf_dir)), intended)
 
 
 @query(r"WITH " + SEG + " SELECT seg_id, mutation FROM (SELECT seg_id, mutation, row_number() OVER (PARTITION BY mutation ORDER BY md5(seg_id), seg_id) AS r FROM pairs) WHERE r <= 6")
@@ -759,9 +840,9 @@ def seeded_sample(spark, sf_dir):
     return evaluate.sampled(test_pairs(spark, sf_dir).select("seg_id", "mutation"))
 
 
-@query(_FOUND + " SELECT CASE WHEN category = 'identifiers' THEN 'number_changed' WHEN severity = 'error' THEN 'not_translated' ELSE 'added_text' END AS code, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM segs), 6) AS per_100 FROM f GROUP BY ALL")
+@query(_FOUND + " SELECT code, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM segs), 6) AS per_100 FROM f GROUP BY ALL")
 def findings_per_hundred(spark, sf_dir):
-    return evaluate.per_hundred(simple_findings(spark, sf_dir), lines(spark, sf_dir).count())
+    return evaluate.per_hundred(told_findings(spark, sf_dir), lines(spark, sf_dir).count())
 
 
 @query(r"SELECT count(*) FILTER (a AND p) AS tp, count(*) FILTER (NOT a AND p) AS fp, count(*) FILTER (a AND NOT p) AS fn, count(*) FILTER (NOT a AND NOT p) AS tn FROM (SELECT quality = 0 AS a, regexp_matches(text, '[#|$]') AS p FROM labels JOIN documents USING (doc_id))")
@@ -812,49 +893,13 @@ def translated_documents(spark, sf_dir):
     return done.select("seg_id", "status", "target", "score")
 
 
-@query(r"WITH " + SEG + " SELECT seg_id, count(*) AS n FROM segs GROUP BY ALL HAVING FALSE")
-def indel_ratio_of_equal_lines(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    return rows.where(similarity.ratio("source", "source") < 100).groupBy("seg_id").agg(F.count("*").alias("n"))
-
-
-# Whole forms: every row, also those that the queries of these names leave out for their DuckDB forms; no SQL
-
-
-@query()
-def memory_exact_whole(spark, sf_dir):
-    asked = lines(spark, sf_dir).select("seg_id", F.lit(SRC).alias("source_lang"), F.lit(TGT).alias("target_lang"), F.col("source").alias("source_text"))
-    return memory.exact(asked, memory_rows(spark, sf_dir, whole=True)).select("seg_id", "target_text", "origin")
-
-
-@query()
-def memory_upsert_whole(spark, sf_dir):
-    rows = memory_rows(spark, sf_dir, whole=True)
-    return memory.stored(rows.where("created_at % 2 = 0"), rows).select("source_text", "origin", "target_text", "created_at")
-
-
-@query()
-def memory_similar_whole(spark, sf_dir):
-    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("lookup_id"), F.lit(SRC).alias("source_lang"), F.lit(TGT).alias("target_lang"), F.col("text").alias("source_text"))
-    return memory.similar(asked, memory_rows(spark, sf_dir, whole=True))
-
-
 @query()
-def translated_documents_whole(spark, sf_dir):
-    pairs = qc.pairs_of(marked(spark, sf_dir).withColumn("target", F.lit(None).cast("string")), test_terms(spark), SRC, TGT)
-    engine = translate.dictionary_engine({"the ": "der ", "and ": "und ", "of ": "von "})
-    done = translate.translated(pairs, engine, SRC, TGT, memory_rows(spark, sf_dir, whole=True))
-    return done.select("seg_id", "status", "target", "score")
-
-
-@query()
-def sentence_count_whole(spark, sf_dir):
-    return lines(spark, sf_dir).select("seg_id", text.sentences(F.col("source")).cast("int").alias("sentences"))
+def pair_similarity(spark, sf_dir):
+    rows = test_pairs(spark, sf_dir).where("target is not null")
+    return rows.select("seg_id", "mutation", F.round(similarity.ratio("plain", "target"), 6).alias("ratio"))
 
 
-@query()
-def tidy_latin_whole(spark, sf_dir):
-    return lines(spark, sf_dir).select("seg_id", text.tidy(F.col("source"), F.lower("source"), "en").alias("tidy"))
+# Whole forms: every row, also those that the queries of these names leave out for their DuckDB forms; no SQL
 
 
 @query()
@@ -877,13 +922,3 @@ def retag_whole(spark, sf_dir):
     return rows.select("seg_id", tags.retag(F.lit("x <g2>BMS</g2>"), output, F.create_map(F.lit("BMS"), F.lit("BMS"))).alias("retagged"))
 
 
-@query()
-def fullwidth_normalised_whole(spark, sf_dir):
-    wide = F.translate("source", text.HALFWIDTH, text.FULLWIDTH)
-    return marked(spark, sf_dir).select("seg_id", text.fullwidth_to_ascii(wide).alias("clean"))
-
-
-@query()
-def drawing_left_whole(spark, sf_dir):
-    rows = test_pairs(spark, sf_dir).select("doc_id", "seg_id", F.col("plain").alias("source"), "target")
-    return stored.still_drawn(rows, rows.select("doc_id", F.col("source").alias("text"))).select("seg_id")
