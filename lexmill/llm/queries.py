@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, packing, pii, quality_rules, rule_ensemble, simhash, warc
+from . import chat, codes, exact_dedup, fim, langid, licenses, mixing, packing, pii, quality_rules, rule_ensemble, simhash, warc
 from .common import read_table
 
 
@@ -51,4 +51,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_quality_rules, op4_packing, op5_quality_classifier, op6_language_id, op7_chat_format, op8_simhash, op9_pii, op10_mixing)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compressed(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", licenses.scan(F.col("text")).alias("found")).select("doc_id", "found.*")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transformed(read_table(spark, sf_dir, "documents"))
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+_ALL = (
+    op1_warc, op2_exact_dedup, op3_quality_rules, op4_packing, op5_quality_classifier, op6_language_id, op7_chat_format, op8_simhash,
+    op9_pii, op10_mixing, op11_vector_codes, op12_license_scan, op13_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in _ALL}
