@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache, reduce
+from uuid import uuid4
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +20,22 @@ from .ranks import numbered
 HINT = "array<struct<source:string,target:string,keep:boolean>>"
 PRIORITY = {"high": 0, "normal": 1, "low": 2}
 KEY = ["glossary_id", "source_term", "source_lang", "target_lang", "context"]
-TERMS_A_PASS = 2_000  # terms sent to every task at most; more are first narrowed by a join on their words
+SHARD_BYTES = 4 << 20  # of terms in one automaton at most; it takes some 50 bytes for each
+#: One letter for each, as in patterns that ignore case: A to Z, and the four others that stand for an ASCII letter there.
+FOLDED = {**{c: c + 32 for c in range(ord("A"), ord("Z") + 1)}, 0x130: ord("i"), 0x131: ord("i"), 0x17F: ord("s"), 0x212A: ord("k")}
 
 
+def named(term: str) -> bool:
+    """Whether an ASCII term looks like a name, which is matched in its own case only."""
+    return term.isupper() or any(c.isdigit() for c in term)
+
+
+@lru_cache(10_000)
 def term_pattern(term: str) -> re.Pattern:
     """ASCII terms stand between non-alphanumerics, in the plural too, and in any case unless they look like a name."""
     if not term.isascii():
         return re.compile(re.escape(term))
-    exact = term.isupper() or any(c.isdigit() for c in term)
-    return re.compile(rf"(?<![A-Za-z0-9]){re.escape(term)}(?:s|es)?(?![A-Za-z0-9])", 0 if exact else re.I)
+    return re.compile(rf"(?<![A-Za-z0-9]){re.escape(term)}(?:s|es)?(?![A-Za-z0-9])", 0 if named(term) else re.I)
 
 
 def directed(terms: DataFrame, src: str, tgt: str) -> DataFrame:
@@ -35,7 +46,7 @@ def directed(terms: DataFrame, src: str, tgt: str) -> DataFrame:
     find = F.when(keep | forward, F.col("source_term")).when(backward, F.col("target_term"))
     instead = F.when(keep, F.col("source_term")).when(forward, F.col("target_term")).otherwise(F.col("source_term"))
     words = F.filter(F.transform(F.split("context", ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    held = terms.where(keep | forward | backward).select(find.alias("find"), instead.alias("instead"), keep.alias("keep"), words.alias("keywords"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("priority")), F.lit(1)).alias("priority"), *([F.col("term_seq")] if "term_seq" in terms.columns else [F.lit(0).alias("term_seq")]))
+    held = terms.where(keep | forward | backward).select(find.alias("find"), instead.alias("instead"), keep.alias("keep"), words.alias("keywords"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("priority")), F.lit(1)).alias("priority"), (F.col("term_seq") if "term_seq" in terms.columns else F.lit(0)).cast("long").alias("term_seq"))
     return held.where("find <> ''")
 
 
@@ -43,54 +54,130 @@ def _order(t: dict) -> tuple:
     return -len(t["find"]), len(t["keywords"]) == 0, t["priority"], t["term_seq"], t["find"], t["instead"]
 
 
-def hits(text: str, around: str, terms: list[dict], patterns: dict[str, re.Pattern]) -> list[dict]:
-    """The terms of text, longest first, without overlaps; terms with keywords need one of them around."""
-    taken, found = [], {}
-    for t in terms:
+def _in_word(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+class Matcher:
+    """The terms of a glossary in one Aho-Corasick automaton, which finds all of them in one pass over a text.
+
+    It reads texts in any case of ASCII letters; what a term's pattern says besides (its exact case, the characters
+    around it, its plural) is asked at the places found.
+    """
+
+    def __init__(self, terms: list[dict]):
+        self.terms: dict[str, list[dict]] = {}
+        for t in terms:
+            self.terms.setdefault(t["find"], []).append(t)
+        alike: dict[str, list[tuple[str, bool, bool]]] = {}
+        for find in self.terms:
+            alike.setdefault(find.translate(FOLDED), []).append((find, find.isascii(), not find.isascii() or named(find)))
+        self.automaton = ahocorasick.Automaton()
+        for folded, finds in alike.items():
+            self.automaton.add_word(folded, (len(folded), finds))
+        if alike:
+            self.automaton.make_automaton()
+
+    def spans(self, text: str) -> dict[str, list[tuple[int, int]]]:
+        """Where each term stands, from left to right and without overlaps of its own."""
+        found: dict[str, list[tuple[int, int]]] = {}
+        folded = text.translate(FOLDED)
+        for last, (size, finds) in self.automaton.iter(folded) if self.terms else ():
+            start, end = last + 1 - size, last + 1
+            for find, bounded, exact in finds:
+                to = end
+                if exact and text[start:end] != find:
+                    continue
+                if bounded:
+                    seen = text if exact else folded
+                    if start and _in_word(seen[start - 1]):
+                        continue
+                    ends = (end + len(s) for s in ("s", "es", "") if seen.startswith(s, end))
+                    to = next((e for e in ends if e == len(seen) or not _in_word(seen[e])), -1)
+                # Hits of a term come in the order of their ends, which is that of their starts.
+                before = found.get(find)
+                if to >= 0 and (not before or start >= before[-1][1]):
+                    found.setdefault(find, []).append((start, to))
+        return found
+
+    def candidates(self, text: str) -> list[dict]:
+        return [{**t, "spans": [{"a": a, "b": b} for a, b in at]} for find, at in self.spans(text).items() for t in self.terms[find]]
+
+
+def chosen(candidates: list[dict], size: int, around: str) -> list[dict]:
+    """Of the terms found in a text of so many characters, longest first, those that overlap none before; terms with
+    keywords need one of them around."""
+    taken, hints = bytearray(size), {}
+    for t in sorted(candidates, key=_order):
         if len(t["keywords"]) and not any(k in around for k in t["keywords"]):
             continue
-        if t["find"] not in patterns:
-            patterns[t["find"]] = term_pattern(t["find"])
-        for m in patterns[t["find"]].finditer(text):
-            if not any(m.start() < b and a < m.end() for a, b in taken):
-                taken.append(m.span())
-                found[t["find"], t["instead"], t["keep"]] = None
-    return [{"source": a, "target": b, "keep": c} for a, b, c in found]
+        for span in t["spans"]:
+            a, b = span["a"], span["b"]
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\x01" * (b - a)
+                hints[t["find"], t["instead"], t["keep"]] = None
+    return [{"source": a, "target": b, "keep": c} for a, b, c in hints]
+
+
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, sent: Broadcast) -> Matcher:
+    """The automaton of a broadcast glossary, built once in each Python worker, which holds one at a time."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(sent.value)
+    return _built[name]
 
 
-def with_hints(rows: DataFrame, terms: DataFrame, src: str, tgt: str, text: str = "plain", around: str | None = None) -> DataFrame:
-    """rows with hints, the terms of their text. A glossary of up to TERMS_A_PASS terms goes to all tasks."""
+def with_hints(rows: DataFrame, terms: DataFrame, src: str, tgt: str, text: str = "plain", around: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """rows with hints, the terms of their text.
+
+    Glossaries of up to shard_bytes go to all tasks as one automaton. Larger ones are dealt by hash into shards of that
+    size: each shard's automaton passes over the texts once and leaves the places of its terms, and a row's places of all
+    shards are put together by row, so no task ever holds more than one shard.
+    """
     held = directed(terms, src, tgt)
-    known = held.limit(TERMS_A_PASS + 1).collect()
     both = F.lower(F.concat_ws("\n", text, *([around] if around else [])))
-    if len(known) <= TERMS_A_PASS:
-        sent = sorted((r.asDict() for r in known), key=_order)
+    shards = -(-(held.agg(F.sum(F.octet_length("find"))).first()[0] or 1) // shard_bytes)
+    send = lambda df: (uuid4().hex, rows.sparkSession.sparkContext.broadcast([r.asDict() for r in df.collect()]))
+    hint = pa.list_(pa.struct([("source", pa.string()), ("target", pa.string()), ("keep", pa.bool_())]))
+    if shards == 1:
+        name, sent = send(held)
 
-        @F.pandas_udf(HINT)
-        def match(texts: pd.Series, arounds: pd.Series) -> pd.Series:
-            patterns: dict[str, re.Pattern] = {}
-            return pd.Series([hits(t or "", a or "", sent, patterns) for t, a in zip(texts, arounds)])
+        @F.arrow_udf(HINT)
+        def match(texts: pa.Array, arounds: pa.Array) -> pa.Array:
+            m = _matcher(name, sent)
+            return pa.array([chosen(m.candidates(t), len(t), a or "") if t else [] for t, a in zip(texts.to_pylist(), arounds.to_pylist())], hint)
 
         return rows.withColumn("hints", match(F.col(text), both))
-    return _with_hints_by_word(rows, held, text, both)
 
+    keyed = materialize(rows.withColumns({"__row": F.monotonically_increasing_id(), "__both": both}), "hints-rows")
+    held = materialize(held.withColumn("__shard", F.pmod(F.xxhash64("find"), F.lit(shards))), "hints-terms")
+    found = [_found(keyed.select("__row", F.col(text).alias("t")), *send(held.where(F.col("__shard") == i).drop("__shard"))) for i in range(shards)]
+    # A text has a place for each of its characters and term lengths at most, however many shards there are.
+    each = materialize(reduce(DataFrame.unionByName, found), "hints-found").groupBy("__row").agg(F.flatten(F.collect_list("found")).alias("__found"))
+
+    @F.arrow_udf(HINT)
+    def choose(texts: pa.Array, arounds: pa.Array, candidates: pa.Array) -> pa.Array:
+        each = zip(texts.to_pylist(), arounds.to_pylist(), candidates.to_pylist())
+        return pa.array([chosen(c, len(t), a or "") if c else [] for t, a, c in each], hint)
 
-def _with_hints_by_word(rows: DataFrame, held: DataFrame, text: str, both: Column) -> DataFrame:
-    """A large glossary: terms meet the rows by their first letters and digits (three characters of a term of other
-    scripts), each row gets its own few candidates, and those are matched as in a small one."""
-    opening = lambda c: F.lower(F.coalesce(F.nullif(F.regexp_extract(c, r"^[^A-Za-z0-9]*([A-Za-z0-9]{1,3})", 1), F.lit("")), F.substring(c, 1, 1)))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.lower(F.substr(text, i, F.lit(3))))
-    keyed = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "hints-rows")
-    probes = keyed.select("__row", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(s, F.substring(s, 1, 2), F.substring(s, 1, 1)))))).alias("__key"), F.lower(text).alias("__text"))
-    near = probes.join(held.withColumn("__key", opening("find")), "__key").where(F.contains("__text", F.lower("find")))
-    few = near.groupBy("__row").agg(F.collect_set(F.struct("find", "instead", "keep", "keywords", "priority", "term_seq")).alias("__terms"))
+    return keyed.join(each, "__row", "left").withColumn("hints", choose(F.col(text), F.col("__both"), F.col("__found"))).drop("__row", "__both", "__found")
 
-    @F.pandas_udf(HINT)
-    def match(texts: pd.Series, arounds: pd.Series, terms: pd.Series) -> pd.Series:
-        patterns: dict[str, re.Pattern] = {}
-        return pd.Series([hits(t or "", a or "", sorted(x, key=_order) if x is not None else [], patterns) for t, a, x in zip(texts, arounds, terms)])
 
-    return keyed.withColumn("__both", both).join(few, "__row", "left").withColumn("hints", match(F.col(text), F.col("__both"), F.col("__terms"))).drop("__row", "__both", "__terms")
+def _found(texts: DataFrame, name: str, sent: Broadcast) -> DataFrame:
+    """(__row, found): the places of one shard's terms."""
+    kind = pa.list_(pa.struct([("find", pa.string()), ("instead", pa.string()), ("keep", pa.bool_()), ("keywords", pa.list_(pa.string())), ("priority", pa.int32()), ("term_seq", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
+
+    def run(batches):
+        m = _matcher(name, sent)
+        for b in batches:
+            held = [(row, c) for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (c := m.candidates(t or ""))]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in held], pa.int64()), pa.array([c for _, c in held], kind)], ["__row", "found"])
+
+    return texts.mapInArrow(run, "__row long, found array<struct<find:string,instead:string,keep:boolean,keywords:array<string>,priority:int,term_seq:long,spans:array<struct<a:int,b:int>>>>")
 
 
 def kept_terms(hints: str = "hints") -> Column:
@@ -100,18 +187,33 @@ def kept_terms(hints: str = "hints") -> Column:
 def injected(text: str = "plain", hints: str = "hints") -> Column:
     """text with its terms replaced by their approved translations, longest first."""
 
-    @F.pandas_udf("string")
-    def replaced(texts: pd.Series, found: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def replaced(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for t, hs in zip(texts, found):
-            for h in sorted((h for h in hs if not h["keep"]), key=lambda h: -len(h["source"])):
-                t = term_pattern(h["source"]).sub(lambda _, to=h["target"]: to, t)
+        for t, hs in zip(texts.to_pylist(), found.to_pylist()):
+            for h in sorted((h for h in hs or () if not h["keep"]), key=lambda h: -len(h["source"])):
+                t = t and term_pattern(h["source"]).sub(lambda _, to=h["target"]: to, t)
             out.append(t)
-        return pd.Series(out, dtype="object")
+        return pa.array(out, pa.string())
 
     return replaced(F.col(text), F.col(hints))
 
 
+def cut_out(text: Column, sources: Column, bar: str = " | ") -> Column:
+    """text with bar for every place of these terms, one term after the other."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, terms: pa.Array) -> pa.Array:
+        out = []
+        for t, finds in zip(texts.to_pylist(), terms.to_pylist()):
+            for find in finds or ():
+                t = t and term_pattern(find).sub(bar, t)
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return cut(text, sources)
+
+
 def adherence(pairs: DataFrame, tgt: str) -> DataFrame:
     """Per term: how many pairs use its approved translation, how many don't, where."""
     each = pairs.where("target is not null").withColumn("hint", F.explode("hints")).where("not hint.keep")

@@ -10,6 +10,7 @@ from ..functions.expressions import let
 from ..functions.text import clean_candidate, term_key, uses
 from ..functions.tokens import escaped, protected_tokens
 from ..sources.scratch import materialize
+from .glossary import cut_out
 
 # Fixed values.
 STOP = """a an the and or of to in on for with by from at as is are be was were this that these those it its
@@ -60,14 +61,17 @@ def japanese_phrases(text: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda p: F.length(p).between(3, 15) & ~(p.rlike(KATAKANA) & (F.length(p) < 5))))
 
 
-def masked(text: Column, found: Column | None = None) -> Column:
-    """Known terms and identifiers cut out, so that they aren't mined again."""
+def masked(text: Column, hints: Column | None = None) -> Column:
+    """Known terms (hints of the text, as of glossary.with_hints) and identifiers cut out, so that they aren't mined again."""
     bar = F.lit(" | ")
-    out = text
-    if found is not None:
-        spelled = lambda t: F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.regexp_replace(t, r"([\\^$.|?*+()\[\]{}\-])", r"\\$1"), F.lit("(?:s|es)?(?![A-Za-z0-9])"))
-        out = F.aggregate(found, out, lambda at, t: F.regexp_replace(at, spelled(t), bar))
-    return F.aggregate(protected_tokens(text), out, lambda at, t: F.replace(at, t, bar))
+    out = text if hints is None else cut_out(text, F.transform(hints, lambda h: h["source"]))
+    return let(out, lambda t: F.aggregate(protected_tokens(t), t, lambda at, token: F.replace(at, token, bar)))
+
+
+def mined(segments: DataFrame, src: str, text: str = "plain") -> DataFrame:
+    """occurrences() in segments (doc_id, seg_id, hints, text): recurring phrases that no glossary has."""
+    rows = segments.select("doc_id", "seg_id", masked(F.col(text), F.col("hints")).alias("masked"))
+    return occurrences(rows, japanese_phrases(F.col("masked"))) if src in ("ja", "zh") else mined_english(rows, "masked")
 
 
 def occurrences(segments: DataFrame, phrases: Column) -> DataFrame:

@@ -236,6 +236,63 @@ def glossary_match(spark, sf_dir):
     return found.select("seg_id", F.explode("hints").alias("h")).select("seg_id", "h.source", "h.target")
 
 
+#: The names of parts and their words, with contexts and both directions; every line ends in two names.
+_PARTS = r"""WITH RECURSIVE """ + SEG + r""", name AS (SELECT p_name AS n, min(p_partkey) AS k FROM part GROUP BY p_name),
+tm AS (SELECT n AS find, upper(n) AS instead, CASE WHEN k % 3 = 0 THEN 'bms' ELSE '' END AS kw, CASE WHEN k % 2 = 0 THEN 0 ELSE 2 END AS pr, k AS seq FROM name
+    UNION ALL SELECT w AS find, 'w-' || w, '', 1, 1000000 FROM (SELECT DISTINCT unnest(string_split(n, ' ')) AS w FROM name)
+    UNION ALL SELECT n AS find, 'any ' || n, '', 1, 2000000 FROM name),
+ranked AS (SELECT *, row_number() OVER (ORDER BY -length(find), kw = '', pr, seq, find, instead) AS r FROM tm),
+texts AS (SELECT seg_id, plain || '; ' || a.p_name || ' ' || b.p_name || 's' AS t FROM plains
+    JOIN part a ON a.p_partkey = (doc_id * 7 + pos) % (SELECT count(*) FROM part) JOIN part b ON b.p_partkey = (doc_id * 11 + pos * 3) % (SELECT count(*) FROM part)),
+step AS (SELECT seg_id, t, lower(t) AS around, 0::BIGINT AS r, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target FROM texts
+    UNION ALL SELECT seg_id, CASE WHEN hit THEN n ELSE t END, around, r, CASE WHEN hit THEN find END, CASE WHEN hit THEN instead END
+    FROM (SELECT s.seg_id, s.t, s.around, k.r, k.find, k.instead, (k.kw = '' OR contains(s.around, k.kw)) AND n <> s.t AS hit, n FROM step s JOIN ranked k ON k.r = s.r + 1,
+          LATERAL (SELECT CASE WHEN contains(lower(s.t), k.find) THEN regexp_replace(s.t, '(?i)\b' || k.find || '(s|es)?\b', '~', 'g') ELSE s.t END AS n))),
+found AS (SELECT DISTINCT seg_id, source, target FROM step WHERE source IS NOT NULL) """
+
+
+def part_terms(spark, sf_dir):
+    """A glossary of the parts' names, of which some hold only in a context, and of their words, stored the other way round."""
+    names = read_table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("n")).agg(F.min("p_partkey").alias("k"))
+    row = lambda df, a, b, src, tgt, priority, context, seq: df.select(a.alias("source_term"), b.alias("target_term"), F.lit(src).alias("source_lang"), F.lit(tgt).alias("target_lang"), F.lit(False).alias("do_not_translate"), priority.alias("priority"), context.alias("context"), seq.cast("long").alias("term_seq"))
+    n, k, usual, none = F.col("n"), F.col("k"), F.lit("normal"), F.lit("")
+    words = names.select(F.explode(F.split("n", " ")).alias("n")).distinct()
+    held = row(names, n, F.upper(n), SRC, TGT, F.when(k % 2 == 0, "high").otherwise("low"), F.when(k % 3 == 0, "zzz, BMS").otherwise(""), k)
+    held = held.unionByName(row(words, F.concat(F.lit("w-"), n), n, TGT, SRC, usual, none, F.lit(1_000_000)))
+    return held.unionByName(row(names, n, F.concat(F.lit("any "), n), SRC, TGT, usual, none, F.lit(2_000_000)))
+
+
+@query(_PARTS + "SELECT seg_id, source, target FROM found")
+def glossary_parts(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part")
+    total = part.count()
+    name = lambda k, c: part.select(F.col("p_partkey").alias(k), F.col("p_name").alias(c))
+    rows = marked(spark, sf_dir).withColumns({"ka": (F.col("doc_id") * 7 + F.col("pos")) % total, "kb": (F.col("doc_id") * 11 + F.col("pos") * 3) % total})
+    rows = rows.join(name("ka", "a"), "ka").join(name("kb", "b"), "kb")
+    rows = rows.select("seg_id", F.concat(tags.strip_tags(F.col("source")), F.lit("; "), "a", F.lit(" "), "b", F.lit("s")).alias("plain"))
+    return glossary.with_hints(rows, part_terms(spark, sf_dir), SRC, TGT).select("seg_id", F.explode("hints").alias("h")).select("seg_id", "h.source", "h.target")
+
+
+def phrase_terms(spark, sf_dir):
+    """A large glossary: all words, pairs and threes of words of the benchmark's items, some kept, in contexts, or stored
+    the other way round."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    rows = read_table(spark, sf_dir, "benchmark").select(words.alias("ws"))
+    several = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.size("ws")), lambda i: F.array_join(F.slice("ws", i, n), " "))))
+    rows = rows.select(F.explode(several).alias("p")).distinct().withColumn("k", F.pmod(F.xxhash64("p"), F.lit(1000)))
+    swap = F.col("k") % 5 == 0
+    return rows.select(
+        F.when(swap, F.concat(F.lit("to "), "p")).otherwise(F.col("p")).alias("source_term"), F.when(swap, F.col("p")).otherwise(F.concat(F.lit("to "), "p")).alias("target_term"), F.when(swap, TGT).otherwise(SRC).alias("source_lang"), F.when(swap, SRC).otherwise(TGT).alias("target_lang"),
+        (F.col("k") == 1).alias("do_not_translate"), F.lit("normal").alias("priority"), F.when(F.col("k") % 7 == 0, "bms, ahu").otherwise("").alias("context"), F.col("k").cast("int").alias("term_seq"),
+    )
+
+
+@query()
+def glossary_phrases(spark, sf_dir):
+    rows = marked(spark, sf_dir).select("seg_id", tags.strip_tags(F.col("source")).alias("plain"))
+    return glossary.with_hints(rows, phrase_terms(spark, sf_dir), SRC, TGT).select("seg_id", F.explode("hints").alias("h")).select("seg_id", "h.source", "h.target")
+
+
 _HINTED = r"WITH " + SEG + r", t(source, target, pat) AS (VALUES ('thing', 'Ding', '(?i)(^|[^A-Za-z0-9])thing(s|es)?([^A-Za-z0-9]|$)'), ('ering', 'Erung', '(?i)(^|[^A-Za-z0-9])ering(s|es)?([^A-Za-z0-9]|$)'), ('hean', 'Hean', '(?i)(^|[^A-Za-z0-9])hean(s|es)?([^A-Za-z0-9]|$)')), h AS (SELECT p.doc_id, p.seg_id, p.container, t.source AS term, t.target AS approved, contains(lower(p.target), lower(t.target)) AS used FROM pairs p, t WHERE p.target IS NOT NULL AND regexp_matches(plain, pat)) "
 
 

@@ -22,22 +22,21 @@ def pairs(spark, rows, terms_=None, src="en", tgt="ja"):
     return qc.pairs_of(df, terms_, src, tgt)
 
 
-def hints(spark, text, terms_, src, tgt, around=""):
+def hints(spark, text, terms_, src, tgt, around="", **more):
     df = spark.createDataFrame([(text, around)], "plain string, around string")
-    return [(h.source, h.target) for h in glossary.with_hints(df, terms_, src, tgt, "plain", "around").first().hints]
+    return [(h.source, h.target) for h in glossary.with_hints(df, terms_, src, tgt, "plain", "around", **more).first().hints]
 
 
-def test_glossary_matching(spark, monkeypatch):
+def test_glossary_matching(spark):
     g = glossary_of(spark, ("Building Management System", "ビル管理システム", False, "normal", ""), ("BACnet", "", True, "normal", ""))
     ctx = glossary_of(spark, ("alarm", "警報", False, "normal", ""), ("alarm", "アラーム", False, "normal", "screen, display"))
     prio = glossary_of(spark, ("chiller", "チラー", False, "low", ""), ("chiller", "冷凍機", False, "high", ""))
-    for most in (glossary.TERMS_A_PASS, 0):
-        monkeypatch.setattr(glossary, "TERMS_A_PASS", most)
-        assert hints(spark, "ビル管理システムはBACnetを使用", g, "ja", "en") == [("ビル管理システム", "Building Management System"), ("BACnet", "BACnet")]
-        assert len(hints(spark, "The building management systems use BACnet.", g, "en", "ja")) == 2
-        assert hints(spark, "Alarm list", ctx, "en", "ja") == [("alarm", "警報")]
-        assert hints(spark, "Alarm list", ctx, "en", "ja", "Operator screen layout") == [("alarm", "アラーム")]
-        assert hints(spark, "the chillers", prio, "en", "ja") == [("chiller", "冷凍機")]
+    for more in ({}, {"shard_bytes": 8}):
+        assert hints(spark, "ビル管理システムはBACnetを使用", g, "ja", "en", **more) == [("ビル管理システム", "Building Management System"), ("BACnet", "BACnet")]
+        assert len(hints(spark, "The building management systems use BACnet.", g, "en", "ja", **more)) == 2
+        assert hints(spark, "Alarm list", ctx, "en", "ja", **more) == [("alarm", "警報")]
+        assert hints(spark, "Alarm list", ctx, "en", "ja", "Operator screen layout", **more) == [("alarm", "アラーム")]
+        assert hints(spark, "the chillers", prio, "en", "ja", **more) == [("chiller", "冷凍機")]
 
 
 def test_glossary_injection_and_csv(spark, tmp_path):

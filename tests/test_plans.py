@@ -79,7 +79,7 @@ def test_terms_of_a_document(spark):
     rows = spark.createDataFrame([(1, "a", "A", ["A"], 3), (1, "b", "", ["B", "C"], 2), (1, "c", None, [], 2)], "doc_id long, phrase string, target string, candidates array<string>, occurrences int")
     told = {r.source_term: (r.target_term, r.notes) for r in terms.review_rows(rows).collect()}
     assert told == {"a": ("A", "3 paragraphs; review before importing"), "b": ("B", "UNRESOLVED (2 paragraphs, translated inconsistently); candidates: B / C — correct the target before importing")}
-    cut = spark.createDataFrame([("the pump of QX-9004",)], "t string").select(terms.masked(F.col("t"), F.array(F.lit("pump"))).alias("m")).first().m
+    cut = spark.createDataFrame([("the pump of QX-9004",)], "t string").select(terms.masked(F.col("t"), F.array(F.struct(F.lit("pump").alias("source")))).alias("m")).first().m
     assert cut == "the  |  of  | "
 
 
