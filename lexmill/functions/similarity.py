@@ -28,6 +28,13 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+PAIRS = 1 << 11  # cells that pairs of neighbouring characters are counted in
+
+
+def _pair_cells(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left.astype(np.uint64) * np.uint64(0x9E3779B1) + right) * np.uint64(0x85EBCA77) >> np.uint64(13)).astype(np.int64) % PAIRS
+
+
 class Block:
     """Texts side by side, a column of characters after the other, for comparing another text with all of them at once."""
 
@@ -36,19 +43,56 @@ class Block:
         most = int(self.sizes.max(initial=1)) or 1
         characters = np.frombuffer("".join(t.ljust(most, "\U0010ffff") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.alphabet, codes = np.unique(characters, return_inverse=True)
-        self.columns = np.ascontiguousarray(codes.reshape(len(texts), most).T)
-
-    def common_lengths(self, a: str) -> np.ndarray:
-        """common_length() of a and each text: the same bit vectors, 64 bits of a at a time, for all texts together."""
+        codes = codes.reshape(len(texts), most)
+        self.columns = np.ascontiguousarray(codes.T)
+        inside = np.arange(most) < self.sizes[:, None]
+        owner = np.broadcast_to(np.arange(len(texts))[:, None], inside.shape)
+        self.letters = self._counted(codes[inside], owner[inside], len(self.alphabet))
+        characters, both = characters.reshape(len(texts), most), inside[:, 1:]
+        self.pairs = self._counted(_pair_cells(characters[:, :-1][both], characters[:, 1:][both]), owner[:, 1:][both], PAIRS)
+
+    def _counted(self, cells: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """How often each text has each cell, a row a cell."""
+        out = np.zeros((n, len(self.sizes)), np.uint16 if self.columns.shape[0] < 1 << 16 else np.uint32)
+        np.add.at(out, (cells, owner), 1)
+        return out
+
+    def _places(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some characters the texts have, and their codes."""
+        place = np.minimum(np.searchsorted(self.alphabet, own), len(self.alphabet) - 1)
+        known = np.flatnonzero((self.alphabet[place] == own) & (own != 0x10FFFF))
+        return known, place[known]
+
+    def possible(self, a: str, least: np.ndarray) -> np.ndarray:
+        """The texts whose common length with a may be least or more.
+
+        A common subsequence has no more of any letter than either text. And of the neighbours in one text those that
+        stay neighbours in it, and are so in the other, are all but two for each character of its own that is left out
+        and one for each of the other's (what comes in between). Pairs are counted in cells, which only makes more
+        of them equal.
+        """
+        own = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cells, n = np.unique(self._places(own)[1], return_counts=True)
+        near = np.flatnonzero(np.minimum(self.letters[cells], n[:, None].astype(np.uint32)).sum(0, dtype=np.int64) >= least)
+        if not len(near) or len(own) < 2:
+            return near
+        cells, n = np.unique(_pair_cells(own[:-1], own[1:]), return_counts=True)
+        shared = np.minimum(self.pairs[cells][:, near], n[:, None].astype(np.uint32)).sum(0, dtype=np.int64)
+        out_a, out_b = len(own) - least[near], self.sizes[near] - least[near]
+        return near[shared >= np.maximum(len(own) - 1 - 2 * out_a - out_b, self.sizes[near] - 1 - 2 * out_b - out_a)]
+
+    def common_lengths(self, a: str, some: np.ndarray | None = None) -> np.ndarray:
+        """common_length() of a and each text (of some): the same bit vectors, 64 bits of a at a time, for all together."""
+        sizes = self.sizes if some is None else self.sizes[some]
+        columns = self.columns if some is None else self.columns[: int(sizes.max(initial=0)), some]
         own = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
         words = max(1, -(-len(own) // 64))
         table = np.zeros((words, len(self.alphabet)), np.uint64)
-        place = np.searchsorted(self.alphabet, own)
-        known = np.flatnonzero((place < len(self.alphabet)) & (self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == own) & (own != 0x10FFFF))
-        np.bitwise_or.at(table, (known // 64, place[known]), np.uint64(1) << (known % 64).astype(np.uint64))
-        left = np.full((words, len(self.sizes)), np.uint64(2**64 - 1))
-        for column in self.columns:
-            carry = np.zeros(len(self.sizes), np.uint64)
+        known, place = self._places(own)
+        np.bitwise_or.at(table, (known // 64, place), np.uint64(1) << (known % 64).astype(np.uint64))
+        left = np.full((words, len(sizes)), np.uint64(2**64 - 1))
+        for column in columns:
+            carry = np.zeros(len(sizes), np.uint64)
             for w in range(words):
                 hit, row = table[w][column], left[w]
                 some = row & hit
