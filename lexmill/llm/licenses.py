@@ -3,10 +3,11 @@
 A text's normal form is its words, A-Z lower-cased, joined by single blanks. Base phrases are looked up in it as they are.
 A notice of L characters may have k = L // 10 edits. It is cut into k + 1 pieces: an occurrence within k edits holds
 at least one piece unchanged (pigeonhole), so an Aho-Corasick automaton over all pieces finds every place where one may
-be. Around each, a window that holds any occurrence using that piece goes to the regex library's bounded-error search,
-which verifies it and reports its edits and span. Then a notice's telling words must stand in the span: those of five
-letters or more within a third of their letters, shorter ones as they are, so that neither version 1 passes for version 2
-nor one name for another. Of overlapping spans of one label that of the fewest edits, then the first, stays.
+be. Around each lies a window that holds any occurrence using that piece. It must have a notice's telling words, those of
+five letters or more within a third of their letters, shorter ones as they are, so that neither version 1 passes for
+version 2 nor one name for another; and all but 2 k of the notice's pairs of neighbours, as an edit takes two at most.
+What is left goes to the regex library's bounded-error search, which verifies it and reports its edits and span; that
+span must have the telling words too. Of overlapping spans of one label that of the fewest edits, then the first, stays.
 
 Everything happens in one pass over each text, without a shuffle. Defined results: null counts as the empty text, which
 has no words, no labels and score 0; ties in score are one number; repeated rows come out alike, one for each; an empty
@@ -17,6 +18,7 @@ a text of n bytes takes some 4 n bytes more while it is, and each place of a pie
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -113,6 +115,7 @@ class Scanner:
         if found:
             self.seeds.make_automaton()
         self.fuzzy = [regex.compile(f"(?:{regex.escape(n.words)}){{e<={n.edits}}}", regex.BESTMATCH) for n in notices]
+        self.pairs = [Counter(zip(n.words, n.words[1:])) for n in notices]
         self.telling = [[regex.compile(rf"(?<!\S)(?:{w}){{e<={len(w) // 3 if len(w) >= 5 else 0}}}(?!\S)") for w in n.telling] for n in notices]
 
     def places(self, form: str) -> list[tuple[int, int]]:
@@ -135,20 +138,28 @@ class Scanner:
                 out.add((i, max(start - notice.edits, 0), min(start + len(notice.words) + notice.edits, len(form))))
         return sorted(out)
 
+    def tells(self, i: int, form: str, start: int, end: int) -> bool:
+        """Whether a notice's telling words stand among the words of a part; it may begin or end inside one."""
+        whole = form[form.rfind(" ", 0, start + 1) + 1 : e if (e := form.find(" ", end)) >= 0 else len(form)]
+        return all(t.search(whole) for t in self.telling[i])
+
+    def may_hold(self, i: int, window: str) -> bool:
+        """Whether a window has enough of a notice's neighbouring characters: an edit takes two pairs at most."""
+        shared = sum((self.pairs[i] & Counter(zip(window, window[1:]))).values())
+        return shared >= len(self.notices[i].words) - 1 - 2 * self.notices[i].edits
+
     def matches(self, form: str, told: bool = True) -> list[Match]:
         """The notices in a normal form; told: only where their telling words stand."""
         out: list[Match] = []
         best: dict[str, list[Match]] = {}
         for i, start, end in self.windows(form):
+            if told and not self.tells(i, form, start, end) or not self.may_hold(i, form[start:end]):
+                continue
             notice, hit = self.notices[i], self.fuzzy[i].search(form, start, end)
-            if not hit:
+            if not hit or told and not self.tells(i, form, *hit.span()):
                 continue
             a, b = hit.span()
             span = form[a:b]
-            # A span may end inside a word; telling words are looked for in its words as a whole.
-            whole = form[form.rfind(" ", 0, a + 1) + 1 : e if (e := form.find(" ", b)) >= 0 else len(form)]
-            if told and not all(t.search(whole) for t in self.telling[i]):
-                continue
             a, b = a + len(span) - len(span.lstrip()), b - len(span) + len(span.rstrip())
             edits = sum(hit.fuzzy_counts)
             best.setdefault(notice.label, []).append(Match(notice.label, a, b, edits, 1 - edits / len(notice.words)))
