@@ -842,6 +842,57 @@ def pdf_paragraph_starts(spark, sf_dir):
     return found.groupBy("page", "para").agg(F.min("line").alias("line"))
 
 
+def growing(spark, sf_dir):
+    """Text blocks in two columns of a page, and everything on it: the blocks, shapes around some and shapes beside some."""
+    side, row = F.col("pos") % 2, F.floor(F.col("pos") % 10 / 2)
+    x0, y0 = side * 300.0, row * 24.0 + F.floor(row / 2) * 15
+    rows = lines(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("container")).alias("page"), F.col("seg_id").alias("id"), F.col("pos").alias("seq"), x0.alias("x0"), y0.alias("y0"), (x0 + 60 + F.length("source") % 140).alias("x1"), (y0 + 12 + F.col("pos") % 9).alias("y1"), (x0 + 280).alias("edge"))
+    box = lambda df, name, a, b, c, d: df.select("page", F.concat("id", F.lit(name)).alias("id"), "seq", F.lit(name != "").alias("shape"), (F.col("x0") + a).alias("x0"), (F.col("y0") + b).alias("y0"), (F.col("x1") + c).alias("x1"), (F.col("y1") + d).alias("y1"))
+    things = box(rows, "", 0, 0, 0, 0).unionByName(box(rows.where("seq % 5 = 2"), "/around", -4, -4, 9 + F.col("seq") % 40, 3)).unionByName(box(rows.where("seq % 7 = 3"), "/beside", F.lit(80) + F.col("seq") % 90, 2, F.lit(120), 6))
+    return rows, things
+
+
+_GROWING = r"""WITH """ + SEG + r""", g AS (SELECT doc_id * 1000 + container AS page, seg_id AS id, pos AS seq, (pos % 2) * 300.0::DOUBLE AS x0, ((pos % 10) // 2) * 24.0::DOUBLE + ((pos % 10) // 4) * 15 AS y0, length(line) % 140 AS w, 12 + pos % 9 AS h FROM segs),
+b AS (SELECT page, id, seq, x0, y0, x0 + 60 + w AS x1, y0 + h AS y1, x0 + 280 AS edge FROM g),
+t AS (SELECT page, id, seq, FALSE AS shape, x0, y0, x1, y1 FROM b UNION ALL SELECT page, id || '/around', seq, TRUE, x0 - 4, y0 - 4, x1 + 9 + seq % 40, y1 + 3 FROM b WHERE seq % 5 = 2
+      UNION ALL SELECT page, id || '/beside', seq, TRUE, x0 + 80 + seq % 90, y0 + 2, x1 + 120, y1 + 6 FROM b WHERE seq % 7 = 3),
+o AS (SELECT b.page, b.id, list({'x0': t.x0, 'y0': t.y0, 'x1': t.x1, 'y1': t.y1, 's': t.shape AND t.x0 <= b.x0 - 1 AND t.y0 <= b.y0 - 1 AND t.x1 >= b.x1 + 1 AND t.y1 >= b.y1 + 1} ORDER BY t.shape, t.seq, t.id) FILTER (t.id <> b.id) AS os FROM b JOIN t USING (page) GROUP BY b.page, b.id),
+i AS (SELECT b.*, list_filter(coalesce(os, []), lambda o: o.s) AS hs, list_filter(coalesce(os, []), lambda o: NOT o.s AND NOT (greatest(o.x0, b.x0) < least(o.x1, b.x1) AND greatest(o.y0, b.y0) < least(o.y1, b.y1))) AS os,
+      greatest(x1, edge) AS r, least(y1 + greatest(0.5 * (y1 - y0), 1.3 * CASE WHEN y1 - y0 < 30 THEN y1 - y0 ELSE 14 END), 160.0 - 18) AS d FROM b JOIN o USING (page, id)),
+f AS (SELECT *, list_reduce(os, lambda a, o: {'x0': a.x0, 'y0': a.y0,
+        'x1': CASE WHEN o.y0 < a.y1 AND o.y1 > i.y0 AND o.x0 >= i.x1 - 0.5 AND o.y0 < i.y1 THEN least(a.x1, o.x0 - 3) ELSE a.x1 END,
+        'y1': CASE WHEN o.x0 < a.x1 AND o.x1 > i.x0 AND o.y0 >= i.y1 - 0.5 THEN least(a.y1, o.y0 - 1) ELSE a.y1 END, 's': FALSE},
+      {'x0': x0, 'y0': y0, 'x1': least(r, coalesce(list_min(list_transform(hs, lambda h: h.x1 - 2)), r)), 'y1': least(d, coalesce(list_min(list_transform(hs, lambda h: h.y1 - 1)), d)), 's': FALSE}) AS e FROM i)
+SELECT page, id, greatest(e.x1, x1) AS "right", greatest(e.y1, y1) AS bottom FROM f"""
+
+
+@query(_GROWING)
+def free_space(spark, sf_dir):
+    blocks, things = growing(spark, sf_dir)
+    return geometry.free_space(blocks, things, blocks.select("page").distinct().withColumn("bottom", F.lit(160.0)))
+
+
+def ruled(spark, sf_dir):
+    """A level rule under every third row of both columns, and a vertical one in every third fragment's gap."""
+    rows = columned(spark, sf_dir)
+    level = rows.where("line % 3 = 1").select("page", (F.col("x0") + 5).alias("x0"), (F.col("y1") + 2).alias("y0"), (F.col("x1") - 10).alias("x1"), (F.col("y1") + 2.5).alias("y1"))
+    halves_ = halves(spark, sf_dir).where("score = 0.9 and cast(y0 / 30 as int) % 3 = 0")
+    vertical = halves_.select("page", (F.col("x1") + 1).alias("x0"), (F.col("y0") + F.pmod("page", F.lit(7))).alias("y0"), (F.col("x1") + 1.5).alias("x1"), (F.col("y0") + 25).alias("y1"))
+    return level, vertical
+
+
+@query(_COLUMNED + ", n AS (" + _PARA.format("(opens OR (pos - 2) % 3 = 1)") + ") SELECT page, line, para FROM n WHERE opens")
+def paragraphs_ruled(spark, sf_dir):
+    found = geometry.paragraphs(columned(spark, sf_dir), ruled(spark, sf_dir)[0])
+    number = columned(spark, sf_dir).select("page", "line", "x0", "y0")
+    return found.join(number, ["page", "x0", "y0"]).groupBy("page", "para").agg(F.min("line").alias("line"))
+
+
+@query(r"WITH " + SEG + ", h AS (SELECT doc_id * 1000 + container AS page, line, pos, (pos % 10) % 3 = 0 AND (doc_id * 1000 + container) % 7 < 4 AS cut FROM segs) SELECT page, CASE WHEN cut THEN line[:length(line) // 2] ELSE line[:length(line) // 2] || ' ' || line[length(line) // 2 + 1:] END AS text, ((pos % 10) * 30)::DOUBLE AS y0 FROM h UNION ALL SELECT page, line[length(line) // 2 + 1:], ((pos % 10) * 30)::DOUBLE FROM h WHERE cut")
+def ocr_merge_ruled(spark, sf_dir):
+    return geometry.merged_fragments(halves(spark, sf_dir), rules=ruled(spark, sf_dir)[1]).select("page", "text", "y0")
+
+
 @query(r"WITH " + SEG + r", a AS (SELECT seg_id, line, string_split(line, ' ') AS ws FROM segs), r AS (SELECT seg_id, i AS seq, CASE WHEN i % 3 = 0 THEN 'b' ELSE 'a' END AS style, ws[i] || CASE WHEN i < len(ws) THEN ' ' ELSE '' END AS t FROM a, unnest(generate_series(1, len(ws))) u(i)), n AS (SELECT seg_id, coalesce(sum(length(trim(t))) FILTER (style = 'a'), 0) AS na, coalesce(sum(length(trim(t))) FILTER (style = 'b'), -1) AS nb FROM r GROUP BY ALL) SELECT seg_id, regexp_replace(string_agg(CASE WHEN trim(t) <> '' AND ((style = 'b' AND na >= nb) OR (style = 'a' AND na < nb)) THEN '<g1>' || t || '</g1>' ELSE t END, '' ORDER BY seq), '</g1><g1>', '', 'g') AS source FROM r JOIN n USING (seg_id) GROUP BY seg_id")
 def runs_encoded(spark, sf_dir):
     words = lines(spark, sf_dir).select("seg_id", F.posexplode(F.split("source", " ", -1)).alias("at", "w"), F.size(F.split("source", " ", -1)).alias("n"))

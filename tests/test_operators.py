@@ -172,15 +172,11 @@ def test_geometry(spark):
     b = spark.createDataFrame([(1, "x", 0, "two", 0.0, 25.0, 100.0, 50.0), (1, "y", 1, "one", 0.0, 0.0, 100.0, 20.0), (1, "z", 2, "three", 0.0, 60.0, 100.0, 80.0), (2, "w", 0, "far", 450.0, 450.0, 480.0, 480.0)], box)
     assert {r.seg_id: r.translation for r in geometry.paired(a, b).collect()} == {"a": "one\ntwo", "b": "three", "c": "far"}
     assert geometry.outside_tables(b, a.where("page = 2")).count() == 3
-    lines = spark.createDataFrame([(1, "Feed", 0.0, 0.0, 40.0, 10.0, 0.9), (1, "(FWP)", 43.0, 1.0, 70.0, 11.0, 0.8), (1, "other cell", 200.0, 0.0, 250.0, 10.0, 0.9), (1, "pumps", 0.0, 12.0, 50.0, 22.0, 0.9), (1, "• tank", 0.0, 24.0, 50.0, 34.0, 0.9)], geometry.LINE)
+    lines = spark.createDataFrame([(1, "Feed", 0.0, 0.0, 40.0, 10.0, 0.9), (1, "(FWP)", 43.0, 1.0, 70.0, 11.0, 0.8), (1, "other cell", 200.0, 0.0, 250.0, 10.0, 0.9), (1, "pumps", 0.0, 12.0, 50.0, 22.0, 0.9), (1, "• tank", 0.0, 24.0, 50.0, 34.0, 0.9)], geometry.FRAGMENT)
     merged = {r.text: (r.x0, r.y0, r.x1, r.y1, r.score) for r in geometry.merged_fragments(lines).collect()}
     assert set(merged) == {"Feed (FWP)", "other cell", "pumps", "• tank"} and merged["Feed (FWP)"] == (0.0, 0.0, 70.0, 11.0, 0.8)
     para = {r.text: r.para for r in geometry.paragraphs(lines).collect()}
     assert para["Feed"] == para["pumps"] != para["• tank"]
-    page = spark.createDataFrame([(1, "a", 70.0, 100.0, 200.0, 112.0)], "page long, id string, x0 double, y0 double, x1 double, y1 double")
-    walls = spark.createDataFrame([(1, "r", 400.0, 90.0, 500.0, 120.0), (1, "u", 70.0, 300.0, 200.0, 320.0)], page.schema)
-    free = geometry.free_space(page, walls, 595.0, 842.0).first()
-    assert (free.right, free.bottom) == (396.0, 296.0)
 
 
 def test_context_and_compare(spark):
