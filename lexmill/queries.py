@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import languages, similarity, tags, text, tokens
-from .operators import checks, compare, context, evaluate, findings, geometry, glossary, memory, report, stored, terms, validate
+from .operators import checks, compare, context, evaluate, findings, geometry, glossary, layout, memory, report, stored, terms, validate
 from .plans import qc, translate
 from .sources.scratch import materialize
 from .sources.segments import encoded_runs, mutated, segments_of, with_identifiers
@@ -872,6 +872,47 @@ def free_space(spark, sf_dir):
     return geometry.free_space(blocks, things, blocks.select("page").distinct().withColumn("bottom", F.lit(160.0)))
 
 
+def character_widths(spark, sf_dir):
+    """A width for every character there is, by rule, in two fonts."""
+    there = read_table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("character")).where("character <> ''").distinct()
+    fonts = there.select("character", F.posexplode(F.array(F.lit("latin"), F.lit("native"))).alias("k", "font"))
+    return fonts.select("font", "character", ((F.ascii("character") % (11 - 4 * F.col("k")) + 3) / 16.0).cast("double").alias("width"))
+
+
+_FILL = r"""WITH """ + SEG + r""", tk AS (SELECT seg_id, (10 + pos % 3 * 4)::DOUBLE AS size, (150 + pos % 5 * 40)::DOUBLE AS width, regexp_extract_all(line, '[A-Za-z0-9À-ɏ\-./:@_%°±+#()]+\s*|\s+|.') AS ts FROM segs),
+m AS (SELECT seg_id, width, list_transform(ts, lambda t: {'c': 0.0::DOUBLE, 'w': size * coalesce(list_sum(list_transform(string_split(t, ''), lambda c: ((CASE WHEN regexp_matches(t, '[^\x00-\x7f]') AND regexp_matches(t, '[A-Za-zÄÖÜäöüß]') THEN unicode(c) % 7 ELSE unicode(c) % 11 END) + 3) / 16.0::DOUBLE)), 0),
+     'l': CASE WHEN trim(t) = '' THEN 0.0::DOUBLE ELSE size * coalesce(list_sum(list_transform(string_split(t, ''), lambda c: ((CASE WHEN regexp_matches(t, '[^\x00-\x7f]') AND regexp_matches(t, '[A-Za-zÄÖÜäöüß]') THEN unicode(c) % 7 ELSE unicode(c) % 11 END) + 3) / 16.0::DOUBLE)), 0) END}) AS ms FROM tk),
+f AS (SELECT seg_id, list_reduce(ms, lambda a, t: CASE WHEN (CASE WHEN a.l > 0 AND a.l + t.w > m.width THEN t.l ELSE a.l + t.w END) > m.width
+      THEN {'c': a.c + (a.l > 0 AND a.l + t.w > m.width)::INT + floor((CASE WHEN a.l > 0 AND a.l + t.w > m.width THEN t.l ELSE a.l + t.w END) / m.width), 'w': CASE WHEN a.l > 0 AND a.l + t.w > m.width THEN greatest(a.w, a.l) ELSE a.w END,
+            'l': (CASE WHEN a.l > 0 AND a.l + t.w > m.width THEN t.l ELSE a.l + t.w END) - m.width * floor((CASE WHEN a.l > 0 AND a.l + t.w > m.width THEN t.l ELSE a.l + t.w END) / m.width)}
+      ELSE {'c': a.c + (a.l > 0 AND a.l + t.w > m.width)::INT, 'w': CASE WHEN a.l > 0 AND a.l + t.w > m.width THEN greatest(a.w, a.l) ELSE a.w END, 'l': CASE WHEN a.l > 0 AND a.l + t.w > m.width THEN t.l ELSE a.l + t.w END} END,
+      {'c': 1.0::DOUBLE, 'w': 0.0::DOUBLE, 'l': 0.0::DOUBLE}) AS e FROM m)
+SELECT seg_id, CAST(e.c AS INT) AS n_lines, greatest(e.w, e.l) AS widest FROM f"""
+
+
+@query(_FILL)
+def line_fill(spark, sf_dir):
+    rows = lines(spark, sf_dir).select("seg_id", layout.line_count(F.col("source"), 10 + F.col("pos") % 3 * 4, 150 + F.col("pos") % 5 * 40, character_widths(spark, sf_dir), TGT).alias("f"))
+    return rows.select("seg_id", F.col("f.lines").alias("n_lines"), "f.widest")
+
+
+def text_boxes(spark, sf_dir):
+    """A box for each page, its lines as paragraphs, in sizes, spacings and boxes by rule."""
+    pos = F.col("pos")
+    space = lambda lined, value: F.struct(lined.alias("lines"), value.cast("double").alias("value"))
+    para = F.struct("pos", F.col("source").alias("text"), (9 + pos % 4).cast("double").alias("size"), (pos % 2 * 12).cast("double").alias("margin"), space(pos % 3 == 0, F.lit(0.5)).alias("before"), space(F.lit(False), pos % 5).alias("after"), space(pos % 4 > 0, F.when(pos % 4 > 0, 1.0).otherwise(13.0)).alias("line"))
+    pages = lines(spark, sf_dir).groupBy("doc_id", "container").agg(F.array_sort(F.collect_list(para)).alias("ps"), F.sum(F.length("source")).alias("n"))
+    held = F.transform("ps", lambda p: F.struct(*(p[c].alias(c) for c in ("text", "size", "margin", "before", "after", "line"))))
+    k = F.col("doc_id") % 7
+    return pages.select("doc_id", "container", held.alias("paragraphs"), F.lit(360.0).alias("width"), (F.col("n") * (0.18 + 0.02 * k) + 20).alias("height"), (k != 6).alias("wrap"), (k == 5).alias("grows"), F.when(k == 4, F.col("n") * 0.3).alias("allowed"))
+
+
+@query()
+def text_fit(spark, sf_dir):
+    found = layout.fitted(text_boxes(spark, sf_dir), character_widths(spark, sf_dir), TGT)
+    return found.select("doc_id", "container", F.round("fit.needed", 6).alias("needed"), "fit.scale", "fit.overflow", "fit.grows", "fit.inherited")
+
+
 def ruled(spark, sf_dir):
     """A level rule under every third row of both columns, and a vertical one in every third fragment's gap."""
     rows = columned(spark, sf_dir)
