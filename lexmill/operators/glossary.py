@@ -17,7 +17,8 @@ from ..functions.text import uses
 from ..sources.scratch import materialize
 from .ranks import numbered
 
-HINT = "array<struct<source:string,target:string,keep:boolean>>"
+#: origin: glossary, or of a document's own terms document (not asked for in checks), enforced or consensus.
+HINT = "array<struct<source:string,target:string,keep:boolean,origin:string>>"
 PRIORITY = {"high": 0, "normal": 1, "low": 2}
 KEY = ["glossary_id", "source_term", "source_lang", "target_lang", "context"]
 SHARD_BYTES = 4 << 20  # of terms in one automaton at most; it takes some 50 bytes for each
@@ -116,7 +117,7 @@ def chosen(candidates: list[dict], size: int, around: str) -> list[dict]:
             if taken.find(1, a, b) < 0:
                 taken[a:b] = b"\x01" * (b - a)
                 hints[t["find"], t["instead"], t["keep"]] = None
-    return [{"source": a, "target": b, "keep": c} for a, b, c in hints]
+    return [{"source": a, "target": b, "keep": c, "origin": "glossary"} for a, b, c in hints]
 
 
 _built: dict[str, Matcher] = {}
@@ -141,7 +142,7 @@ def with_hints(rows: DataFrame, terms: DataFrame, src: str, tgt: str, text: str
     both = F.lower(F.concat_ws("\n", text, *([around] if around else [])))
     shards = -(-(held.agg(F.sum(F.octet_length("find"))).first()[0] or 1) // shard_bytes)
     send = lambda df: (uuid4().hex, rows.sparkSession.sparkContext.broadcast([r.asDict() for r in df.collect()]))
-    hint = pa.list_(pa.struct([("source", pa.string()), ("target", pa.string()), ("keep", pa.bool_())]))
+    hint = pa.list_(pa.struct([("source", pa.string()), ("target", pa.string()), ("keep", pa.bool_()), ("origin", pa.string())]))
     if shards == 1:
         name, sent = send(held)
 
@@ -184,6 +185,11 @@ def kept_terms(hints: str = "hints") -> Column:
     return F.transform(F.filter(hints, lambda h: h["keep"]), lambda h: h["source"])
 
 
+def required(hints: str = "hints") -> Column:
+    """The hints that a translation is held to."""
+    return F.filter(hints, lambda h: ~h["keep"] & (h["origin"] != "document"))
+
+
 def injected(text: str = "plain", hints: str = "hints") -> Column:
     """text with its terms replaced by their approved translations, longest first."""
 

@@ -124,12 +124,13 @@ def examples(found: DataFrame, segments: DataFrame, text: str = "source", n: int
 
 def voted(candidates: DataFrame, translations: DataFrame, tgt: str) -> DataFrame:
     """(doc_id, phrase, winner, support, n): the candidate that most translations of a term's segments use, if two or
-    more and over half do; else winner is null. candidates: doc_id, phrase, candidate; translations: doc_id, phrase,
-    seg_id, target."""
+    more and over half do; else winner is null. candidates: doc_id, phrase, candidate, perhaps seq (of equals the first
+    wins); translations: doc_id, phrase, seg_id, target."""
+    held = candidates if "seq" in candidates.columns else candidates.withColumn("seq", F.lit(0))
     n = translations.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
-    met = candidates.join(translations, ["doc_id", "phrase"]).where(uses(F.col("target"), F.col("candidate"), tgt))
-    support = met.groupBy("doc_id", "phrase", "candidate").agg(F.count(F.lit(1)).alias("support"))
-    best = support.groupBy("doc_id", "phrase").agg(F.max_by(F.struct("candidate", "support"), F.struct("support", F.length("candidate"), "candidate")).alias("b"))
+    met = held.join(translations, ["doc_id", "phrase"]).where(uses(F.col("target"), F.col("candidate"), tgt))
+    support = met.groupBy("doc_id", "phrase", "candidate").agg(F.count(F.lit(1)).alias("support"), F.min("seq").alias("seq"))
+    best = support.groupBy("doc_id", "phrase").agg(F.max_by(F.struct("candidate", "support"), F.struct("support", F.length("candidate"), -F.col("seq"), "candidate")).alias("b"))
     told = n.join(best, ["doc_id", "phrase"], "left").withColumn("support", F.coalesce("b.support", F.lit(0)))
     clear = (F.col("n") >= 2) & (F.col("support") >= 2) & (2 * F.col("support") > F.col("n"))
     return told.select("doc_id", "phrase", F.when(clear, F.col("b.candidate")).alias("winner"), "support", "n")
@@ -164,7 +165,7 @@ def review_rows(terms: DataFrame) -> DataFrame:
 
 
 def sheet(found: DataFrame, segments: DataFrame, engine, tgt: str, contexts: int = 1, most: int = MOST) -> DataFrame:
-    """A document's terms with candidate translations: doc_id, phrase, occurrences, candidates, target (the first).
+    """A document's terms with candidate translations: doc_id, phrase, occurrences, place, candidates, target (the first).
 
     found is of occurrences(). engine is a function from a DataFrame (seg_id, text, context) to (seg_id, output); each
     term goes to it once in each of up to contexts of its texts.
@@ -175,7 +176,7 @@ def sheet(found: DataFrame, segments: DataFrame, engine, tgt: str, contexts: int
     told = asked.join(engine(asked.select("seg_id", F.col("phrase").alias("text"), "context")), "seg_id")
     each = distinct_candidates(told.select("doc_id", "phrase", "seq", clean_candidate(F.col("output"), F.col("phrase"), tgt).alias("candidate")), tgt)
     listed = each.groupBy("doc_id", "phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "candidate"))), lambda c: c["candidate"]).alias("candidates"))
-    out = held.drop("place").join(listed, ["doc_id", "phrase"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    out = held.join(listed, ["doc_id", "phrase"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
     return out.withColumn("target", F.coalesce(F.get("candidates", F.lit(0)), F.lit("")))
 
 
@@ -192,15 +193,15 @@ def spelled(term: Column) -> Column:
     return F.when(term.rlike(r"[^\x00-\x7f]"), escaped(term)).otherwise(bounded)
 
 
-def with_document_hints(rows: DataFrame, sheet: DataFrame, text: str = "plain") -> DataFrame:
+def with_document_hints(rows: DataFrame, sheet: DataFrame, text: str = "plain", origin: str = "document") -> DataFrame:
     """rows (doc_id, seg_id, hints, …) with the document's own terms added to hints: those of the text that no hint
-    covers and that stand in no longer one."""
+    covers and that stand in no longer one. origin: see glossary.HINT."""
     known = resolved(sheet).select("doc_id", "phrase", F.col("target").alias("to"))
     covered = F.lower(F.array_join(F.transform("hints", lambda h: h["source"]), " "))
     met = rows.select("doc_id", "seg_id", F.col(text).alias("t"), covered.alias("covered")).join(known, "doc_id")
     met = met.where(~F.contains("covered", F.lower("phrase")) & F.regexp_like("t", spelled(F.col("phrase"))))
     own = met.groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("phrase")).alias("n"), "phrase", "to"))).alias("own"))
     maximal_ = F.filter("own", lambda a: ~F.exists("own", lambda b: (b["n"] < a["n"]) & F.contains(F.lower(b["phrase"]), F.lower(a["phrase"]))))
-    added = F.transform(maximal_, lambda a: F.struct(a["phrase"].alias("source"), a["to"].alias("target"), F.lit(False).alias("keep")))
+    added = F.transform(maximal_, lambda a: F.struct(a["phrase"].alias("source"), a["to"].alias("target"), F.lit(False).alias("keep"), F.lit(origin).alias("origin")))
     out = rows.join(own, "seg_id", "left")
     return out.withColumn("hints", F.when(F.col("own").isNull(), F.col("hints")).otherwise(F.concat("hints", added))).select(*rows.columns)

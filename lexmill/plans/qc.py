@@ -13,7 +13,7 @@ from ..operators.compare import paired_by_id
 from ..operators.context import document_text, page_text
 from ..operators.findings import flagged, union
 from ..operators.geometry import paired
-from ..operators.glossary import kept_terms, with_hints
+from ..operators.glossary import HINT, kept_terms, with_hints
 from ..operators.report import metrics
 from ..operators.terms import voted
 from ..sources.scratch import materialize
@@ -23,7 +23,7 @@ def pairs_of(segments: DataFrame, terms: DataFrame | None, src: str, tgt: str) -
     """Segments (with target) as pairs: plain source, glossary hints by the page around, identifiers, kept."""
     rows = segments.withColumns({"plain": strip_tags(F.col("source")), "target": strip_tags(F.col("target"))})
     if terms is None:
-        rows = rows.withColumn("hints", F.array().cast("array<struct<source:string,target:string,keep:boolean>>"))
+        rows = rows.withColumn("hints", F.array().cast(HINT))
     else:
         pages = page_text(rows, "plain")
         rows = with_hints(rows.join(pages, ["doc_id", "container"]), terms, src, tgt, "plain", "page_text").drop("page_text")

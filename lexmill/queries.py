@@ -1042,6 +1042,32 @@ def translated_documents(spark, sf_dir):
     return done.select("seg_id", "status", "target", "score")
 
 
+_RUNNING = r"""WITH """ + SEG + r""", l AS (SELECT doc_id, pos, seg_id, pos // 40 AS page, CASE WHEN pos % 40 = 17 THEN 'title' WHEN pos % 40 > 36 THEN 'note' ELSE 'body' END AS kind, line, length(line) % 11 = 0 AS bad FROM segs),
+h AS (SELECT *, last_value(CASE WHEN kind = 'title' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM l),
+w AS (SELECT *, CASE kind WHEN 'title' THEN '' WHEN 'note' THEN 'n' ELSE coalesce('h' || above, '') END AS ctx FROM h WHERE regexp_matches(line, '[A-Za-z]')),
+r AS (SELECT *, row_number() OVER o AS r, CASE WHEN row_number() OVER o = 1 OR ctx <> lag(ctx) OVER o THEN 1 ELSE 0 END AS turn FROM w WINDOW o AS (PARTITION BY doc_id, page ORDER BY kind = 'note', pos)),
+i AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, page ORDER BY r) AS island FROM r),
+b AS (SELECT *, r - (row_number() OVER (PARTITION BY doc_id, page, island ORDER BY r) - 1) % 12 AS first FROM i),
+p AS (SELECT a.seg_id, list(z.line ORDER BY z.r) AS ls FROM b a JOIN b z ON a.doc_id = z.doc_id AND a.page = z.page AND z.r < a.first AND NOT z.bad GROUP BY a.seg_id)
+SELECT b.seg_id, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS status, coalesce(array_to_string(ls[-6:], '~'), '') AS previous, CASE WHEN NOT bad THEN 'Ü' || coalesce(len(ls[-6:]), 0) || ' ' || upper(replace(line, 'ß', 'ss')) END AS target FROM b LEFT JOIN p USING (seg_id)"""
+
+
+@query(_RUNNING)
+def translated_running(spark, sf_dir):
+    """An engine that tells how many lines it was given, and fails at some, over pages of forty lines with titles and notes."""
+    place = F.col("pos") % 40
+    rows = lines(spark, sf_dir).withColumns({"container": F.floor(F.col("pos") / 40).cast("int"), "kind": F.when(place == 17, "title").when(place > 36, "note").otherwise("body"), "target": F.lit(None).cast("string")})
+    pairs = qc.pairs_of(rows, None, SRC, TGT).withColumns({"kept": ~F.col("source").rlike("[A-Za-z]"), "protected": F.array().cast("array<string>")})
+
+    def engine(asked):
+        n = F.size("previous").cast("string") if "previous" in asked.columns else F.lit("0")
+        return asked.select("seg_id", F.when(F.length("text") % 11 == 0, "").otherwise(F.concat(F.lit("Ü"), n, F.lit(" "), F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))))).alias("output"))
+
+    done = translate.translated(pairs, engine, SRC, TGT).where("status <> 'kept'")
+    told = F.array_join(F.transform("previous", lambda s: s["source"]), "~")
+    return done.select("seg_id", F.when(F.col("status") == "failed", "failed").otherwise("ok").alias("status"), told.alias("previous"), "target")
+
+
 @query()
 def pair_similarity(spark, sf_dir):
     rows = test_pairs(spark, sf_dir).where("target is not null")

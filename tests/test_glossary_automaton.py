@@ -57,7 +57,7 @@ def test_automaton_equals_patterns(spark):
         want = [plain_match(t, f"{t}\n{'ZZ' if i % 2 else ''}", rows, src, tgt) for i, t in enumerate(texts)] + [[]]
         for more in ({}, {"shard_bytes": 60}):
             found = glossary.with_hints(docs, held, src, tgt, "plain", "around", **more).orderBy("i").collect()
-            assert [[tuple(h) for h in r.hints] for r in found] == want
+            assert [[tuple(h)[:3] for h in r.hints] for r in found] == want
     assert any(len(w) > 3 for w in want)
     nothing = glossary.with_hints(docs, held.limit(0), "en", "ja")
     assert nothing.where("size(hints) > 0").isEmpty() and nothing.count() == len(texts) + 1
@@ -70,7 +70,7 @@ def test_fifty_thousand_terms(spark):
     texts = [" ".join(r.choices(words, k=5)) + ". " + r.choice(rows)[0] + " " + r.choice(rows)[0].upper() for _ in range(40)]
     found = glossary.with_hints(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, plain string"), spark.createDataFrame(rows, TERM), "en", "ja").orderBy("i").collect()
     few = [[row for row in rows if row[0] in t.lower()] for t in texts]
-    assert [[tuple(h) for h in x.hints] for x in found] == [plain_match(t, t, f, "en", "ja") for t, f in zip(texts, few)]
+    assert [[tuple(h)[:3] for h in x.hints] for x in found] == [plain_match(t, t, f, "en", "ja") for t, f in zip(texts, few)]
 
 
 def test_known_terms_are_not_mined_again(spark):
