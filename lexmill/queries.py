@@ -489,7 +489,7 @@ def context_heading(spark, sf_dir):
     return context.with_heading(lines(spark, sf_dir)).select("seg_id", "heading")
 
 
-@query(r"WITH " + SEG + ", r AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id, container ORDER BY kind <> 'title', pos) AS size FROM segs) SELECT doc_id, container, string_agg(CASE WHEN kind = 'title' THEN 'Heading: ' || line ELSE line END, chr(10) ORDER BY kind <> 'title', pos) AS context, count(*) AS n_texts FROM r WHERE size <= 600 GROUP BY ALL")
+@query(r"WITH " + SEG + ", r AS (SELECT *, sum(length(line) + CASE kind WHEN 'title' THEN 9 ELSE 0 END) OVER (PARTITION BY doc_id, container ORDER BY kind <> 'title', pos) AS size FROM segs) SELECT doc_id, container, string_agg(CASE WHEN kind = 'title' THEN 'Heading: ' || line ELSE line END, chr(10) ORDER BY kind <> 'title', pos) AS context, count(*) AS n_texts FROM r WHERE size <= 600 GROUP BY ALL")
 def context_notes(spark, sf_dir):
     return context.note_context(lines(spark, sf_dir))
 
@@ -1044,7 +1044,9 @@ def translated_documents(spark, sf_dir):
 
 _RUNNING = r"""WITH """ + SEG + r""", l AS (SELECT doc_id, pos, seg_id, pos // 40 AS page, CASE WHEN pos % 40 = 17 THEN 'title' WHEN pos % 40 > 36 THEN 'note' ELSE 'body' END AS kind, line, length(line) % 11 = 0 AS bad FROM segs),
 h AS (SELECT *, last_value(CASE WHEN kind = 'title' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM l),
-w AS (SELECT *, CASE kind WHEN 'title' THEN '' WHEN 'note' THEN 'n' ELSE coalesce('h' || above, '') END AS ctx FROM h WHERE regexp_matches(line, '[A-Za-z]')),
+t AS (SELECT *, sum(length(line) + CASE kind WHEN 'title' THEN 9 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY kind <> 'title', pos) AS size FROM l WHERE kind <> 'note'),
+n AS (SELECT doc_id, page, count(*) FILTER (size <= 600) AS told, max(line) FILTER (size <= 600 AND kind = 'title') AS title FROM t GROUP BY ALL),
+w AS (SELECT *, CASE WHEN kind = 'title' THEN '' WHEN kind = 'note' THEN CASE WHEN told = 1 AND title IS NOT NULL THEN 'h' || title WHEN told > 0 THEN 'n' ELSE '' END ELSE coalesce('h' || above, '') END AS ctx FROM h LEFT JOIN n USING (doc_id, page) WHERE regexp_matches(line, '[A-Za-z]')),
 r AS (SELECT *, row_number() OVER o AS r, CASE WHEN row_number() OVER o = 1 OR ctx <> lag(ctx) OVER o THEN 1 ELSE 0 END AS turn FROM w WINDOW o AS (PARTITION BY doc_id, page ORDER BY kind = 'note', pos)),
 i AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, page ORDER BY r) AS island FROM r),
 b AS (SELECT *, r - (row_number() OVER (PARTITION BY doc_id, page, island ORDER BY r) - 1) % 12 AS first FROM i),
