@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import languages, similarity, tags, text, tokens
+from .functions import languages, replies, similarity, tags, text, tokens
 from .operators import checks, compare, context, evaluate, findings, geometry, glossary, layout, memory, report, stored, terms, validate
 from .plans import qc, translate
-from .sources.scratch import materialize
+from .sources import runs
+from .sources.scratch import materialize, scratch_path
 from .sources.segments import encoded_runs, mutated, segments_of, with_identifiers
-from .sources.tables import clean_glossary, first_of_each_blob, read_table
+from .sources.snapshots import StoredTable
+from .sources.tables import clean_glossary, first_of_each_blob, read_table, restored, write_review
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1070,6 +1072,58 @@ def translated_running(spark, sf_dir):
     return done.select("seg_id", F.when(F.col("status") == "failed", "failed").otherwise("ok").alias("status"), told.alias("previous"), "target")
 
 
+_REPLY = r"""WITH """ + SEG + r""", e AS (SELECT doc_id, container, pos, seg_id, regexp_replace(line, '[\x00-\x1f]', ' ', 'g') AS t, upper(replace(regexp_replace(line, '[\x00-\x1f]', ' ', 'g'), 'ß', 'ss')) AS u FROM segs),
+j AS (SELECT *, '{"id":"' || seg_id || '","text":"' || replace(replace(u, '\', '\\'), '"', '\"') || '"}' AS s FROM e),
+c AS (SELECT *, 17 + sum(length(s) + 1) OVER (PARTITION BY doc_id, container ORDER BY pos) - 1 AS until, sum(length(s) + 1) OVER (PARTITION BY doc_id, container) + 18 AS size FROM j)
+SELECT seg_id, CASE WHEN (doc_id + container) % 4 = 1 AND until > size * 6 // 10 THEN NULL WHEN (doc_id + container) % 4 = 3 AND pos % 2 = 1 THEN NULL ELSE u END AS text FROM c"""
+
+
+@query(_REPLY)
+def engine_replies(spark, sf_dir):
+    """A reply for each page: whole, cut, after a thought, or with other ids than were asked for."""
+    escaped = F.replace(F.replace(F.upper(F.replace("t", F.lit("ß"), F.lit("ss"))), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    kind = (F.col("doc_id") + F.col("container")) % 4
+    rows = lines(spark, sf_dir).withColumn("t", F.regexp_replace("source", r"[\x00-\x1f]", " "))
+    named = F.when((kind == 3) & (F.col("pos") % 2 == 1), F.concat(F.lit("x"), "seg_id")).otherwise(F.col("seg_id"))
+    rows = rows.withColumn("entry", F.concat(F.lit('{"id":"'), named, F.lit('","text":"'), escaped, F.lit('"}')))
+    pages = rows.groupBy("doc_id", "container").agg(F.array_sort(F.collect_list(F.struct("pos", "seg_id", "entry"))).alias("es"))
+    reply = F.concat(F.lit('{"translations":['), F.array_join(F.transform("es", lambda e: e["entry"]), ","), F.lit("]}"))
+    pages = pages.withColumns({"reply": reply, "ids": F.transform("es", lambda e: e["seg_id"])})
+    cut = F.substring(F.col("reply"), F.lit(1), F.floor(F.length("reply") * 6 / 10).cast("int"))
+    damaged = F.when(kind == 1, cut).when(kind == 2, F.concat(F.lit("<think>{\n}</think>\n "), "reply", F.lit(" \n"))).otherwise(F.col("reply"))
+    return pages.select(F.explode(replies.answers(damaged, F.col("ids"))).alias("a")).select(F.col("a.id").alias("seg_id"), "a.text")
+
+
+@query(r"WITH " + SEG + """, r AS (SELECT p.*, coalesce(lang, 'xx') AS lang FROM pairs p JOIN documents USING (doc_id))
+    SELECT seg_id, 'doc-' || lang || '_' || lang || '-de_vote' AS run, nullif(target, '') AS translation FROM r WHERE lang <> 'xx' AND lang <> 'fr'""")
+def runs_restored(spark, sf_dir):
+    """Review sheets written by language, found by their names, and segments restored from them; French has no original."""
+    base = scratch_path(spark, "runs")
+    rows = test_pairs(spark, sf_dir).join(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    rows = materialize(rows.select("seg_id", "container", "plain", "target", "lang"), "runs-rows")
+    for lang in [r.lang for r in rows.select("lang").where("lang is not null").distinct().collect()]:
+        run = f"{base}/out/doc-{lang}_{lang}-de_vote"
+        sheet = rows.where(F.col("lang") == lang).select(F.col("seg_id").alias("segment"), F.col("container").alias("page"), F.col("plain").alias("source"), F.col("target").alias("translation"), F.lit("").alias("checks"))
+        write_review(sheet, f"{run}.review.csv")
+        if lang != "fr":
+            spark.createDataFrame([(lang,)], "t string").coalesce(1).write.text(f"{base}/originals/doc-{lang}.pptx")
+    found = runs.discovered(runs.files(spark, f"{base}/out"), runs.files(spark, f"{base}/originals"))
+    reviews = runs.reviews(spark, found)
+    return restored(lines(spark, sf_dir).select("seg_id"), reviews).join(reviews.select(F.col("segment").alias("seg_id"), "run"), "seg_id").select("seg_id", "run", "translation")
+
+
+@query(f"WITH {STORED_SQL} SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN 'second' WHEN id % 2 = 0 THEN 'first' ELSE target_term END AS target_term) FROM stored")
+def glossary_versions(spark, sf_dir):
+    """A stored glossary in versions: written, changed twice, and the last read."""
+    held = stored_terms(spark, sf_dir)
+    table = StoredTable(spark, scratch_path(spark, "glossary"))
+    table.write(held)
+    put = lambda rows, what: rows.withColumns({"target_term": F.lit(what), "seq": F.col("id")}).drop("id")
+    table.changed(lambda old: glossary.upserted(old, put(held.where("id % 2 = 0"), "first")))
+    table.changed(lambda old: glossary.upserted(old, put(held.where("id % 4 = 0"), "second")))
+    return table.read()
+
+
 @query()
 def pair_similarity(spark, sf_dir):
     rows = test_pairs(spark, sf_dir).where("target is not null")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The columns of a glossary, in order.
 GLOSSARY = ["source_term", "target_term", "source_lang", "target_lang", "category", "notes", "do_not_translate", "priority", "context"]
+BOM = "\ufeff"
+AS_IT_IS = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # writing drops blanks at the ends else
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,7 @@ def supported(path: str):
 def clean_glossary(raw: DataFrame) -> DataFrame:
     """Typed rows of a glossary whose cells are strings; rows without a source term are dropped."""
     cell = lambda name: F.trim(F.coalesce(F.col(name), F.lit("")))
-    raw = raw.withColumnsRenamed({c: c.lstrip("﻿") for c in raw.columns})
+    raw = raw.withColumnsRenamed({c: c.lstrip(BOM) for c in raw.columns})
     raw = raw.withColumns({c: F.lit(None).cast("string") for c in GLOSSARY if c not in raw.columns})
     out = raw.select(*(cell(c).alias(c) for c in GLOSSARY)).where("source_term <> ''")
     priority = F.when(F.col("priority") == "", "normal").otherwise(F.lower("priority"))
@@ -34,8 +36,10 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_glossary(terms: DataFrame, path: str) -> None:
+    """As CSV with a byte order mark before the header, which tells spreadsheets that it is UTF-8."""
     flags = F.when(F.col("do_not_translate"), "true").otherwise("false")
-    terms.withColumn("do_not_translate", flags).select(*GLOSSARY).write.mode("overwrite").csv(path, header=True, escape='"')
+    rows = terms.withColumn("do_not_translate", flags).select(*GLOSSARY).withColumnRenamed(GLOSSARY[0], BOM + GLOSSARY[0])
+    rows.write.mode("overwrite").csv(path, header=True, **AS_IT_IS)
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -43,7 +47,7 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_review(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True)
+    rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, **AS_IT_IS)
 
 
 def restored(segments: DataFrame, review: DataFrame) -> DataFrame:
