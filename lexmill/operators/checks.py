@@ -227,14 +227,20 @@ def layout(issues: DataFrame, segments: DataFrame) -> DataFrame:
     return shown.unionByName(simple.select(*finding("layout", "formatting_simplified", "info", said, segments=F.col("segments"), pages=F.col("pages"))))
 
 
-def unwritten(expected: DataFrame, reread: DataFrame, threshold: float = 92.0) -> DataFrame:
-    """Segments whose written text isn't the expected one, by compatibility form; long ones may differ a little."""
+def compared(expected: DataFrame, reread: DataFrame, threshold: float = 92.0) -> DataFrame:
+    """Segments with written, whether the written file as read again (seg_id, text) has their translation, by
+    compatibility form; long ones may differ a little."""
     want = expected.select("doc_id", "seg_id", "container", text.squash(F.col("target")).alias("want"))
     got = reread.select("seg_id", text.squash(F.col("text")).alias("got"))
     met = want.join(got, "seg_id", "left")
     alike = (F.length("want") >= 8) & (ratio("want", "got") >= threshold)
-    fine = F.col("got").isNotNull() & ((F.col("want") == F.col("got")) | alike)
-    return met.where(~fine).select(*finding("completeness", "not_written", "error", F.concat(where_label(), F.lit(": translation missing from the written file"))))
+    return met.withColumn("written", F.col("got").isNotNull() & ((F.col("want") == F.col("got")) | alike))
+
+
+def unwritten(expected: DataFrame, reread: DataFrame, threshold: float = 92.0) -> DataFrame:
+    """Segments whose written text isn't the expected one."""
+    met = compared(expected, reread, threshold).where("not written")
+    return met.select(*finding("completeness", "not_written", "error", F.concat(where_label(), F.lit(": translation missing from the written file"))))
 
 
 def tag_problems(pairs: DataFrame) -> DataFrame:

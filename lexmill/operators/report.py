@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checks import compared
 from .findings import described
 
 
@@ -32,15 +33,24 @@ def metrics(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def checked(pairs: DataFrame) -> DataFrame:
-    """What a check looked at, one row."""
-    active = ~F.col("kept")
-    return pairs.agg(
+def checked(pairs: DataFrame, recurring: DataFrame | None = None, reread: DataFrame | None = None) -> DataFrame:
+    """What a check looked at, one row: paragraphs, of which translated, the identifiers and glossary terms of these,
+    the recurring terms of a sheet, and how many translations stand in the written file as read again (seg_id, text)."""
+    active = ~F.col("kept") & F.col("target").isNotNull()
+    total = lambda n: F.coalesce(F.sum(F.when(active, n)), F.lit(0))
+    out = pairs.agg(
         F.count(F.lit(1)).alias("paragraphs"),
-        F.count_if(active & F.col("target").isNotNull()).alias("translated"),
-        F.coalesce(F.sum(F.when(active, F.size("protected"))), F.lit(0)).alias("identifiers"),
-        F.coalesce(F.sum(F.when(active, F.size(F.filter("hints", lambda h: ~h["keep"])))), F.lit(0)).alias("glossary_terms"),
+        F.count_if(active).alias("translated"),
+        total(F.size("protected")).alias("identifiers"),
+        total(F.size(F.filter("hints", lambda h: ~h["keep"]))).alias("glossary_terms"),
     )
+    one = lambda df: df.withColumn("__k", F.lit(1))
+    counts = [] if recurring is None else [recurring.agg(F.count(F.lit(1)).alias("recurring_terms"))]
+    if reread is not None:
+        counts.append(compared(pairs.where(active), reread).agg(F.count_if("written").alias("written_verified")))
+    for more in counts:
+        out = one(out).join(one(more), "__k").drop("__k")
+    return out if recurring is not None else out.withColumn("recurring_terms", F.lit(0).cast("long"))
 
 
 def review_sheet(outcomes: DataFrame, findings: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .sources import runs
 from .sources.scratch import materialize, scratch_path
 from .sources.segments import encoded_runs, mutated, segments_of, with_identifiers
 from .sources.snapshots import StoredTable
-from .sources.tables import clean_glossary, first_of_each_blob, read_table, restored, write_review
+from .sources.tables import clean_glossary, first_of_each_blob, read_table, restored, supported, write_review
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1157,6 +1157,93 @@ def retag_whole(spark, sf_dir):
     return rows.select("seg_id", tags.retag(F.lit("x <g2>BMS</g2>"), output, F.create_map(F.lit("BMS"), F.lit("BMS"))).alias("retagged"))
 
 
+# Small functions, each over whole tables
+
+
+@query(r"WITH p AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '/a.b.pptx' WHEN 2 THEN 'pdf' ELSE '' END AS path FROM pages) SELECT page_id, CASE WHEN regexp_matches(lower(path), '\.(pdf|pptx)$') THEN regexp_extract(lower(path), '\.(pdf|pptx)$', 1) END AS format FROM p")
+def file_formats(spark, sf_dir):
+    tail = F.element_at(F.array(F.lit(".PDF"), F.lit("/a.b.pptx"), F.lit("pdf"), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
+    return read_table(spark, sf_dir, "pages").withColumn("path", F.concat("url", tail)).select("page_id", supported("path").alias("format"))
+
+
+@query("SELECT doc_id, n_chars % 40 < 20 AND (doc_id % 10 * 60000.0) / 500000 > 0.5 AS scanned FROM documents")
+def scanned_pages(spark, sf_dir):
+    chars, image = F.col("n_chars") % 40, F.col("doc_id") % 10 * 60_000.0
+    return read_table(spark, sf_dir, "documents").select("doc_id", geometry.is_scanned(chars, image, F.lit(500_000.0)).alias("scanned"))
+
+
+@query(r"WITH " + SEG + " SELECT seg_id, length(line) < 100 AND (10 + pos % 4 >= 12 OR (pos % 2 = 1 AND 10 + pos % 4 > 10)) AS heading FROM segs")
+def page_headings(spark, sf_dir):
+    size = (10 + F.col("pos") % 4).cast("double")
+    return lines(spark, sf_dir).select("seg_id", geometry.is_page_heading(F.col("source"), size, F.col("pos") % 2 == 1, F.lit(10.0)).alias("heading"))
+
+
+def review_states(spark, sf_dir):
+    rows = test_pairs(spark, sf_dir).join(findings.by_segment(told_findings(spark, sf_dir)).groupBy("seg_id").agg(F.collect_set("severity").alias("severities"), F.collect_set("category").alias("categories")), "seg_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select(F.col("seg_id").alias("segment"), F.when(F.col("doc_id") % 5 == 0, "edited").otherwise("translated").alias("status"), F.coalesce("severities", none).alias("severities"), F.coalesce("categories", none).alias("categories"), F.col("plain").alias("source"), F.coalesce("target", F.lit("")).alias("translation"))
+
+
+@query(_FOUND + " SELECT 'flagged' AS show, seg_id AS segment FROM pairs WHERE seg_id IN (SELECT seg_id FROM e WHERE severity <> 'info') AND seg_id IN (SELECT seg_id FROM e WHERE category = 'terminology') AND contains(lower(plain || chr(10) || coalesce(target, '')), 'the') UNION ALL SELECT 'edited', seg_id FROM pairs WHERE doc_id % 5 = 0 AND contains(lower(plain || chr(10) || coalesce(target, '')), 'ation')")
+def review_filtered(spark, sf_dir):
+    rows = materialize(review_states(spark, sf_dir), "review-states")
+    flagged = report.filtered(rows, show="flagged", category="terminology", search="The").select(F.lit("flagged").alias("show"), "segment")
+    return flagged.unionByName(report.filtered(rows, show="edited", search="ATION").select(F.lit("edited").alias("show"), "segment"))
+
+
+@query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+def glossary_names(spark, sf_dir):
+    named = lambda t, c: read_table(spark, sf_dir, t).select(F.col(c).alias("name"))
+    return stored.names(named("nation", "n_name").unionByName(named("region", "r_name")))
+
+
+@query("WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS term, CASE p_partkey % 4 WHEN 0 THEN p_name || 's' WHEN 1 THEN upper(p_name) || 'ES' WHEN 2 THEN 'a ' || p_name ELSE p_name END AS phrase FROM part) SELECT k, CASE WHEN upper(term) = term OR regexp_matches(term, '[0-9]') THEN phrase IN (term, term || 's', term || 'es') ELSE lower(phrase) IN (lower(term), lower(term) || 's', lower(term) || 'es') END AS covered FROM p")
+def glossary_covers(spark, sf_dir):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    term = F.when(k % 5 == 0, F.upper(name)).otherwise(name)
+    phrase = F.when(k % 4 == 0, F.concat(name, F.lit("s"))).when(k % 4 == 1, F.concat(F.upper(name), F.lit("ES"))).when(k % 4 == 2, F.concat(F.lit("a "), name)).otherwise(name)
+    return read_table(spark, sf_dir, "part").select(k.alias("k"), glossary.covers(phrase, term).alias("covered"))
+
+
+@query(r"WITH " + SEG + " SELECT shape_key, text, target AS translation FROM (SELECT *, row_number() OVER (PARTITION BY shape_key, text ORDER BY pos DESC) AS r FROM (SELECT doc_id AS shape_key, trim(plain) AS text, pos, target FROM pairs)) WHERE r = 1")
+def shape_texts(spark, sf_dir):
+    return compare.last_by_text(test_pairs(spark, sf_dir).withColumn("shape_key", F.col("doc_id")))
+
+
+@query(r"WITH " + SEG + ", h AS (SELECT seg_id, length(line) % 50 AS was, length(line) % 70 AS now, 20.0 + pos % 30 AS box FROM segs) SELECT seg_id AS shape_key, CAST(now AS DOUBLE) AS text_height FROM h WHERE now > greatest(box, CASE WHEN was % 3 > 0 THEN was ELSE 0 END) * 1.05")
+def heights_over(spark, sf_dir):
+    n = F.length("source")
+    rows = lines(spark, sf_dir).select(F.col("seg_id").alias("shape_key"), (n % 50).cast("double").alias("was"), (n % 70).cast("double").alias("text_height"), (20.0 + F.col("pos") % 30).alias("box_height"))
+    before = rows.where("was % 3 > 0").select("shape_key", F.col("was").alias("text_height"))
+    return compare.overflowing(before, rows.drop("was")).select("shape_key", "text_height")
+
+
+@query(r"WITH " + SEG + " SELECT seg_id FROM pairs WHERE target IS NOT NULL AND target <> source")
+def segments_changed(spark, sf_dir):
+    return compare.changed(test_pairs(spark, sf_dir)).select("seg_id")
+
+
+@query(r"WITH " + SEG + " SELECT seg_id FROM marked WHERE pos % 12 = 4")
+def tags_wrong(spark, sf_dir):
+    broken = F.when(F.col("pos") % 12 == 4, F.replace("source", F.lit("</g1>"), F.lit(""))).otherwise(F.col("source"))
+    return checks.tag_problems(marked(spark, sf_dir).withColumn("target", broken)).select("seg_id")
+
+
+@query(_HINTED + rf", n AS (SELECT *, {NUMBERS.format('plain')} AS ns, length(regexp_replace(target, '\s+', '', 'g')) AS size FROM pairs) SELECT count(*) AS paragraphs, count(target) AS translated, CAST(sum(len(ns)) FILTER (target IS NOT NULL) AS BIGINT) AS identifiers, (SELECT count(*) FROM h) AS glossary_terms, (SELECT count(DISTINCT doc_id) FROM pairs) AS recurring_terms, count(*) FILTER (target IS NOT NULL AND pos % 3 > 0) AS written_verified FROM n")
+def check_counts(spark, sf_dir):
+    """Numbers stand for the identifiers, documents for the recurring terms; two translations in three were written."""
+    rows = materialize(glossary.with_hints(test_pairs(spark, sf_dir), test_terms(spark), SRC, TGT).withColumns({"protected": tokens.significant_numbers(F.col("plain")), "kept": F.lit(False)}), "check-counts")
+    reread = rows.where("target is not null and pos % 3 > 0").select("seg_id", F.col("target").alias("text"))
+    return report.checked(rows, rows.select("doc_id").distinct(), reread)
+
+
+@query(_FOUND + rf", oo AS (SELECT *, {NUMBERS.format('plain')} AS a1, {NUMBERS.format(chr(99) + 'oalesce(target, ' + chr(39) * 2 + ')')} AS b1 FROM pairs), ss AS (SELECT *, len(a1) AS nn, len(list_filter(a1, lambda x: list_contains(b1, x))) AS hh FROM oo) SELECT count(*) AS segments, round(100 * count(target) / count(*), 1) AS translated_pct, round(100 * sum(hh) / nullif(sum(nn), 0), 1) AS protected_token_integrity_pct, count(*) FILTER (doc_id % 7 = 0) AS edited, (SELECT count(DISTINCT seg_id) FROM e WHERE severity <> 'info') AS flagged, (SELECT count(*) FROM f WHERE severity = 'error') AS errors, (SELECT count(*) FROM f WHERE severity = 'warning') AS warnings, (SELECT count(*) FROM f WHERE severity = 'info') AS notes FROM ss")
+def result_summary(spark, sf_dir):
+    rows = outcomes(spark, sf_dir).withColumn("status", F.when(F.col("doc_id") % 7 == 0, "edited").otherwise(F.col("status")))
+    found = qc.summarised(rows, materialize(told_findings(spark, sf_dir), "told"))
+    return found.select("segments", "translated_pct", "protected_token_integrity_pct", "edited", "flagged", "errors", "warnings", "notes")
+
+
 # The queries on findings over all that the checks find, of which their DuckDB forms have five codes; no SQL
 
 
