@@ -1,15 +1,16 @@
 """Language identification by compression.
 
 For each language a zstandard raw-content dictionary is cut from a bounded sample of its documents: at most SAMPLED of
-them by smallest hash, of each a stretch from a place of its text that the hash says, equal shares of DICTIONARY bytes.
+them by smallest hash, of each a stretch from a place of its text that the hash says, equal shares of DICTIONARY bytes;
+with so many languages that all would exceed ALL_DICTIONARIES, of an equal share of that. Stretches end between characters.
 Whole texts, lower-cased and reduced to letters, are compressed piece by piece under every dictionary; the language of
 the smallest total wins, ties by name. Where the runner-up is within MARGIN bytes or its share of the total, the
 document is rejected: lang is null, while lang_pred still names the nearest.
 
 Letters are Unicode's categories L*; marks, digits and other numbers aren't. Defined results: null texts and texts
 without a letter are UNKNOWN with score 0; without anything to learn from, all are; languages of next to no text have a
-dictionary of blanks; over MOST_LANGUAGES languages are an error, as each needs a compressor in every worker; repeated
-rows get the same result; an empty table gives an empty result; extra columns, whatever their names, are ignored.
+dictionary of blanks; repeated rows get the same result; an empty table gives an empty result; extra columns, whatever
+their names, are ignored. Very long texts are compressed a piece after the other, all at one level.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from .common import quoted
 
 UNKNOWN = "und"
 SAMPLED, DICTIONARY = 150, 60_000  # documents and bytes of each language that are learned from at most
-MOST_LANGUAGES = 400
+ALL_DICTIONARIES = 24_000_000  # bytes, which every worker holds
 LEAST_DICTIONARY = 8  # bytes that zstandard asks for
-PIECE, SHORT = 4096, 1024  # bytes; shorter texts are compressed harder
-LEVEL, SHORT_LEVEL = 6, 12
+PIECE = 4096  # bytes compressed at once
+LEVEL = 12  # 6 to 10 take half the time and make twice the errors on texts under a thousand letters
 MARGIN, SHARE = 3, 0.01
 SPREAD = 4.0  # bytes by which a total loses to another for odds of e
 _MARKS, _OTHER = re.compile(r"[\W\d_]+"), regex.compile(r"\P{L}+")
@@ -45,50 +46,53 @@ def letters(text: str | None) -> bytes:
     return out.strip().encode("utf-8", "surrogatepass")
 
 
+def _cut(data: bytes, most: int) -> bytes:
+    """The first bytes, up to the end of a character."""
+    return data[:most].decode("utf-8", "ignore").encode() if len(data) > most else data
+
+
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(quoted(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def dictionaries(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
-    """By language; DICTIONARY characters of each come to the driver, of MOST_LANGUAGES languages at most."""
+    """By language; about as many characters come to the driver as the dictionaries have bytes, ALL_DICTIONARIES at most."""
     docs = docs.select(quoted(doc_id).alias("doc_id"), quoted(lang).alias("lang"), quoted(text).cast("string").alias("text"))
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    if len(known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages to learn")
+    size = max(LEAST_DICTIONARY, min(DICTIONARY, ALL_DICTIONARIES // max(1, known.select("lang").distinct().count())))
     chosen = known.distinct().withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= SAMPLED)
-    chosen = chosen.withColumn("share", F.floor(F.lit(DICTIONARY) / F.count(F.lit(1)).over(W.partitionBy("lang"))).cast("int"))
+    chosen = chosen.withColumn("share", F.ceil(F.lit(size) / F.count(F.lit(1)).over(W.partitionBy("lang"))).cast("int"))
     rows = docs.join(F.broadcast(chosen), ["lang", "doc_id"])
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.col("share"), F.lit(0)) + 1).cast("int") + 1
     rows = rows.select("lang", "h", "share", F.substr("text", place, F.col("share")).alias("text")).distinct()
     found: dict[str, list] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h, r.text)):
-        found.setdefault(r.lang, []).append(letters(r.text)[: r.share])
-    return {k: b"\n".join(v)[:DICTIONARY].ljust(LEAST_DICTIONARY) for k, v in sorted(found.items())}
+        found.setdefault(r.lang, []).append(_cut(letters(r.text), r.share))
+    return {k: _cut(b"\n".join(v), size).ljust(LEAST_DICTIONARY) for k, v in sorted(found.items())}
 
 
 class Classifier:
     def __init__(self, dicts: dict[str, bytes]):
-        self.by_level = {level: {k: self._compressor(d, level) for k, d in dicts.items()} for level in (LEVEL, SHORT_LEVEL)}
+        self.compressors = {k: self._compressor(d) for k, d in dicts.items()}
 
     @staticmethod
-    def _compressor(content: bytes, level: int):
+    def _compressor(content: bytes):
         import zstandard
 
-        how = zstandard.ZstdCompressionParameters.from_level(level, source_size=PIECE, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=PIECE, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=how)
 
     def sizes(self, data: bytes) -> dict[str, int]:
-        level = SHORT_LEVEL if len(data) < SHORT else LEVEL
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        return {k: sum(len(c.compress(p)) for p in pieces) for k, c in self.by_level[level].items()}
+        return {k: sum(len(c.compress(p)) for p in pieces) for k, c in self.compressors.items()}
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, whether the margin is wide enough)."""
         data = letters(text)
-        if not data or not self.by_level[LEVEL]:
+        if not data or not self.compressors:
             return UNKNOWN, 0.0, False
         sizes = sorted((s, k) for k, s in self.sizes(data).items())
         (best, name), rest = sizes[0], sizes[1:]

@@ -1,7 +1,10 @@
+import math
 import zlib
 
 import pytest
+import regex
 import zstandard
+from pyspark.sql import functions as F
 
 from lexmill.llm import langid
 from lexmill.llm.queries import op5_quality_classifier, op6_language_id
@@ -55,10 +58,9 @@ def test_sizes_by_plain_compression(spark):
         assert set(d.decode().split()) <= set(taught[k].lower().split())
     classify = langid.Classifier(dicts)
     for d, t, *_ in rows()[:60]:
-        level = 12 if len(t.encode()) < 1024 else 6
         plain = {}
         for k, content in dicts.items():
-            how = zstandard.ZstdCompressionParameters.from_level(level, source_size=4096, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = zstandard.ZstdCompressionParameters.from_level(12, source_size=4096, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
             z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
             plain[k] = len(z.compress(t.lower().encode()))
         name, score, sure = classify(t)
@@ -67,10 +69,58 @@ def test_sizes_by_plain_compression(spark):
         assert sure == (second - first >= max(3, 0.01 * first))
 
 
-def test_too_many_languages_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
-    with pytest.raises(ValueError):
-        langid.dictionaries(spark.createDataFrame(rows(), SCHEMA))
+def test_many_languages_share_what_there_is(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ALL_DICTIONARIES", 300)
+    dicts = langid.dictionaries(spark.createDataFrame(rows(), SCHEMA))
+    assert set(dicts) == set(WORDS) and all(80 < len(d) <= 100 for d in dicts.values())
+    for d in dicts.values():
+        d.decode()  # whole characters
+
+
+def brute_letters(text):
+    return regex.sub(r"\P{L}+", " ", (text or "").lower()).strip().encode()
+
+
+def brute_result(spark, table):
+    """Every step of the dictionaries and of the comparison by plain loops; only the hashes are Spark's."""
+    ids = sorted({d for d, *_ in table if d is not None})
+    hashed = spark.createDataFrame([(d,) for d in ids], "d long").select("d", F.xxhash64("d").alias("h"), F.xxhash64(F.xxhash64("d")).alias("g")).collect()
+    h, g = {r.d: r.h for r in hashed}, {r.d: r.g for r in hashed}
+    of = {}
+    for d, text, lang, *_ in table:
+        if lang is not None and d is not None and not held(d) and brute_letters(text):
+            of.setdefault(lang, {}).setdefault(d, set()).add(text)
+    size = max(8, min(langid.DICTIONARY, langid.ALL_DICTIONARIES // max(1, len(of))))
+    dicts = {}
+    for lang, docs in of.items():
+        chosen = sorted(docs, key=lambda d: (h[d], d))[: langid.SAMPLED]
+        share = -(-size // len(chosen))
+        cut = {(h[d], t[p : p + share]) for d in chosen for t in {t for x, t, k, *_ in table if x == d and k == lang and t is not None} for p in [g[d] % (max(len(t) - share, 0) + 1)]}
+        joined = b"\n".join(brute_letters(t)[:share].decode("utf-8", "ignore").encode() for _, t in sorted(cut))
+        dicts[lang] = joined[:size].decode("utf-8", "ignore").encode().ljust(8)
+    out = []
+    for d, text, *_ in table:
+        data = brute_letters(text)
+        if not data or not dicts:
+            out.append((d, held(d), "und", 0.0, None))
+            continue
+        total = {}
+        for lang, content in dicts.items():
+            how = zstandard.ZstdCompressionParameters.from_level(12, source_size=4096, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+            total[lang] = sum(len(z.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+        (best, name), *rest = sorted((n, lang) for lang, n in total.items())
+        sure = not rest or rest[0][0] - best >= max(3, 0.01 * best)
+        out.append((d, held(d), name, round(1 / sum(math.exp((best - n) / 4) for n in total.values()), 9), name if sure else None))
+    return sorted(map(str, out))
+
+
+def test_whole_result_by_brute_force(spark, tmp_path):
+    long = [(2000 + i, (" ".join(WORDS["cc"]) + " 12. ") * 400, "cc", 1, "s") for i in range(3)]
+    table = rows() + long + [(990, "", "dd", 1, "s"), (991, "x", "ee", 1, "s"), (992, None, None, 1, "s"), (None, "Kalu MIRE", "aa", 1, "s"), (5, rows()[5][1], "cc", 1, "s"), (6, rows()[6][1], "aa", 1, "s")]
+    df = spark.createDataFrame(table, SCHEMA).repartition(3)
+    found = sorted(str((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9), r.lang)) for r in langid.identify(df).collect())
+    assert found == brute_result(spark, table)
 
 
 def test_nothing_to_learn_and_empty(spark):
