@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import uses
 from .checks import compared
 from .findings import described
 
@@ -33,6 +34,21 @@ def metrics(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def term_metrics(outcomes: DataFrame, sheet: DataFrame, found: DataFrame, tgt: str) -> DataFrame:
+    """One row: how many translated segments have a term of the document that is settled (sheet: doc_id, phrase, target;
+    found: doc_id, phrase, seg_id), how many of these use it, both as a percentage, how many terms are settled, and how many aren't though they have candidates."""
+    settled = sheet.where("target <> ''").select("doc_id", "phrase", F.col("target").alias("__to"))
+    texts = outcomes.where(F.col("target").isNotNull()).select("seg_id", "target")
+    each = found.select("doc_id", "phrase", "seg_id").join(settled, ["doc_id", "phrase"]).join(texts, "seg_id")
+    used = each.agg(F.count(F.lit(1)).alias("doc_term_checks"), F.count_if(uses(F.col("target"), F.col("__to"), tgt)).alias("doc_term_hits"))
+    open_ = F.coalesce("target", F.lit("")) == ""
+    worded = open_ & (F.size("candidates") > 0) if "candidates" in sheet.columns else open_
+    terms = sheet.agg(F.count_if(~open_).alias("doc_terms"), F.count_if(worded).alias("unresolved_terms"))
+    one = lambda df: df.withColumn("__k", F.lit(1))
+    out = one(used).join(one(terms), "__k").drop("__k")
+    return out.withColumn("doc_term_consistency_pct", percent(F.col("doc_term_hits"), F.col("doc_term_checks")))
+
+
 def checked(pairs: DataFrame, recurring: DataFrame | None = None, reread: DataFrame | None = None) -> DataFrame:
     """What a check looked at, one row: paragraphs, of which translated, the identifiers and glossary terms of these,
     the recurring terms of a sheet, and how many translations stand in the written file as read again (seg_id, text)."""

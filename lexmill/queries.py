@@ -445,6 +445,48 @@ def term_variants(spark, sf_dir):
     return told.groupBy("phrase", "wording").agg(F.count("*").alias("n"))
 
 
+_VOTED = (
+    _MAXIMAL.replace(LINES, SEG, 1)
+    + ", top AS (SELECT doc_id, phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY occurrences DESC, length(phrase) DESC, phrase) AS place FROM (SELECT doc_id, phrase, count(*) AS occurrences FROM kept GROUP BY ALL)) WHERE place <= 40), "
+    "cand AS (SELECT doc_id, phrase, split_part(phrase, ' ', 1) AS candidate FROM top UNION SELECT doc_id, phrase, split_part(phrase, ' ', -1) FROM top), "
+    "use AS (SELECT k.doc_id, k.phrase, k.seg_id, p.target FROM kept k JOIN top USING (doc_id, phrase) JOIN pairs p ON p.seg_id = k.seg_id WHERE p.target IS NOT NULL), "
+    "sup AS (SELECT doc_id, phrase, candidate, count(*) AS support FROM use JOIN cand USING (doc_id, phrase) WHERE contains(lower(target), candidate) GROUP BY ALL), "
+    "cnt AS (SELECT doc_id, phrase, count(*) AS n FROM use GROUP BY ALL), "
+    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY support DESC, length(candidate) DESC, candidate DESC) AS r FROM sup) WHERE r = 1), "
+    "vote AS (SELECT doc_id, phrase, CASE WHEN n >= 2 AND support >= 2 AND 2 * support > n THEN candidate END AS winner, coalesce(support, 0) AS support, n FROM cnt LEFT JOIN best USING (doc_id, phrase))"
+)
+
+
+def mined_uses(spark, sf_dir):
+    """The documents' own mined terms, where their translations stand, and two words of each as its candidates."""
+    held = materialize(terms.maximal(mined(spark, sf_dir)), "mined-held")
+    found = materialize(held.join(terms.top_terms(held).select("doc_id", "phrase"), ["doc_id", "phrase"], "left_semi"), "mined-top")
+    rows = found.select("doc_id", "phrase", "seg_id").join(test_pairs(spark, sf_dir).where("target is not null").select("seg_id", "target"), "seg_id")
+    words = F.split("phrase", " ")
+    each = found.select("doc_id", "phrase").distinct().withColumn("candidate", F.explode(F.array_distinct(F.array(words[0], F.element_at(words, -1)))))
+    return found, materialize(rows, "mined-uses"), each
+
+
+@query(_VOTED + " SELECT doc_id, phrase, winner, support, n FROM vote")
+def term_vote_mined(spark, sf_dir):
+    _, rows, candidates = mined_uses(spark, sf_dir)
+    return terms.voted(candidates, rows, TGT)
+
+
+@query(_VOTED + ", w AS (SELECT u.doc_id, u.seg_id, u.phrase, CASE WHEN v.winner IS NOT NULL AND contains(lower(u.target), v.winner) THEN v.winner ELSE coalesce((SELECT max_by(c.candidate, (length(c.candidate), c.candidate)) FROM cand c WHERE c.doc_id = u.doc_id AND c.phrase = u.phrase AND contains(lower(u.target), c.candidate)), '(other wording)') END AS wording FROM use u JOIN vote v USING (doc_id, phrase)) SELECT doc_id, phrase, wording, count(*) AS n FROM w GROUP BY ALL")
+def term_variants_mined(spark, sf_dir):
+    _, rows, candidates = mined_uses(spark, sf_dir)
+    told = terms.wordings(candidates, rows, terms.voted(candidates, rows, TGT), TGT)
+    return told.groupBy("doc_id", "phrase", "wording").agg(F.count("*").alias("n"))
+
+
+@query(_VOTED + ", x AS (SELECT count(*) AS c, count(*) FILTER (contains(lower(target), winner)) AS h FROM use JOIN vote USING (doc_id, phrase) WHERE winner IS NOT NULL) SELECT c AS doc_term_checks, h AS doc_term_hits, (SELECT count(*) FROM vote WHERE winner IS NOT NULL) AS doc_terms, (SELECT count(*) FROM vote WHERE winner IS NULL) AS unresolved_terms, round(100 * h / nullif(c, 0), 1) AS doc_term_consistency_pct FROM x")
+def doc_term_metrics(spark, sf_dir):
+    found, rows, candidates = mined_uses(spark, sf_dir)
+    sheet = terms.voted(candidates, rows, TGT).select("doc_id", "phrase", F.coalesce("winner", F.lit("")).alias("target"))
+    return report.term_metrics(test_pairs(spark, sf_dir), materialize(sheet, "mined-sheet"), found, TGT)
+
+
 @query(r"WITH " + SEG + rf", k AS (SELECT doc_id, seg_id, {CASEFOLD.format(chr(39).join(['regexp_replace(' + NORM.format('plain') + ', ', '[\\s.:;,!?]+$', ', ', '', ')']))} AS key, {CASEFOLD.format(chr(39).join(['regexp_replace(' + NORM.format('target') + ', ', '[\\s.:;,!?]+$', ', ', '', ')']))} AS variant FROM pairs WHERE trim(coalesce(target, '')) <> '' AND regexp_matches(plain, '[A-Za-zÀ-ÿ]')) SELECT doc_id, key, count(*) AS n, count(DISTINCT variant) AS variants FROM k GROUP BY ALL HAVING count(DISTINCT variant) >= 2")
 def same_source_variants(spark, sf_dir):
     rows = test_pairs(spark, sf_dir).where(F.coalesce(F.trim("target"), F.lit("")) != "").where(F.col("plain").rlike("[A-Za-zÀ-ÿ]"))
