@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, quoted
 from .kernels import A, Words, mix, pairs, repeated_lines, repeated_words, steps
 from .langid import held_out
 
@@ -69,17 +70,23 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     return np.stack([found[k] for k in STATISTICS], axis=1).astype(float)
 
 
-def _measure(batches):
-    for b in batches:
-        if b.num_rows:
-            rows = np.concatenate([statistics(t) for t in steps(b.column(b.num_columns - 1).to_pylist())])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, np.ascontiguousarray(rows.T))], [*b.schema.names[:-1], *STATISTICS])
+def _measure(names: list[str]):
+    def measure(batches):
+        for b in batches:
+            if b.num_rows:
+                rows = np.concatenate([statistics(t) for t in steps(b.column(b.num_columns - 1).to_pylist())])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, np.ascontiguousarray(rows.T))], names)
+
+    return measure
 
 
 def with_statistics(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1]), *(f"{s} double" for s in STATISTICS)])
-    return rows.mapInArrow(_measure, schema)
+    """The columns keep and STATISTICS of each document; a kept column of a statistic's name gives way."""
+    rows = docs.select(*keep, quoted(text).cast("string").alias("__text"))
+    rows = rows.select(*(quoted(c) for c in rows.columns if c not in STATISTICS))
+    schema = StructType([*rows.schema.fields[:-1], *(StructField(s, DoubleType()) for s in STATISTICS)])
+    # Whatever the columns are called, they go by number to the tasks.
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns)))).mapInArrow(_measure(schema.names), schema)
 
 
 Rule = tuple[tuple[str, str, float], ...]  # (statistic, <= or >, bound)
@@ -125,7 +132,7 @@ def labelled(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     """Statistics and the column label of the sample to learn from."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id"))
     rows = rows.groupBy("doc_id").agg(F.max("quality").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).cast("string").alias("text"))
     return with_statistics(texts.join(F.broadcast(rows), "doc_id"), [F.col("label")])
 
 
@@ -153,6 +160,6 @@ def fit(sample: DataFrame) -> Ensemble:
 def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     ensemble = fit(labelled(docs, labels, text=text, doc_id=doc_id))
-    rows = with_statistics(docs, [F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out")], text)
+    rows = with_statistics(docs, [quoted(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out")], text)
     scored = rows.select("doc_id", "held_out", ensemble.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -75,3 +75,38 @@ def test_learns_without_the_held_out_and_scores_everything(spark):
     assert all(r.predicted == 1 for r in one_kind)
     assert {r.score for r in rules.classify(df, lab.limit(0)).collect()} == {0.5}
     assert rules.classify(df.limit(0), lab).count() == 0
+
+
+def same_windows(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    inside = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 8)}
+    return len(inside) / max(1, len(words))
+
+
+def test_scores_by_brute_force(spark):
+    """The score of every document, from the fitted rules and plainly counted statistics."""
+    r = np.random.default_rng(4)
+    good, bad = "the river runs over old stones while {} birds sing in tall trees and so on".split(), "### {} ||| $$$ *** Up A1 a a a".split()
+    mixed = lambda share: " ".join(str(r.choice(good if r.random() < share else bad)) for _ in range(r.integers(5, 40)))
+    texts = [mixed(0.6 if i % 3 else 0.4) for i in range(200)] + ["", "one", " ".join(good * 3), "a\na\nb"]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(200)], LABELS)
+    ensemble = rules.fit(rules.labelled(df, labels))
+    assert len(ensemble.weights) > 3
+    want = {}
+    for i, t in enumerate(texts):
+        found = brute(t) | {"same_windows": same_windows(t)}
+        total = ensemble.bias + sum(w for rule, w in ensemble.weights.items() if all(found[n] <= b if sign == "<=" else found[n] > b for n, sign, b in rule))
+        want[i] = 1 / (1 + np.exp(-total))
+    got = {x.doc_id: x for x in rules.classify(df, labels).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i].score - s) < 1e-9 and got[i].predicted == int(s >= 0.5) for i, s in want.items())
+
+
+def test_odd_names(spark):
+    df = spark.createDataFrame([(1, "some words", 2, 3.0)], "`doc.id` long, `the.text` string, `x.y` int, upper double")
+    kept = rules.with_statistics(df, [rules.quoted("x.y"), rules.quoted("upper")], "the.text")
+    assert kept.columns == ["x.y", *rules.STATISTICS] and kept.first()["x.y"] == 2 and kept.first()["upper"] == 0.0
+    labels = spark.createDataFrame([(1, 1, 0)], LABELS)
+    assert rules.classify(df, labels, text="the.text", doc_id="doc.id").count() == 1
