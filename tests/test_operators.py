@@ -184,7 +184,7 @@ def test_context_and_compare(spark):
     df = spark.createDataFrame(rows, "doc_id long, pos int, seg_id string, container int, kind string, source string")
     assert [r.heading for r in context.with_heading(df).orderBy("pos").collect()] == [None, None, "T", None]
     assert context.note_context(df).first().context == "Heading: T\nearly\nb"
-    assert context.note_context(df, most=3).first().context == "Heading: T"
+    assert context.note_context(df, most=12).first().context == "Heading: T"
     got = compare.paired_by_id(df, df.where("pos > 0")).orderBy("pos").collect()
     assert [r.target for r in got] == [None, "T", "b", "n"]
     assert compare.page_counts(df, df.withColumn("container", F.lit(2))).first().error.startswith("The files have")
