@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import squash
 from ..functions.tokens import escaped
 from .findings import CATEGORIES, described, ordered
-from .glossary import KEY
+from .glossary import KEY, upserted
 from .ranks import numbered
 
 #: The columns of a scorecard, in order.
@@ -33,6 +33,16 @@ def ensured(glossaries: DataFrame, name: str) -> DataFrame:
     return glossaries.unionByName(new)
 
 
+def seeded(glossaries: DataFrame, terms: DataFrame, name: str, seed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """glossaries and terms with the glossary of that name among them; a new one starts with the seed's terms (columns of
+    terms but ids, and seq), one that is there keeps its own."""
+    after = ensured(glossaries, name)
+    if not glossaries.where(F.col("name") == name).isEmpty():
+        return after, terms
+    own = after.where(F.col("name") == name).first().id
+    return after, upserted(terms, seed.withColumn("glossary_id", F.lit(own).cast(terms.schema["glossary_id"].dataType)))
+
+
 def ids_of(terms: DataFrame, keys: DataFrame) -> DataFrame:
     """The ids of the terms with these natural keys."""
     return terms.join(keys.select(*KEY).distinct(), KEY).select("id", *KEY)

@@ -370,6 +370,16 @@ def glossary_ensure(spark, sf_dir):
     return stored.ensured(stored.ensured(names, names.agg(F.min("name")).first()[0]), "own terms")
 
 
+@query(f"WITH {STORED_SQL}, g AS (SELECT max(glossary_id) + 1 AS own FROM stored) SELECT * FROM stored UNION ALL SELECT CAST(top + row_number() OVER (ORDER BY id) AS INT), own, 'seed ' || source_term, source_lang, target_lang, context, target_term, category FROM stored, top, g WHERE id % 10 = 0")
+def glossary_seeded(spark, sf_dir):
+    """A new glossary that starts with a tenth of the terms, and one that is there and keeps its own."""
+    held = stored_terms(spark, sf_dir)
+    names = held.select(F.col("glossary_id").alias("id"), F.concat(F.lit("g"), F.col("glossary_id").cast("string")).alias("name")).distinct()
+    seed = held.where("id % 10 = 0").withColumns({"source_term": F.concat(F.lit("seed "), "source_term"), "seq": F.col("id")}).drop("id", "glossary_id")
+    names, terms_ = stored.seeded(names, held, "default", seed)
+    return stored.seeded(names, terms_, "g1", seed)[1]
+
+
 @query(f"WITH {STORED_SQL} SELECT id, source_term FROM stored WHERE id % 5 IN (0, 1)")
 def glossary_ids(spark, sf_dir):
     held = stored_terms(spark, sf_dir)

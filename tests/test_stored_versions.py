@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import replies
-from lexmill.operators import glossary
+from lexmill.operators import glossary, stored
 from lexmill.sources import runs, tables
 from lexmill.sources.snapshots import Conflict, StoredTable
 
@@ -169,3 +169,15 @@ def test_damaged_replies_against_plain_reading(spark):
         assert found[n] == whole_entries(strip(reply or ""), ids), (n, reply)
     strict = docs.where("n % 4 = 1 and n < 900").select(F.explode(replies.answers(F.col("reply"), F.col("ids"), salvage=False)).alias("a"))
     assert strict.where("a.text is not null").count() < docs.where("n % 4 = 1 and n < 900").select(F.explode(replies.answers(F.col("reply"), F.col("ids"))).alias("a")).where("a.text is not null").count()
+
+
+def test_seeded_glossaries(spark):
+    columns = "id int, glossary_id int, source_term string, source_lang string, target_lang string, context string, target_term string"
+    names = spark.createDataFrame([(1, "own")], "id int, name string")
+    terms = spark.createDataFrame([(4, 1, "pump", "en", "de", "", "Pumpe")], columns)
+    seed = spark.createDataFrame([("fan", "en", "de", "", "Lüfter", 0), ("fan", "en", "de", "", "Ventilator", 1)], "source_term string, source_lang string, target_lang string, context string, target_term string, seq int")
+    after, put = stored.seeded(names, terms, "default", seed)
+    assert sorted(map(tuple, after.collect())) == [(1, "own"), (2, "default")]
+    assert sorted((r.id, r.glossary_id, r.target_term) for r in put.collect()) == [(4, 1, "Pumpe"), (5, 2, "Ventilator")]
+    again, same = stored.seeded(after, put, "default", seed.withColumn("target_term", F.lit("x")))
+    assert again.count() == 2 and sorted(r.target_term for r in same.collect()) == ["Pumpe", "Ventilator"]
