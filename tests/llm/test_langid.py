@@ -60,7 +60,7 @@ def test_sizes_by_plain_compression(spark):
     for d, t, *_ in rows()[:60]:
         plain = {}
         for k, content in dicts.items():
-            how = zstandard.ZstdCompressionParameters.from_level(12, source_size=4096, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = zstandard.ZstdCompressionParameters.from_level(11, source_size=4096, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
             z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
             plain[k] = len(z.compress(t.lower().encode()))
         name, score, sure = classify(t)
@@ -106,7 +106,7 @@ def brute_result(spark, table):
             continue
         total = {}
         for lang, content in dicts.items():
-            how = zstandard.ZstdCompressionParameters.from_level(12, source_size=4096, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = zstandard.ZstdCompressionParameters.from_level(11, source_size=4096, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
             z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
             total[lang] = sum(len(z.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
         (best, name), *rest = sorted((n, lang) for lang, n in total.items())
