@@ -11,9 +11,9 @@ A round assigns in tasks, each of which returns counts and sums per entry; Spark
 row per codebook component, entries times dimension in all. Codebooks are that small too where tasks get them.
 
 Defined results: vectors that are null or hold null or non-finite components are dropped; so are those that can't be cut
-into equal parts, and those of another length than most of the kept (of equally many, the shorter). Components over 4,096
-in size count as 4,096, so that sums of squares fit a long (with up to 8,192 components). A null vec_id sorts last; rows of
-one vec_id are ordered by their vectors; repeated rows are entries and count as often as they are there; fewer kept rows
+into equal parts, and those of another length than most of the kept (of equally many, the shorter). Whole numbers over
+LARGEST over the root of their vector's length count as that (components of 32,768 where there are 64), so that a vector's
+squared distance fits a long. A null vec_id sorts last; rows of one vec_id are ordered by their vectors; repeated rows are entries and count as often as they are there; fewer kept rows
 than entries give smaller codebooks; labels may be null and are then one group; an empty table gives an empty result;
 extra columns are ignored, whatever their names.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import join_groups, materialize, quoted
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
-LARGEST = 1 << 24  # of a whole-number component
+LARGEST = 1 << 30  # of a whole-number component, over the root of how many there are: squared distances fit a long
 
 
 def roots(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,9 @@ def whole_numbers(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str
     x = F.col("x")
     rows = vectors.select(quoted(vec_id).alias("vec_id"), quoted(label).alias("label"), quoted(embedding).cast("array<double>").alias("x"))
     rows = rows.where(x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (F.size(x) % parts == 0))
-    number = lambda v: F.greatest(F.least(F.floor(F.greatest(F.least(v, F.lit(2.0**20)), F.lit(-(2.0**20))) * scale), F.lit(LARGEST)), F.lit(-LARGEST)).cast("int")
+    most = F.floor(LARGEST / F.sqrt(F.greatest(F.size(x), F.lit(1)))).cast("double")
+    # Held between the bounds before it is made whole, as a double may be too large for a long.
+    number = lambda v: F.floor(F.greatest(F.least(v * scale, most), -most)).cast("int")
     rows = materialize(rows.select("vec_id", "label", F.transform(x, number).alias("q")), "codes-vectors")
     usual = rows.groupBy(F.size("q").alias("size")).count().orderBy(F.desc("count"), "size").first()
     return rows.where(F.size("q") == (usual.size if usual else 0))

@@ -31,7 +31,7 @@ def brute(rows, parts=8, entries=16, rounds=6):
     return code, error, books
 
 
-@pytest.mark.parametrize("spread", [0, 1, 3, 50, 1 << 24])
+@pytest.mark.parametrize("spread", [0, 1, 3, 50, 1 << 28])
 def test_tree_equals_all_comparisons(spread):
     r = np.random.default_rng(spread)
     for n, width in ((1, 1), (2, 3), (16, 8), (16, 1), (200, 4)):
@@ -83,6 +83,9 @@ def test_odd_tables(spark):
     rows = [(1, [1.0] * 8, 1), (1, [1.0] * 8, 1), (2, [3e38] * 8, None), (None, [-3e38] * 8, 3), (4, [0.0] * 16, 1), (5, [0.0] * 7, 1)]
     found = codes.compressed(make(rows)).collect()
     assert sorted((r.vec_id is None, r.vec_id or 0, r.error) for r in found) == [(False, 1, 0), (False, 1, 0), (False, 2, 0), (True, 0, 0)]
+    large = [(i, [(-1.0) ** (i + j) * 7_000.0 * (i % 5) for j in range(64)], 1) for i in range(20)]
+    code, error, _ = brute([(i, [int(4096 * x) for x in v], l) for i, v, l in large])
+    assert sorted((r.vec_id, r.code.hex(), r.error) for r in codes.compressed(make(large)).collect()) == [(i, c, e) for i, (c, e) in enumerate(zip(code, error))]
     clashing = make([(i, [i / 7] * 8, 1) for i in range(40)]).selectExpr("*", "1 AS code", "2 AS `key.x`", "3 AS q")
     assert codes.compressed(clashing).exceptAll(codes.compressed(clashing.select("vec_id", "embedding", "label"))).isEmpty()
     with pytest.raises(ValueError):
