@@ -128,12 +128,19 @@ def clean_candidate(raw: Column, source: Column, target: str) -> Column:
 
 
 # Forms that text recognition returns for Japanese, each before what it stands for.
-FORMS = {a: b for a, b in """
-值値 设設 计計 电電 冻凍 统統 时時 间間 备備 调調 节節 动動 态態 报報 监監 视視 测測 运運 转転 输輸 压圧 负負 载載 热熱 换換 风風 门門 阀閥 络絡 线線
-图図 库庫 码碼 类類 级級 页頁 项項 题題 单単 发発 开開 关関 闭閉 东東 车車 层層 场場 产産 业業 务務 检検 验験 试試 编編 辑輯 启啓 确確 认認 说説 长長
-宽寛 离離 远遠 进進 过過 还還 这這 们們 为為 对対 应応 显顕 传伝 环環 费費 预予 维維 护護 养養 溫温 氣気 體体 當当 圖図 數数 處処 變変 轉転 經経 實実
-價価 單単 發発 會会 學学 樣様 擴拡 檢検 濕湿 壓圧 廣広 應応 點点 鐵鉄 總総 驗験
-""".split()}
+FORMS = {
+    "值": "値", "设": "設", "计": "計", "电": "電", "冻": "凍", "统": "統", "时": "時", "间": "間", "备": "備", "调": "調",
+    "节": "節", "动": "動", "态": "態", "报": "報", "监": "監", "视": "視", "测": "測", "运": "運", "转": "転", "输": "輸",
+    "压": "圧", "负": "負", "载": "載", "热": "熱", "换": "換", "风": "風", "门": "門", "阀": "閥", "络": "絡", "线": "線",
+    "图": "図", "库": "庫", "码": "碼", "类": "類", "级": "級", "页": "頁", "项": "項", "题": "題", "单": "単", "发": "発",
+    "开": "開", "关": "関", "闭": "閉", "东": "東", "车": "車", "层": "層", "场": "場", "产": "産", "业": "業", "务": "務",
+    "检": "検", "验": "験", "试": "試", "编": "編", "辑": "輯", "启": "啓", "确": "確", "认": "認", "说": "説", "长": "長",
+    "宽": "寛", "离": "離", "远": "遠", "进": "進", "过": "過", "还": "還", "这": "這", "们": "們", "为": "為", "对": "対",
+    "应": "応", "显": "顕", "传": "伝", "环": "環", "费": "費", "预": "予", "维": "維", "护": "護", "养": "養", "溫": "温",
+    "氣": "気", "體": "体", "當": "当", "圖": "図", "數": "数", "處": "処", "變": "変", "轉": "転", "經": "経", "實": "実",
+    "價": "価", "單": "単", "發": "発", "會": "会", "學": "学", "樣": "様", "擴": "拡", "檢": "検", "濕": "湿", "壓": "圧",
+    "廣": "広", "應": "応", "點": "点", "鐵": "鉄", "總": "総", "驗": "験",
+}
 LOOKALIKE = {"工": "エ", "口": "ロ", "力": "カ", "二": "ニ", "一": "ー", "夕": "タ", "卜": "ト", "八": "ハ"}
 
 

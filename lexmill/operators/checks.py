@@ -18,7 +18,7 @@ from .terms import OTHER, wordings
 from .validate import foreign_scripts
 from ..sources.scratch import materialize
 
-# Fixed values.
+# Fixed values; so are codes, severities and messages of the findings below.
 ENGLISH_ONLY = "the and with is are this that for from which will be by to these those into their its our your should can of".split()
 NOTATION = "lux ppm rpm sec min max bar psi mph kpa mpa khz mhz ghz kbps mbps gbps dpi ips fps www http https html json xml csv pdf pptx xlsx docx exe dll ini cfg log png jpg jpeg svg".split()
 LOWER_WORD = r"(?<![A-Za-z0-9_\-./@])[a-z]{3,}(?:-[a-z]+)*(?![A-Za-z0-9_\-@])"

@@ -69,6 +69,7 @@ def described() -> Column:
     quoted = lambda c: F.concat(F.lit("“"), c, F.lit("”"))
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     variants = F.when(F.coalesce(d("majority"), F.lit("")) != "", say(quoted(d("term")), " is ", quoted(d("majority")), " in most places"))
+    # The sentence for each code.
     texts = {
         "glossary_term": say("Glossary: ", quoted(d("term")), " should be ", quoted(d("approved"))),
         "term_variants": variants.otherwise(say(quoted(d("term")), " is translated differently")),
