@@ -11,7 +11,7 @@ from .expressions import let
 THINKING = r"(?s)<think>.*?</think>\s*"
 ROWS = "array<struct<id:string,text:string>>"
 SCHEMA = f"struct<translations:{ROWS}>"
-_STRING = r'"(?:[^"\\]|\\.)*"'
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'  # possessive: a long text takes no stack
 _PAIR = rf'"(?:id|text)"\s*:\s*{_STRING}'
 ENTRY = rf"(?s)\{{\s*{_PAIR}\s*,\s*{_PAIR}\s*\}}"
 

@@ -161,6 +161,8 @@ def test_damaged_replies_against_plain_reading(spark):
         whole = json.dumps({"translations": entries}, ensure_ascii=n % 2 == 0)
         kind = n % 4
         rows.append((n, ids, whole[: r.randint(0, len(whole))] if kind == 1 else f"<think>a {{}} b\n</think>\n{whole}\n" if kind == 2 else whole))
+    long = json.dumps({"translations": [{"id": "a", "text": 'x\\n"y" ' * 100_000}, {"id": "b", "text": "é" * 300_000}, {"id": "c", "text": "cut"}]}, ensure_ascii=False)
+    rows += [(906, ["a", "b", "c"], long[:-8]), (907, ["a", "b", "c"], long)]
     rows += [(900, ["a"], None), (901, ["a"], ""), (902, ["a"], "no"), (903, ["a"], "[]"), (904, ["a"], '{"translations": null}'), (905, [], "{}")]
     docs = spark.createDataFrame(rows, "n int, ids array<string>, reply string")
     strip = lambda t: t.split("</think>\n", 1)[-1].strip()
