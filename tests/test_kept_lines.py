@@ -1,0 +1,22 @@
+"""Lines of acronyms only, in the queries on findings and in their SQL."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+
+from lexmill import queries
+
+CAPITALS = "TION!! ERING!! AND!! OF!! THE!! BLE."
+LINES = [CAPITALS, "TH!! THNTTIBLE.ISERO!! AS!!", CAPITALS, "AB/CD 12 CD", CAPITALS, "a@b.de", "BC1 ABC XABC1X ABC1", "The ering of it.", "See X-5 12", CAPITALS]
+
+
+@pytest.mark.parametrize("name", ["kept_filter", "findings_told", "qc_by_segment", "review_rows"])
+def test_lines_of_acronyms(spark, tmp_path, name):
+    texts = ["\n".join(LINES[i:] + LINES[:i]) for i in range(8)]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = db.sql(queries.ORACLE[name]).fetchall()
+    assert Counter(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == Counter(want)
