@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squash
 from ..functions.tokens import escaped
+from ..sources.scratch import materialize
 from .findings import CATEGORIES, described, ordered
 from .glossary import KEY, upserted
 from .ranks import numbered
@@ -96,10 +97,14 @@ def worst(findings: DataFrame, most: int = WORST) -> DataFrame:
 
 
 def panel(findings: DataFrame) -> DataFrame:
-    """category, n, texts: how many findings a category has, and its first distinct sentences by page."""
-    said = findings.withColumns({"text": described(), "page": F.coalesce(F.try_element_at("pages", F.lit(1)), F.lit(0))})
-    first = said.groupBy("category", "text").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("n"))
+    """category, n, texts: how many findings a category has, and its first distinct sentences by page.
+
+    The sentences are counted and written once. Only the first of each task's sentences meet in a category's task, and
+    its counts are summed apart from them.
+    """
+    said = findings.where(F.col("category").isin(*CATEGORIES)).select("category", described().alias("text"), F.coalesce(F.try_element_at("pages", F.lit(1)), F.lit(0)).alias("page"))
+    first = materialize(said.groupBy("category", "text").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("n")), "panel", pack=True)
     place = F.row_number().over(W.partitionBy("category").orderBy("page", "text"))
-    kept = first.withColumn("place", place)
-    texts = F.array_sort(F.collect_list(F.when(F.col("place") <= PANEL_TEXTS, F.struct("place", "text"))))
-    return kept.groupBy("category").agg(F.sum("n").alias("n"), F.transform(texts, lambda s: s["text"]).alias("texts")).where(F.col("category").isin(*CATEGORIES))
+    top = first.select("category", "page", "text").withColumn("place", place).where(F.col("place") <= PANEL_TEXTS)
+    texts = top.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]).alias("texts"))
+    return first.groupBy("category").agg(F.sum("n").alias("n")).join(F.broadcast(texts), "category")

@@ -1,0 +1,21 @@
+"""The panel of findings: its result, and that no task gets all sentences of a category."""
+
+from pyspark.sql import functions as F
+
+from lexmill.operators import stored
+
+
+def findings_of(spark, n):
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, "layout").otherwise("identifiers").alias("category"), F.lit("x").alias("code"), F.concat(F.lit("said "), (F.col("id") % 50).cast("string")).alias("message"), F.array((F.col("id") % 7 + 1).cast("int")).alias("pages"), F.lit(None).cast("string").alias("detail"))
+    other = [("identifiers", "x", "last of all", [], None), ("identifiers", "x", "null page", None, None), ("unknown", "x", "a", [1], None)]
+    return rows.unionByName(spark.createDataFrame(other, "category string, code string, message string, pages array<int>, detail string"))
+
+
+def test_panel_counts_and_first_texts(spark):
+    got = {r.category: (r.n, r.texts) for r in stored.panel(findings_of(spark, 3000)).collect()}
+    assert got == {"layout": (1000, ["said 0", "said 1"]), "identifiers": (2002, ["last of all", "null page"])}
+
+
+def test_panel_deals_out_only_first_texts(spark):
+    plan = stored.panel(findings_of(spark, 10))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # in each task, then in the category's
