@@ -38,3 +38,28 @@ def test_bounds_rule_most_out(spark):
     for a in lines[::5]:
         compared += len(block.possible(a, np.ceil(0.4 * (len(a) + block.sizes) - 1e-9).astype(np.int64)))
     assert compared < 0.4 * len(lines) * len(lines[::5])
+
+
+@pytest.mark.parametrize("threshold", [50.0, 80.0, 95.0])
+def test_rare_letters_lose_nothing(threshold):
+    r = random.Random(int(threshold) + 1)
+    texts = near_copies(r, 80)
+    texts += ["".join(r.choices("eeeeetttaoinshrdlué東𝔸", k=r.randint(0, 90))) for _ in range(80)]
+    texts += [t + t[:3] for t in texts[-40:]] + ["", "", "\U0010ffff"]
+    block = Block(texts)
+    for a in texts[::3]:
+        least = np.ceil(threshold * (len(a) + block.sizes) / 200.0 - 1e-9).astype(np.int64)
+        some = block.possible(a, least)
+        near = some[block.common_lengths(a, some) >= least[some]]
+        assert set(near) <= set(block.reachable(a, some, least[some])) <= set(some)
+
+
+def test_rare_letters_rule_nearly_all_out(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    lines = list({x for r in rows for x in (r.text or "").split("\n") if 200 <= len(x) <= 260})
+    block, left, held = Block(lines), 0, 0
+    for a in lines[::4]:
+        least = np.ceil(0.4 * (len(a) + block.sizes) - 1e-9).astype(np.int64)
+        some = block.possible(a, least)
+        held, left = held + len(some), left + len(block.reachable(a, some, least[some]))
+    assert left < 0.1 * held
